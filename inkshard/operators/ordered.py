@@ -37,6 +37,11 @@ class Scan:
         self.keys = list(keys)
         self.order = list(order)
 
+    @property
+    def pieces(self) -> list[str]:
+        """Columns that cut the rows into pieces small enough for one task."""
+        return self.keys
+
     def _window(self, last_row: int = Window.currentRow):
         return Window.partitionBy(*self.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last_row)
 
@@ -91,6 +96,10 @@ class Scan:
 class ChunkedScan(Scan):
     """The same computations for heavy groups that carry chunk columns."""
 
+    @property
+    def pieces(self) -> list[str]:
+        return [*self.keys, *_CHUNK]
+
     def _chunk_window(self, frame: tuple[int, int]):
         return Window.partitionBy(*self.keys, *_CHUNK).orderBy(*self.order).rowsBetween(*frame)
 
