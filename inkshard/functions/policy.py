@@ -68,7 +68,9 @@ def has_color_macro(html: Column | str) -> Column:
 def heading_level(kind: Column | str, level: Column | str, classes: Column | str) -> Column:
     """Level of a block: headings are capped at 9; a div of class ``heading-N``, N over 6, is a heading."""
     deep = first(F.filter(F.transform(col(classes), lambda c: F.regexp_extract(c, r"^heading-(\d+)$", 1).try_cast("int")), lambda n: n > 6))
-    return F.when(col(kind) == "header", F.least(col(level).cast("int"), F.lit(K.MAX_HEADING))).when(col(kind) == "div", F.least(deep, F.lit(K.MAX_HEADING)))
+    # least() skips nulls, so the cap must not turn a missing level into 9.
+    cap = lambda n: F.when(n > K.MAX_HEADING, K.MAX_HEADING).otherwise(n)
+    return F.when(col(kind) == "header", cap(col(level).cast("int"))).when(col(kind) == "div", cap(deep))
 
 
 def page_command(text: Column | str, is_raw: Column) -> Column:

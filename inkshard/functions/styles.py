@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
-from inkshard.functions.text import col, escape_xml, first, lookup
+from inkshard.functions.text import col, escape_xml, lookup
 
 # The prefixes are parameters: pass the ones your documents already use.
 RUN_PREFIX = "FolioColor"
@@ -200,3 +203,78 @@ def neutral_caption_style(style: Column | str, has_seq: Column) -> Column:
 
 def normalize_first_paragraph(style: Column | str) -> Column:
     return F.when(col(style) == "FirstParagraph", "BodyText").otherwise(col(style))
+
+
+# Marks around coloured math in page source.
+_MARK_OPEN, _MARK_CLOSE, _MARK_END = "@@PMC:", "@@", "@@PMCEND@@"
+_TEX_TOKEN = re.compile(r"\\[A-Za-z]+|\\.|[{}]|[^\\{}]+|\\$", re.DOTALL)
+_MODEL = re.compile(r"\s*(?:\[([^\]]*)\]\s*)?")
+
+
+def _resolved(model: str | None, value: str) -> str | None:
+    digits = value.removeprefix("#")
+    if (model or "").lower() not in ("", "html"):
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{6}", digits):
+        return digits.upper()
+    if re.fullmatch(r"[0-9A-Fa-f]{3}", digits):
+        return "".join(d * 2 for d in digits).upper()
+    return None if model else K.MATH_COLORS.get(value.lower())
+
+
+def _mark_colors(tex: str) -> str:
+    tokens, closes, stack = _TEX_TOKEN.findall(tex), {}, []
+    for i, t in enumerate(tokens):
+        if t == "{":
+            stack.append(i)
+        elif t == "}" and stack:
+            closes[stack.pop()] = i
+
+    def gap(i: int, allow_model: bool) -> tuple[int, str | None] | None:
+        """Step over white space, and a model in brackets, in front of a brace."""
+        if i < len(tokens) and tokens[i][0] not in "\\{}":
+            m = _MODEL.fullmatch(tokens[i])
+            if m is None or (m[1] is not None and not allow_model):
+                return None
+            return i + 1, m[1]
+        return i, None
+
+    def render(lo: int, hi: int) -> str:
+        out, i = [], lo
+        while i < hi:
+            step = colored(i) if tokens[i] in ("\\color", "\\textcolor") else None
+            text, i = step if step else (tokens[i], i + 1)
+            out.append(text)
+        return "".join(out)
+
+    def colored(i: int) -> tuple[str, int] | None:
+        before = gap(i + 1, True)
+        if before is None or before[0] not in closes:
+            return None
+        color_end = closes[before[0]]
+        between = gap(color_end + 1, False)
+        if between is None or between[0] not in closes:
+            return None
+        end = closes[between[0]]
+        color = _resolved((before[1] or "").strip(), "".join(tokens[before[0] + 1 : color_end]).strip())
+        inner = render(between[0] + 1, end)
+        if color:
+            inner = f"\\text{{{_MARK_OPEN}{color}{_MARK_CLOSE}}}{inner}\\text{{{_MARK_END}}}"
+        return inner, end + 1
+
+    return render(0, len(tokens))
+
+
+@F.pandas_udf("string")
+def _math_colors(tex: pd.Series) -> pd.Series:
+    return tex.map(_mark_colors, na_action="ignore")
+
+
+def math_color_tokens(tex: Column | str) -> Column:
+    """Two-argument colour commands as start and end marks; other forms stay as they are.
+
+    Braces nest, which regular expressions cannot follow, so formulas that name a colour
+    command go through Python; all others stay in the JVM.
+    """
+    t = col(tex)
+    return F.when(t.contains("\\color") | t.contains("\\textcolor"), _math_colors(t)).otherwise(t)

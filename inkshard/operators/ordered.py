@@ -42,12 +42,16 @@ class Scan:
         """Columns that cut the rows into pieces small enough for one task."""
         return self.keys
 
-    def _window(self, last_row: int = Window.currentRow):
-        return Window.partitionBy(*self.keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last_row)
+    def _window(self, last_row: int = Window.currentRow, backwards: bool = False):
+        order = [F.desc(o) for o in self.order] if backwards else self.order
+        return Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
 
-    def running(self, df: DataFrame, include_current: bool = True, **specs: tuple[str, Column]) -> DataFrame:
-        """Add running values: ``name=(kind, expr)``, kind one of sum, min, max, last (non-null)."""
-        w = self._window(Window.currentRow if include_current else -1)
+    def running(self, df: DataFrame, include_current: bool = True, backwards: bool = False, **specs: tuple[str, Column]) -> DataFrame:
+        """Add running values: ``name=(kind, expr)``, kind one of sum, min, max, last (non-null).
+
+        ``backwards`` runs from the end of the group, so ``last`` then means the nearest following value.
+        """
+        w = self._window(Window.currentRow if include_current else -1, backwards)
         return df.withColumns({n: _window_agg(kind, e).over(w) for n, (kind, e) in specs.items()})
 
     def neighbours(self, df: DataFrame, lag: Mapping[str, Column] = {}, lead: Mapping[str, Column] = {}) -> DataFrame:
@@ -100,26 +104,24 @@ class ChunkedScan(Scan):
     def pieces(self) -> list[str]:
         return [*self.keys, *_CHUNK]
 
-    def _chunk_window(self, frame: tuple[int, int]):
-        return Window.partitionBy(*self.keys, *_CHUNK).orderBy(*self.order).rowsBetween(*frame)
-
-    def _per_chunk(self, df: DataFrame, carry_frame: tuple[int, int], specs: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    def _per_chunk(self, df: DataFrame, carry_frame: tuple[int, int], specs: Mapping[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
         """Chunk summaries folded over the chunks of ``carry_frame``, one row per chunk."""
         keys = [*self.keys, *_CHUNK]
-        summary = df.groupBy(*keys).agg(*[self._summary(kind, e).alias(f"_c_{n}") for n, (kind, e) in specs.items()])
-        w = Window.partitionBy(*self.keys).orderBy(*_CHUNK).rowsBetween(*carry_frame)
+        summary = df.groupBy(*keys).agg(*[self._summary(kind, e, backwards).alias(f"_c_{n}") for n, (kind, e) in specs.items()])
+        order = [F.desc(c) for c in _CHUNK] if backwards else _CHUNK
+        w = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(*carry_frame)
         return summary.select(*keys, *[_window_agg(kind, F.col(f"_c_{n}")).over(w).alias(f"_c_{n}") for n, (kind, _) in specs.items()])
 
-    def _summary(self, kind: str, expr: Column) -> Column:
+    def _summary(self, kind: str, expr: Column, backwards: bool) -> Column:
         if kind in ("last", "first"):
             at = F.when(expr.isNotNull(), F.struct(*self.order))
-            return F.max_by(expr, at) if kind == "last" else F.min_by(expr, at)
+            return F.max_by(expr, at) if (kind == "last") != backwards else F.min_by(expr, at)
         return {"sum": F.sum, "min": F.min, "max": F.max}[kind](expr)
 
-    def running(self, df, include_current=True, **specs):
+    def running(self, df, include_current=True, backwards=False, **specs):
         keys = [*self.keys, *_CHUNK]
-        carry = self._per_chunk(df, (Window.unboundedPreceding, -1), specs)
-        w = self._chunk_window((Window.unboundedPreceding, Window.currentRow if include_current else -1))
+        carry = self._per_chunk(df, (Window.unboundedPreceding, -1), specs, backwards)
+        w = Scan(keys, self.order)._window(Window.currentRow if include_current else -1, backwards)
         out = df.join(carry, keys, "left")
         out = out.withColumns({n: _merge(kind, F.col(f"_c_{n}"), _window_agg(kind, e).over(w)) for n, (kind, e) in specs.items()})
         return out.drop(*[f"_c_{n}" for n in specs])

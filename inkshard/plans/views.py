@@ -23,10 +23,6 @@ user_id % 7 AS worker_id
 """.strip().split(",\n")
 
 
-def _rows(*columns: str) -> list[str]:
-    return [c.replace("\n", " ") for c in columns]
-
-
 def conv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversion; ``ts_us`` is its start in epoch microseconds."""
     return table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us", *CONV_LOG_COLUMNS)
@@ -49,7 +45,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*REQUEST_COLUMNS)
 
 
-def _lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """lineitem with ``pos``, the running number of a line in its order."""
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", *extra]
     lines = table(spark, sf_dir, "lineitem").select(*columns, F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("_ship"))
@@ -71,7 +67,7 @@ DOC_BLOCKS = f"SELECT l_orderkey AS doc_id, {_POS} AS pos, " + ", ".join(BLOCK_C
 
 
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, "l_returnflag", "l_linestatus").selectExpr("l_orderkey AS doc_id", "pos", *BLOCK_COLUMNS)
+    return lines(spark, sf_dir, "l_returnflag", "l_linestatus").selectExpr("l_orderkey AS doc_id", "pos", *BLOCK_COLUMNS)
 
 
 RUN_COLUMNS = [
@@ -86,7 +82,7 @@ RAW_RUNS = "SELECT l_orderkey AS doc_id, " + ", ".join(RUN_COLUMNS) + " FROM lin
 
 
 def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).selectExpr("l_orderkey AS doc_id", "pos", *RUN_COLUMNS)
+    return lines(spark, sf_dir).selectExpr("l_orderkey AS doc_id", "pos", *RUN_COLUMNS)
 
 
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +99,7 @@ TABLE_COLS = f"SELECT l_orderkey AS table_id, {_POS} AS col, " + ", ".join(COL_C
 
 
 def table_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).selectExpr("l_orderkey AS table_id", "pos AS col", *COL_COLUMNS)
+    return lines(spark, sf_dir).selectExpr("l_orderkey AS table_id", "pos AS col", *COL_COLUMNS)
 
 
 TABLE_STYLE = """concat('width: ', CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN '%' WHEN 1 THEN 'px' ELSE 'pt' END,
