@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkshard.functions import constants as K
 from inkshard.functions.text import col, escape_xml, lookup
@@ -265,7 +266,7 @@ def _mark_colors(tex: str) -> str:
     return render(0, len(tokens))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _math_colors(tex: pd.Series) -> pd.Series:
     return tex.map(_mark_colors, na_action="ignore")
 
