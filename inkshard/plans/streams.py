@@ -33,8 +33,8 @@ def _drained(spark, stream):
 
 @plan(
     "r1_stream_route_counters",
-    f"""{LOG} SELECT ts_us // {6 * _HOUR} * {6 * _HOUR} AS from_us, ts_us // {6 * _HOUR} * {6 * _HOUR} + {6 * _HOUR} AS to_us, source_format, target_format, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures
-    FROM log GROUP BY ALL HAVING to_us <= {_CLOSED}""",
+    f"""{LOG}, w AS (SELECT ts_us // {6 * _HOUR} * {6 * _HOUR} AS from_us, source_format, target_format, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures FROM log GROUP BY ALL)
+    SELECT from_us, from_us + {6 * _HOUR} AS to_us, source_format, target_format, successes, failures FROM w WHERE from_us + {6 * _HOUR} <= {_CLOSED}""",
 )
 def _(spark, sf):
     return _drained(spark, live.stream_route_counters(_log(spark, sf), "6 hours"))

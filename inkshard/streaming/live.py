@@ -63,10 +63,10 @@ def stream_failure_streak(stream: DataFrame, key: str = "worker_id", alarm_at: i
     return rows.groupBy(key).applyInPandasWithState(follow, f"{key} bigint, event_id bigint, ts_us bigint", "streak bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_active(edges: DataFrame, key: str = "worker_id", idle_ms: int = 86_400_000) -> DataFrame:
+def stream_active(edges: DataFrame, key: str = "worker_id", idle_s: int = 86_400, lateness: str = LATENESS) -> DataFrame:
     """Conversions in flight per worker after each edge ``(key, event_id, t_us, delta)``, never below zero.
 
-    Workers silent for ``idle_ms`` are forgotten.
+    Workers without an edge for ``idle_s`` seconds of stream time are forgotten.
     """
     def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -79,12 +79,13 @@ def stream_active(edges: DataFrame, key: str = "worker_id", idle_ms: int = 86_40
             level = max(0, level + int(delta))
             levels.append(level)
         state.update((level,))
-        state.setTimeoutDuration(idle_ms)
+        newest_ms = max(int(rows["t_us"].iloc[-1]) // 1000, state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(newest_ms + idle_s * 1000)
         yield rows.assign(active=levels)[[key, "event_id", "t_us", "delta", "active"]]
 
-    rows = edges.select(key, "event_id", "t_us", "delta")
+    rows = edges.select(key, "event_id", "t_us", "delta", F.timestamp_micros("t_us").alias("at")).withWatermark("at", lateness)
     schema = f"{key} bigint, event_id bigint, t_us bigint, delta int, active bigint"
-    return rows.groupBy(key).applyInPandasWithState(follow, schema, "level bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(follow, schema, "level bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str = "plain"):
