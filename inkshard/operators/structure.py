@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
@@ -235,5 +235,14 @@ def decoration_segments(runs: DataFrame, keys: Sequence[str] = ("doc_id", "block
         return scan.by(*scan.keys, "segment", "_u", "_s").joined_text(lines, "_t")
 
     out = over_groups(runs, list(keys), POS, body, **limits)
-    wrapped = F.concat(F.when(F.col("_u"), "\\uline{").otherwise(""), F.when(F.col("_s"), "\\sout{").otherwise(""), F.col("text"), F.when(F.col("_s"), "}").otherwise(""), F.when(F.col("_u"), "}").otherwise(""))
+    # A segment in several parts is wrapped once, around all of them.
+    starts = F.col("part") == 0
+    ends = F.col("part") == F.max("part").over(Window.partitionBy(*keys, "segment"))
+    wrapped = F.concat(
+        F.when(starts & F.col("_u"), "\\uline{").otherwise(""),
+        F.when(starts & F.col("_s"), "\\sout{").otherwise(""),
+        F.col("text"),
+        F.when(ends & F.col("_s"), "}").otherwise(""),
+        F.when(ends & F.col("_u"), "}").otherwise(""),
+    )
     return out.select(*keys, F.col("segment").cast("int").alias("segment"), "part", wrapped.alias("text"))
