@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
-from inkshard.functions.text import col, lookup, strip
+from inkshard.functions.text import col, let, lookup
 
 _HEX6 = r"^#?([0-9A-Fa-f]{6})$"
 _HEX3 = r"^#?([0-9A-Fa-f])([0-9A-Fa-f])([0-9A-Fa-f])$"
@@ -21,9 +21,11 @@ def _hex6_or_3(v: Column) -> Column:
 
 def css_hex(value: Column | str) -> Column:
     """``#RGB``, ``#RRGGBB`` (hash optional) or ``rgb()`` with any spaces, as ``RRGGBB``."""
-    v = F.regexp_replace(col(value), r"\s", "")
-    part = lambda i: F.regexp_extract(v, _RGB, i).try_cast("bigint")
-    return F.coalesce(_hex6_or_3(v), F.when(v.rlike(_RGB), F.format_string("%02X%02X%02X", part(1), part(2), part(3))))
+    def parse(v: Column) -> Column:
+        part = lambda i: F.regexp_extract(v, _RGB, i).try_cast("bigint")
+        return F.coalesce(_hex6_or_3(v), F.when(v.rlike(_RGB), F.format_string("%02X%02X%02X", part(1), part(2), part(3))))
+
+    return let(F.regexp_replace(col(value), r"\s+", ""), parse)
 
 
 def named_hex(value: Column | str, names: Mapping[str, str]) -> Column:
@@ -32,8 +34,7 @@ def named_hex(value: Column | str, names: Mapping[str, str]) -> Column:
 
 def run_hex(value: Column | str) -> Column:
     """Colour of a run: six hex digits; ``auto`` and theme names mean none."""
-    v = strip(col(value))
-    return F.when(v.rlike(_HEX6), F.upper(F.regexp_extract(v, _HEX6, 1)))
+    return F.nullif(F.upper(F.regexp_extract(col(value), r"^\s*#?([0-9A-Fa-f]{6})\s*$", 1)), F.lit(""))
 
 
 def cell_hex(value: Column | str) -> Column:

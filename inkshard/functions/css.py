@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
 from inkshard.functions.color import css_hex, named_hex
-from inkshard.functions.text import col, first, group, half_even, half_up, lookup, one_of, strip
+from inkshard.functions.text import col, first, group, half_even, half_up, let, lookup, one_of, strip
 
 _LENGTH = r"^([+-]?\d+(?:\.\d+)?)([A-Za-z%]*)$"
 
@@ -40,15 +40,16 @@ def css_value(style: Column | str, prop: str, policy: str = "last") -> Column:
 
 def css_map(style: Column | str, policy: str = "last") -> Column:
     """All declarations as a map; duplicate keys are resolved by ``policy`` (see ``css_value``)."""
-    decls = declarations(style)
-    keys = F.array_distinct(F.transform(decls, lambda d: d["k"]))
+    def build(decls: Column) -> Column:
+        def pick(k: Column) -> Column:
+            hits = F.filter(decls, lambda d: d["k"] == k)
+            value = first(hits)["v"] if policy == "first" else F.try_element_at(hits, F.lit(-1))["v"]
+            return F.lower(value) if policy == "last_lower" else value
 
-    def pick(k: Column) -> Column:
-        hits = F.filter(decls, lambda d: d["k"] == k)
-        value = first(hits)["v"] if policy == "first" else F.try_element_at(hits, F.lit(-1))["v"]
-        return F.lower(value) if policy == "last_lower" else value
+        keys = F.array_distinct(F.transform(decls, lambda d: d["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, pick))
 
-    return F.map_from_arrays(keys, F.transform(keys, pick))
+    return let(declarations(style), build)
 
 
 def css_twips(value: Column | str) -> Column:
@@ -168,53 +169,55 @@ def css_cascade(chain: Column | str) -> Column:
     (Strong, Emph, Underline, Strikeout, Superscript, Subscript).
     """
     start = F.from_json(F.lit("{}"), RUN_PROPS)
+    # Every style is parsed once; the fold itself only reads maps.
+    parsed = F.transform(col(chain), lambda n: F.struct(n["kind"].alias("kind"), css_map(F.when(n["kind"] == "Span", n["style"]), "last_lower").alias("css")))
 
     def merge(acc: Column, node: Column) -> Column:
-        style = F.when(node["kind"] == "Span", node["style"])
-        val = lambda prop: css_value(style, prop, "last_lower")
+        val = lambda prop: F.try_element_at(node["css"], F.lit(prop))
         weight, slant = val("font-weight"), val("font-style")
         deco = F.coalesce(val("text-decoration"), val("text-decoration-line"))
         flag = lambda name, kind, new: F.when(node["kind"] == kind, F.lit(True)).otherwise(new).alias(name)
         line = lambda name, token: F.when(deco == "none", F.lit(False)).when(has_token(deco, token), F.lit(True)).otherwise(acc[name])
+        given = lambda prop, value, name: F.when(val(prop).isNotNull(), F.coalesce(value, acc[name])).otherwise(acc[name]).alias(name)
         return F.struct(
             flag("bold", "Strong", F.when(weight.isNotNull(), is_bold(weight)).otherwise(acc["bold"])),
             flag("italic", "Emph", F.when(slant.isNotNull(), slant.isin("italic", "oblique")).otherwise(acc["italic"])),
             flag("underline", "Underline", line("underline", "underline")),
             flag("strikeout", "Strikeout", line("strikeout", "line-through")),
-            F.coalesce(css_hex(val("color")), acc["fg"]).alias("fg"),
-            F.coalesce(css_hex(val("background-color")), acc["bg"]).alias("bg"),
-            F.coalesce(font_half_points(val("font-size"), acc["size"]), acc["size"]).alias("size"),
-            F.coalesce(first_font(val("font-family")), acc["font"]).alias("font"),
+            given("color", css_hex(val("color")), "fg"),
+            given("background-color", css_hex(val("background-color")), "bg"),
+            given("font-size", font_half_points(val("font-size"), acc["size"]), "size"),
+            given("font-family", first_font(val("font-family")), "font"),
             F.when(node["kind"].isin("Superscript", "Subscript"), F.lower(node["kind"])).otherwise(acc["valign"]).alias("valign"),
         ).cast(RUN_PROPS)
 
-    return F.aggregate(col(chain), start, merge)
+    return F.aggregate(parsed, start, merge)
 
 
 def css_border(value: Column | str) -> Column:
     """``struct(sz, val, color)`` of a border shorthand in any order; null when nothing is usable."""
-    v = F.regexp_replace(col(value), r"\s+(?=[^()]*\))", "")
-    tokens = F.filter(F.split(v, r"\s+"), lambda t: t != "")
-    low = F.transform(tokens, F.lower)
-    styles = F.filter(low, lambda t: one_of(t, K.BORDER_STYLES))
+    is_style = lambda t: one_of(F.lower(t), K.BORDER_STYLES)
     is_size = lambda t: t.rlike(r"^[\d.]+[A-Za-z]*$")
+    present = lambda arr: F.filter(arr, lambda x: x.isNotNull())
 
     def eighths(t: Column) -> Column:
-        number = F.regexp_extract(t, r"^([\d.]+)([a-z]*)$", 1).try_cast("double")
-        return half_up(number * lookup(F.regexp_extract(t, r"^([\d.]+)([a-z]*)$", 2), K.EIGHTHS_PER_UNIT))
-
-    sizes = F.filter(F.transform(F.filter(low, is_size), eighths), lambda x: x.isNotNull())
-    others = F.filter(tokens, lambda t: ~one_of(F.lower(t), K.BORDER_STYLES) & ~is_size(F.lower(t)))
-    colors = F.filter(F.transform(others, lambda t: F.coalesce(css_hex(t), named_hex(t, K.BORDER_COLORS))), lambda x: x.isNotNull())
-    usable = (F.size(styles) > 0) | (F.size(sizes) > 0) | (F.size(colors) > 0)
-    return F.when(
-        usable,
-        F.struct(
-            F.coalesce(first(sizes), F.lit(4)).cast("int").alias("sz"),
-            F.coalesce(lookup(F.try_element_at(styles, F.lit(-1)), K.BORDER_STYLES), F.lit("single")).alias("val"),
-            F.coalesce(first(colors), F.lit("000000")).alias("color"),
-        ),
-    )
+        number = F.regexp_extract(t, r"^([\d.]+)([A-Za-z]*)$", 1).try_cast("double")
+        return half_up(number * lookup(F.lower(F.regexp_extract(t, r"^([\d.]+)([A-Za-z]*)$", 2)), K.EIGHTHS_PER_UNIT))
+
+    def sort_out(tokens: Column) -> Column:
+        return F.struct(
+            first(present(F.transform(F.filter(tokens, lambda t: is_size(t) & ~is_style(t)), eighths))).alias("sz"),
+            lookup(F.lower(F.try_element_at(F.filter(tokens, is_style), F.lit(-1))), K.BORDER_STYLES).alias("val"),
+            first(present(F.transform(F.filter(tokens, lambda t: ~is_size(t) & ~is_style(t)), lambda t: F.coalesce(css_hex(t), named_hex(t, K.BORDER_COLORS))))).alias("color"),
+        )
+
+    def fill(b: Column) -> Column:
+        whole = F.struct(F.coalesce(b["sz"], F.lit(4)).cast("int").alias("sz"), F.coalesce(b["val"], F.lit("single")).alias("val"), F.coalesce(b["color"], F.lit("000000")).alias("color"))
+        return F.when(F.coalesce(b["sz"].cast("string"), b["val"], b["color"]).isNotNull(), whole)
+
+    # White space inside rgb() must not split it.
+    v = F.regexp_replace(col(value), r"\s+(?=[^()]*\))", "")
+    return let(let(F.filter(F.split(v, r"\s+"), lambda t: t != ""), sort_out), fill)
 
 
 def border_sides(style: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from inkshard.functions import constants as K
-from inkshard.functions.text import col, escape_xml, lookup
+from inkshard.functions.text import col, escape_xml, let, lookup
 
 # The prefixes are parameters: pass the ones your documents already use.
 RUN_PREFIX = "FolioColor"
@@ -24,13 +24,13 @@ def half_points(value: Column | str) -> Column:
 
 
 def _segment(key: str, value: Column) -> Column:
-    return F.when(F.length(value) > 0, F.concat(F.lit(key + "_"), value))
+    return F.concat(F.lit(key + "_"), value)
 
 
 def style_id(fg: Column, bg: Column, highlight: Column, size: Column, size_cs: Column, prefix: str = RUN_PREFIX) -> Column:
     """Id of a run style; absent parts are left out, the complex-script size only when it differs."""
     cs = F.when(~size_cs.eqNullSafe(size), size_cs)
-    return F.concat_ws("__", F.lit(prefix), _segment("FG", fg), _segment("BG", bg), _segment("HL", highlight), _segment("SZ", size), _segment("SZCS", cs))
+    return F.concat_ws("__", F.lit(prefix), _segment("FG", fg), _segment("BG", bg), _segment("HL", F.nullif(highlight, F.lit(""))), _segment("SZ", size), _segment("SZCS", cs))
 
 
 def paragraph_style_id(align: Column, indent: Column, prefix: str = PARAGRAPH_PREFIX) -> Column:
@@ -70,12 +70,15 @@ def mark_parse(text: Column | str) -> Column:
 
 def mark_merge(text: Column | str, props: Column | str) -> Column:
     """Add properties to a text's mark: new values win, other keys stay; a mark is made if there is none."""
-    parsed, new = mark_parse(text), col(props)
-    kept = F.map_filter(parsed["props"], lambda k, v: ~F.map_contains_key(new, k))
-    old_order = F.transform(F.map_keys(parsed["props"]), lambda k: F.struct(k.alias("key"), F.coalesce(F.try_element_at(new, k), F.try_element_at(kept, k)).alias("value")))
-    added = F.filter(F.map_entries(new), lambda e: ~F.array_contains(F.map_keys(parsed["props"]), e["key"]))
-    pairs = F.transform(F.concat(old_order, F.transform(added, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return F.concat(F.lit(K.PROPS_OPEN), F.array_join(pairs, ";"), F.lit(K.PROPS_CLOSE), parsed["rest"])
+    new = col(props)
+
+    def merge(parsed: Column) -> Column:
+        old = parsed["props"]
+        kept = F.transform(F.map_keys(old), lambda k: F.concat_ws("=", k, F.coalesce(F.try_element_at(new, k), F.try_element_at(old, k))))
+        added = F.transform(F.filter(F.map_entries(new), lambda e: ~F.map_contains_key(old, e["key"])), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        return F.concat(F.lit(K.PROPS_OPEN), F.array_join(F.concat(kept, added), ";"), F.lit(K.PROPS_CLOSE), parsed["rest"])
+
+    return let(mark_parse(text), merge)
 
 
 def mark_strip(text: Column | str) -> Column:

@@ -14,7 +14,12 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, also inside lambdas, where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def lookup(key: Column, table: Mapping) -> Column:

@@ -22,10 +22,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkshard.session import leaf_bytes
+from inkshard.session import SMALL_INPUT_BYTES, leaf_bytes
 
 HEAVY_ROWS = 1_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 _CHUNK = ("_chunk_major", "_chunk_minor")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkshard.functions.text import escape_xml
 from inkshard.operators.ordered import Scan, over_groups
 from inkshard.operators.text import PART_ROWS
+from inkshard.session import spread_small
 from inkshard.sources.html import filled_blocks, flat_page, html_segments
 
 DIALECTS = ("plain", "markdown", "textile", "html")
@@ -114,6 +115,7 @@ def render_pages(pages: DataFrame, dialect: str = "plain", html: str = "html") -
     shuffle, no Python.  Numbering items, and the heading anchors of Textile, need block
     rows; those pages go through ordered scans.
     """
+    pages = spread_small(pages)
     by_rows = F.lower(F.col(html)).contains("<ol") | F.lit(dialect == "textile")
     flat = pages.filter(~by_rows).select("doc_id", filled_blocks(flat_page(F.col(html), _BOLD[dialect])).alias("flat"))
     n = F.length("flat") - F.length(F.replace("flat", F.lit("\x01"), F.lit("")))

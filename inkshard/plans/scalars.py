@@ -154,7 +154,8 @@ def _(spark, sf):
 def _(spark, sf):
     none = F.lit(None).cast("string")
     sid = S.style_id(C.run_hex("color"), C.run_hex("fill"), F.col("highlight"), S.half_points("sz"), none)
-    parsed = raw_runs(spark, sf).select(S.parse_style_id(sid).alias("p")).select("p.*")
+    # The id is a column of its own, so that it is built once and not once per part read from it.
+    parsed = raw_runs(spark, sf).select(sid.alias("sid")).select(S.parse_style_id("sid").alias("p")).select("p.*")
     return parsed.groupBy("fg", "bg", "hl", "sz").agg(F.count(F.lit(1)).alias("n"))
 
 

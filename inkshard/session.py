@@ -37,3 +37,17 @@ def leaf_bytes(df: DataFrame) -> int:
     for i in range(leaves.size()):
         total += int(leaves.apply(i).stats().sizeInBytes())
     return total
+
+
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores before heavy work on each row.
+
+    A small table sits in one or two files and so in one or two tasks.  Anything larger
+    has enough scan tasks of its own and is left alone: moving it would cost a shuffle.
+    """
+    if df.isStreaming or leaf_bytes(df) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -15,9 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from inkshard.operators.structure import list_level
+from inkshard.sources.shred import shred
 
 # Parts that hold body content.
 BODY_PARTS = ["word/document.xml", "word/footnotes.xml", "word/endnotes.xml", "word/comments.xml"]
@@ -54,46 +54,46 @@ def is_body_part(part: str) -> Column:
     return F.col(part).isin(BODY_PARTS) | F.col(part).rlike(r"^word/(header|footer).*\.xml$")
 
 
-@udtf(
-    returnType="pos int, close_pos int, depth int, parent_pos int, parent_tag string, tag string, attrs map<string,string>, text string, "
+XML_NODE = (
+    "pos int, close_pos int, depth int, parent_pos int, parent_tag string, tag string, attrs map<string,string>, text string, "
     "r_pos int, p_pos int, tc_pos int, tr_pos int, tbl_pos int, sect_pos int"
 )
-class XmlNodes:
-    """Elements of one part in document order, with the nearest run, paragraph, cell, row, table and section."""
-
-    HOLDERS = ("r", "p", "tc", "tr", "tbl", "sectPr")
-
-    def eval(self, xml: bytes):
-        # A document type may pull in files or explode; such parts are skipped like broken ones.
-        if xml is None or b"<!DOCTYPE" in xml or b"<!ENTITY" in xml:
-            return
-        try:
-            root = ElementTree.fromstring(xml)
-        except ElementTree.ParseError:
-            return
-        name = lambda n: n.rpartition("}")[2]
-        pos, done, todo = 0, [], [(root, None, dict.fromkeys(self.HOLDERS))]
-        # An explicit stack, since office documents nest deeper than Python likes to recurse.
-        while todo:
-            item = todo.pop()
-            if isinstance(item, list):
-                item[1] = pos
-                pos += 1
-                continue
-            el, parent, around = item
-            tag = name(el.tag)
-            node = [pos, None, 1 + (parent[2] if parent else 0), parent[0] if parent else None, parent[5] if parent else None, tag, {name(k): v for k, v in el.attrib.items()}, el.text or ""]
-            around = {**around, tag: pos} if tag in around else around
-            node += [around[h] for h in self.HOLDERS]
-            done.append(node)
+_HOLDERS = ("r", "p", "tc", "tr", "tbl", "sectPr")
+
+
+def _parse(xml: bytes) -> list[list]:
+    """Elements in document order, each with the nearest run, paragraph, cell, row, table and section."""
+    # A document type may pull in files or explode; such parts are skipped like broken ones.
+    if b"<!DOCTYPE" in xml or b"<!ENTITY" in xml:
+        return []
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return []
+    name = lambda n: n.rpartition("}")[2]
+    pos, done, todo = 0, [], [(root, None, dict.fromkeys(_HOLDERS))]
+    # An explicit stack, since office documents nest deeper than Python likes to recurse.
+    while todo:
+        item = todo.pop()
+        if isinstance(item, list):
+            item[1] = pos
             pos += 1
-            todo.append(node)
-            todo.extend((child, node, around) for child in reversed(el))
-        yield from (tuple(n) for n in done)
+            continue
+        el, parent, around = item
+        tag = name(el.tag)
+        node = [pos, None, 1 + (parent[2] if parent else 0), parent[0] if parent else None, parent[5] if parent else None, tag, {name(k): v for k, v in el.attrib.items()}, el.text or ""]
+        around = {**around, tag: pos} if tag in around else around
+        node += [around[h] for h in _HOLDERS]
+        done.append(node)
+        pos += 1
+        todo.append(node)
+        todo.extend((child, node, around) for child in reversed(el))
+    return done
 
 
 def docx_nodes(parts: DataFrame) -> DataFrame:
-    return parts.lateralJoin(XmlNodes(F.col("xml").outer())).drop("xml")
+    """Element rows of every part."""
+    return shred(parts, "xml", _parse, XML_NODE)
 
 
 def _value(tag: str, parent: str, attr: str = "val") -> Column:

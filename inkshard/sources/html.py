@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from inkshard.functions.text import col
+from inkshard.session import spread_small
+from inkshard.sources.shred import shred
 
 TOKEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]+>|[^<]+"
 
@@ -32,7 +34,7 @@ _CUT, _END, _BREAK = "\x01", "\x02", "\x03"
 
 def html_tokens(df: DataFrame, html: str = "html") -> DataFrame:
     """``(doc_id, pos, tok, kind, tag)``; comments, scripts and styles are one token each."""
-    toks = df.select("doc_id", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    toks = spread_small(df.select("doc_id", html)).select("doc_id", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     return toks.select("doc_id", "pos", "tok", token_kind("tok").alias("kind"), token_tag("tok").alias("tag"))
 
 
@@ -84,7 +86,7 @@ def flat_page(html: Column, bold: str = "$1") -> Column:
     t = F.regexp_replace(t, _BOLD, bold)
     t = F.regexp_replace(t, r"(?i)<br\b[^>]*>", _BREAK)
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
+    t = F.regexp_replace(t, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
     return decode_entities(F.regexp_replace(t, " ?" + _BREAK + " ?", "\n"))
 
 
@@ -166,27 +168,33 @@ class _Tree(HTMLParser):
             self.nodes[self.open[-1]][6] += data
 
 
-@udtf(returnType="pos int, close_pos int, depth int, parent_pos int, tag string, attrs map<string,string>, text string")
-class HtmlNodes:
-    """Nodes of one document; nothing for a missing body."""
+NODE = "pos int, close_pos int, depth int, parent_pos int, tag string, attrs map<string,string>, text string"
 
-    def eval(self, html: str):
-        if html is None:
-            return
-        tree = _Tree()
-        tree.feed(html)
-        tree.close()
-        tree._close_to(0)
-        yield from (tuple(n) for n in tree.nodes)
+
+def _parse(html: str) -> list[tuple]:
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    tree._close_to(0)
+    return [tuple(n) for n in tree.nodes]
 
 
 def html_nodes(df: DataFrame, html: str = "html") -> DataFrame:
-    """``(doc_id, pos, close_pos, depth, parent_pos, tag, attrs, text)`` in document order.
+    """``(doc_id, pos, close_pos, depth, parent_pos, tag, attrs, text)`` in document order; nothing for a missing body.
 
     ``pos`` and ``close_pos`` number the opening and closing of nodes, so a node lies
     inside another exactly when its ``pos`` lies between them.
     """
-    return df.lateralJoin(HtmlNodes(F.col(html).outer())).select("doc_id", "pos", "close_pos", "depth", "parent_pos", "tag", "attrs", "text")
+    return shred(df.select("doc_id", html), html, _parse, NODE)
+
+
+@udtf(returnType=NODE)
+class HtmlNodes:
+    """The same for SQL."""
+
+    def eval(self, html: str):
+        if html is not None:
+            yield from _parse(html)
 
 
 def register_html_nodes(spark) -> None:
