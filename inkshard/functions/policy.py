@@ -24,6 +24,11 @@ def route_error(source: Column | str, target: Column | str) -> Column:
     )
 
 
+def allowed_options(filter_dir: str) -> list[str]:
+    """Every option a conversion may carry when its rewrite steps live in ``filter_dir``."""
+    return [*(f"--lua-filter={filter_dir}/{name}.lua" for name in K.REWRITES), *K.PLAIN_OPTIONS, *K.PREFIX_OPTIONS]
+
+
 def bad_option(options: Column | str, allowed=None, prefixes=None) -> Column:
     """First option that is neither allowed as it is nor starts with an allowed prefix; null when all are fine."""
     exact = _words(allowed if allowed is not None else [*K.PLAIN_OPTIONS, *K.PREFIX_OPTIONS])

@@ -56,6 +56,12 @@ def test_route_errors_in_order(spark):
     assert got == ["Format parameters must be alphanumeric", "Invalid source format: odt", "Invalid target format: xls", None]
 
 
+def test_options(spark):
+    allowed = policy.allowed_options("/filters")
+    df = spark.createDataFrame([(["--toc", "--lua-filter=/filters/html_lists.lua", "--reference-doc=a b"],), (["--toc", "--lua-filter=/x.lua", "--bad"],), ([],)], "o array<string>")
+    assert [r[0] for r in df.select(policy.bad_option("o", allowed)).collect()] == [None, "--lua-filter=/x.lua", None]
+
+
 def test_size_limit():
     mb = 1024 * 1024
     assert [policy.size_limit_bytes(v) for v in ("7", 0, "-1", "x", None)] == [7 * mb, 500 * mb, 500 * mb, 500 * mb, 500 * mb]
