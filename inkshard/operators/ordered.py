@@ -26,7 +26,8 @@ from inkshard.session import SMALL_INPUT_BYTES, leaf_bytes
 
 HEAVY_ROWS = 1_000_000
 
-_CHUNK = ("_chunk_major", "_chunk_minor")
+# Two rounds of slicing, each along the first and, where needed, the second order column.
+_CHUNK = ("_chunk_major", "_chunk_minor", "_burst_major", "_burst_minor")
 
 
 class Scan:
@@ -199,7 +200,7 @@ def over_groups(
 
     heavy = heavy_groups(df, keys, order, heavy_rows)
     light = df.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
-    chunked = with_chunks(df, heavy, keys, order)
+    chunked = with_chunks(df, heavy, keys, order, heavy_rows)
     left = body(light, Scan(keys, order))
     right = body(chunked, ChunkedScan(keys, order)).drop(*_CHUNK)
     return left.unionByName(right)
@@ -215,13 +216,24 @@ def heavy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy
     return heavy.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(heavy_rows)).cast("double"))
 
 
-def with_chunks(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def with_chunks(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: Sequence[str], heavy_rows: int) -> DataFrame:
     """Rows of heavy groups with chunk columns that grow with ``order``.
 
-    Chunks are equal slices of the first order column.  Where that column has fewer
-    values than chunks are wanted, each value is sliced again along the second one.
+    Slices are equal in range, not in rows, so a burst may still fill one of them; such
+    slices are cut again between their own bounds, much finer.
+    """
+    sliced = _slices(df.join(F.broadcast(heavy), list(keys), "inner"), order, _CHUNK[:2])
+    inner_keys = [*keys, *_CHUNK[:2]]
+    bursts = heavy_groups(sliced, inner_keys, order, heavy_rows).withColumn("_parts", F.col("_parts") * 64)
+    return _slices(sliced.join(F.broadcast(bursts), inner_keys, "left"), order, _CHUNK[2:])
+
+
+def _slices(df: DataFrame, order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Equal slices of the first order column between the bounds at hand; slice 0 where there are none.
+
+    Where that column has fewer values than slices are wanted, each value is sliced again
+    along the second one.
     """
-    out = df.join(F.broadcast(heavy), list(keys), "inner")
     first = F.col(order[0]).cast("double")
     span0 = F.col("_hi0") - F.col("_lo0")
     narrow = (span0 < F.col("_parts")) if len(order) > 1 else F.lit(False)
@@ -233,5 +245,5 @@ def with_chunks(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: Seq
         slice1 = F.when(span1 > 0, F.floor((F.col(order[1]).cast("double") - F.col("_lo1")) * per_value / span1)).otherwise(F.lit(0))
         minor = F.when(narrow, slice1).otherwise(F.lit(0)).cast("bigint")
     major = F.when(narrow, first).otherwise(slice0.cast("double"))
-    out = out.withColumn(_CHUNK[0], major).withColumn(_CHUNK[1], minor)
+    out = df.withColumn(names[0], major).withColumn(names[1], minor)
     return out.drop("_rows", "_parts", "_lo0", "_hi0", "_lo1", "_hi1")

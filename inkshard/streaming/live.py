@@ -102,10 +102,14 @@ def drain(df: DataFrame, out_dir: str, checkpoint: str) -> None:
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def read_table_stream(spark: SparkSession, pattern: str, ts: str | None = None) -> DataFrame:
-    """A parquet folder or file pattern as a stream, with ``ts`` cast for watermarks."""
+def read_table_stream(spark: SparkSession, pattern: str, ts: str | None = None, max_files: int = 100) -> DataFrame:
+    """A parquet folder or file pattern as a stream, with ``ts`` cast for watermarks.
+
+    ``max_files`` bounds a micro-batch, and with it the rows of one worker the stateful
+    operators hold at a time.
+    """
     schema = spark.read.parquet(pattern).schema
-    stream = spark.readStream.schema(schema).parquet(pattern)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
     return stream if ts is None else stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkshard.operators import conversion_log as L
 from inkshard.operators import tables as T
-from inkshard.operators.ordered import over_groups
+from inkshard.operators.ordered import _CHUNK, heavy_groups, over_groups, with_chunks
 from inkshard.operators.text import join_text
 
 FORCED = {"heavy_rows": 4, "small_input_bytes": 0}
@@ -57,6 +57,19 @@ def test_two_order_columns(spark):
     assert get(FORCED) == get(PLAIN) == [(a, b, a * 15 + b + 1) for a in (0, 1) for b in range(15)]
 
 
+def test_bursts_are_cut_again(spark):
+    """Most rows of a huge group within a sliver of its range, many at the very same time."""
+    data = [(1, 10**9 if i == 0 else (5 if i % 2 else i), i, i % 3 - 1) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, t bigint, id int, d int")
+    body = lambda x, s: s.running(s.floored_level(x, "n", F.col("d")), last=("last", F.when(F.col("d") == 1, F.col("id"))))
+    get = lambda limits: sorted(map(str, over_groups(df, ["k"], ["t", "id"], body, **limits).select("t", "id", "n", "last").collect()))
+    cut = {"heavy_rows": 20, "small_input_bytes": 0}
+    assert get(cut) == get(PLAIN)
+    heavy = heavy_groups(df, ["k"], ["t", "id"], 20)
+    sizes = [r["count"] for r in with_chunks(df, heavy, ["k"], ["t", "id"], 20).groupBy(*_CHUNK).count().collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 40
+
+
 def test_floored_level_never_negative(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([-1, -1, 1, 1, -1, -1, -1, 1])], "k int, pos int, d int")
     out = over_groups(df, ["k"], ["pos"], lambda x, s: s.floored_level(x, "n", F.col("d")), **FORCED)
