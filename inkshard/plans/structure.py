@@ -293,7 +293,7 @@ _DECO = "SELECT l_orderkey AS doc_id, pos, CASE WHEN l_partkey % 7 = 0 THEN '' E
     rf"""WITH b AS ({STYLED_RUNS.replace("SELECT l_orderkey AS doc_id", "SELECT l_partkey, l_suppkey, l_orderkey")}), r AS ({_DECO} FROM b),
     p AS (SELECT *, bg IS NULL AND NOT is_break AS is_plain FROM r), a AS (SELECT *, bool_and(is_plain) OVER (PARTITION BY doc_id) AS all_plain FROM p),
     s AS (SELECT *, CAST(sum(CAST(is_break AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS segment FROM a WHERE NOT all_plain)
-    SELECT doc_id, segment, CASE WHEN underline THEN '\uline{{' ELSE '' END || CASE WHEN strikeout THEN '\sout{{' ELSE '' END ||
+    SELECT doc_id, segment, CAST(0 AS BIGINT) AS part, CASE WHEN underline THEN '\uline{{' ELSE '' END || CASE WHEN strikeout THEN '\sout{{' ELSE '' END ||
       string_agg(CASE WHEN bg = 'FFFF00' THEN '{{\setlength{{\fboxsep}}{{0pt}}\colorbox[HTML]{{FFFF00}}{{\strut{{}}' || text || '}}}}' ELSE text END, '' ORDER BY pos)
       || CASE WHEN strikeout THEN '}}' ELSE '' END || CASE WHEN underline THEN '}}' ELSE '' END AS text
     FROM s WHERE NOT is_break GROUP BY doc_id, segment, underline, strikeout""",
@@ -309,7 +309,7 @@ def _(spark, sf):
         "CASE l_suppkey % 4 WHEN 0 THEN 'FFFF00' WHEN 1 THEN 'FFFFFF' END AS bg",
     )
     runs = runs.withColumn("is_plain", F.col("bg").isNull() & ~F.col("is_break"))
-    return S.decoration_segments(runs, ["doc_id"]).drop("part")
+    return S.decoration_segments(runs, ["doc_id"])
 
 
 @plan("w20_first_number_split", f"""{BLOCKS}, f AS (SELECT doc_id, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM b WHERE regexp_matches(text, '[0-9]'))
