@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
 from inkshard.functions.policy import bearer_token, protected_path
-from inkshard.operators.ordered import Scan, over_groups
+from inkshard.operators.ordered import CHUNK_US, Scan, over_groups
 
 ROUTE = ["source_format", "target_format"]
 TIME = ["ts_us", "event_id"]
@@ -121,28 +120,28 @@ def size_profile(log: DataFrame) -> DataFrame:
 # Along time.
 
 
-def failure_streaks(log: DataFrame, keys: Sequence[str] = ("worker_id",), **limits) -> DataFrame:
+def failure_streaks(log: DataFrame, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
     """Failed rows with their place in the present streak of failures."""
-    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, streak_pos=(~F.col("ok"), F.col("ok"))), **limits)
+    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, streak_pos=(~F.col("ok"), F.col("ok"))), chunk_us)
     return out.filter(~F.col("ok")).select(*keys, *TIME, "streak_pos")
 
 
-def streak_lengths(log: DataFrame, keys: Sequence[str] = ("worker_id",), **limits) -> DataFrame:
+def streak_lengths(log: DataFrame, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
     """``(keys, start_us, length)`` of every streak of failures."""
     def body(df: DataFrame, scan: Scan) -> DataFrame:
         return scan.running(df, streak=("sum", F.when(F.col("ok"), 1).otherwise(0)))
 
-    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, body, **limits).filter(~F.col("ok"))
+    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, body, chunk_us).filter(~F.col("ok"))
     return out.groupBy(*keys, "streak").agg(F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("length")).drop("streak")
 
 
-def active_conversions(log: DataFrame, busy_s: str = "busy_s", keys: Sequence[str] = (), **limits) -> DataFrame:
+def active_conversions(log: DataFrame, busy_s: str = "busy_s", keys: Sequence[str] = (), chunk_us: int = CHUNK_US) -> DataFrame:
     """Conversions in flight after every start and end; ends come before starts at the same time."""
     end_us = F.col("ts_us") + F.floor(F.col(busy_s) * 1_000_000).cast("bigint")
     edge = lambda at, d: F.struct(at.alias("t_us"), F.lit(d).alias("delta"))
     edges = log.select(*keys, "event_id", F.explode(F.array(edge(F.col("ts_us"), 1), edge(end_us, -1))).alias("e"))
     edges = edges.select(*keys, "event_id", "e.t_us", "e.delta", F.lit(0).alias("_all"))
-    out = over_groups(edges, [*keys, "_all"], ["t_us", "delta", "event_id"], lambda df, scan: scan.floored_level(df, "active", F.col("delta")), **limits)
+    out = over_groups(edges, [*keys, "_all"], ["t_us", "delta", "event_id"], lambda df, scan: scan.floored_level(df, "active", F.col("delta")), chunk_us)
     return out.drop("_all")
 
 
@@ -151,11 +150,11 @@ def peak_active(active: DataFrame, every_us: int, keys: Sequence[str] = ()) -> D
     return active.groupBy(*keys, bucket).agg(F.max("active").alias("peak"))
 
 
-def restart_points(log: DataFrame, n: int, keys: Sequence[str] = ("worker_id",), **limits) -> DataFrame:
+def restart_points(log: DataFrame, n: int, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
     """Conversions before which the worker restarts: every ``n``-th; ``n`` = 0 never."""
     if n <= 0:
         return log.select(*keys, *TIME).filter(F.lit(False))
-    out = over_groups(log.select(*keys, *TIME), keys, TIME, lambda df, scan: scan.ordinal(df, "n"), **limits)
+    out = over_groups(log.select(*keys, *TIME), keys, TIME, lambda df, scan: scan.ordinal(df, "n"), chunk_us)
     return out.filter(F.col("n") % n == 0).select(*keys, *TIME)
 
 
@@ -187,59 +186,10 @@ def retry_outcome(attempts: DataFrame, key: str, attempt: str, ok: str, error: s
     )
 
 
-def health_restarts(checks: DataFrame, keys: Sequence[str] = ("worker_id",), threshold: int = 3, restart_ok: str | None = None, **limits) -> DataFrame:
-    """Checks at which a restart is tried: after ``threshold`` failures in a row.
-
-    A restart that works starts the count anew; one that fails is tried again at every
-    further failing check.  Without a ``restart_ok`` column restarts always work.
-    """
-    columns = [*keys, *TIME, "ok"]
-    if restart_ok is None:
-        out = over_groups(checks.select(*columns), keys, TIME, lambda df, scan: scan.count_since(df, n=(~F.col("ok"), F.col("ok"))), **limits)
-        return out.filter(~F.col("ok") & (F.col("n") % threshold == 0)).select(*keys, *TIME)
-    rows = checks.select(*columns, F.col(restart_ok).alias("restart_ok"))
-    out = over_groups(rows, keys, TIME, lambda df, scan: _restart_attempts(df, scan, threshold), **limits)
-    return out.filter("attempt").select(*keys, *TIME)
-
-
-def _restart_attempts(df: DataFrame, scan: Scan, threshold: int) -> DataFrame:
-    """Follow the failure count through each piece of a group, from the count the piece starts with."""
-    def walk(pdf: pd.DataFrame, state: int) -> tuple[list[bool], int]:
-        tried = []
-        for ok, works in zip(pdf["ok"], pdf["restart_ok"]):
-            state = 0 if ok else min(state + 1, threshold)
-            tried.append(state == threshold)
-            if tried[-1] and works:
-                state = 0
-        return tried, state
-
-    # Where a piece ends up for each count it may start with.
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        row = pdf[scan.pieces].iloc[[0]].copy()
-        row["ends"] = [[walk(pdf, s)[1] for s in range(threshold + 1)]]
-        return row
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values(scan.pieces), 0, []
-        for e in pdf["ends"]:
-            out.append(state)
-            state = int(e[state])
-        return pdf[scan.pieces].assign(start=out)
-
-    def attempts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        return pdf.assign(attempt=walk(pdf, int(pdf["start"].iloc[0]))[0])
-
-    schema = {f.name: f.dataType.simpleString() for f in df.schema}
-    ddl = lambda cols, extra: ", ".join(f"{c} {schema[c]}" for c in cols) + extra
-    if scan.pieces == scan.keys:
-        begun = df.withColumn("start", F.lit(0))
-    else:
-        folded = df.groupBy(*scan.pieces).applyInPandas(ends, ddl(scan.pieces, ", ends array<int>"))
-        begun = df.join(folded.groupBy(*scan.keys).applyInPandas(starts, ddl(scan.pieces, ", start int")), scan.pieces)
-    begun = begun.select(*df.columns, "start")
-    return begun.groupBy(*scan.pieces).applyInPandas(attempts, ddl(df.columns, ", start int, attempt boolean"))
+def health_restarts(checks: DataFrame, keys: Sequence[str] = ("worker_id",), threshold: int = 3, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Checks at which a restart is made: after ``threshold`` failures in a row; the count then starts anew."""
+    out = over_groups(checks.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, n=(~F.col("ok"), F.col("ok"))), chunk_us)
+    return out.filter(~F.col("ok") & (F.col("n") % threshold == 0)).select(*keys, *TIME)
 
 
 # Summaries.

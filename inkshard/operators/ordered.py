@@ -1,18 +1,14 @@
-"""Ordered scans over groups (documents, tables, workers) that survive one huge group.
+"""Ordered scans over groups (documents, tables, workers), in one form for every size.
 
-Most operators here carry state along the rows of a group: a running count, the
-last value seen, the neighbour.  A plain window does that, but puts a whole group
-in one task.  ``over_groups`` therefore runs the same operator body twice:
+Most operators here carry state along the rows of a group: a running count, the last value
+seen, the neighbour.  A plain window would put a whole group in one task.  ``over_groups``
+cuts every group into chunks along its order instead: chunk number is the first order column
+divided by a fixed size, so it needs no look at the data.  Rows are shuffled once, by group
+and chunk; windows run inside a chunk, and one small summary for each scan, a row for each
+chunk, carries state from chunk to chunk.  A document of ordinary size is one chunk, for
+which nothing is carried; a huge one spreads over as many tasks as it has chunks.
 
-* groups of ordinary size use plain windows on the group key (one shuffle);
-* groups with more than ``heavy_rows`` rows are cut into order-preserving chunks;
-  windows run inside a chunk, and a small per-chunk summary carries the state over
-  chunk borders (a two-level prefix scan).  No task holds more than a chunk.
-
-The heavy keys are found with one map-side-combined count over the key and order
-columns; there can be at most rows / heavy_rows of them, so that list is broadcast.
-When everything the query reads is smaller than ``small_input_bytes`` no group can
-be heavy and only the plain form is planned.
+The plan is the same whatever the size of the input or of its groups.
 """
 
 from __future__ import annotations
@@ -22,16 +18,17 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkshard.session import SMALL_INPUT_BYTES, leaf_bytes
-
-HEAVY_ROWS = 1_000_000
+#: Positions in a chunk.
+CHUNK = 65_536
+#: Microseconds in a chunk of a log: six hours.
+CHUNK_US = 6 * 3_600_000_000
 
-# Two rounds of slicing, each along the first and, where needed, the second order column.
-_CHUNK = ("_chunk_major", "_chunk_minor", "_burst_major", "_burst_minor")
+_CHUNK = "_chunk"
+Specs = Mapping[str, tuple[str, Column]]
 
 
 class Scan:
-    """Window computations along ``order`` within ``keys``, for groups of ordinary size."""
+    """Window computations along ``order`` within ``keys``, over rows that carry their chunk."""
 
     def __init__(self, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
@@ -40,41 +37,82 @@ class Scan:
     @property
     def pieces(self) -> list[str]:
         """Columns that cut the rows into pieces small enough for one task."""
-        return self.keys
+        return [*self.keys, _CHUNK]
+
+    def by(self, *keys: str) -> Scan:
+        """The same scan over a finer grouping (``keys`` must contain the present ones)."""
+        return type(self)(keys, self.order)
 
-    def _window(self, last_row: int = Window.currentRow, backwards: bool = False):
+    def _inside(self, last_row: int = Window.currentRow, backwards: bool = False):
         order = [F.desc(o) for o in self.order] if backwards else self.order
-        return Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
+        return Window.partitionBy(*self.pieces).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
 
-    def running(self, df: DataFrame, include_current: bool = True, backwards: bool = False, **specs: tuple[str, Column]) -> DataFrame:
-        """Add running values: ``name=(kind, expr)``, kind one of sum, min, max, last (non-null).
+    def _along(self, backwards: bool = False):
+        """Over the chunks of a group, one row each."""
+        return Window.partitionBy(*self.keys).orderBy(F.desc(_CHUNK) if backwards else F.asc(_CHUNK))
+
+    def _carried(self, df: DataFrame, summaries: Mapping[str, Column], carry: Mapping[str, Column]) -> DataFrame:
+        """``df`` with what its chunk starts from: ``carry`` over the chunk summaries, null in a first chunk."""
+        start = df.groupBy(*self.pieces).agg(*[e.alias(n) for n, e in summaries.items()]).select(*self.pieces, *[e.alias(n) for n, e in carry.items()])
+        return df.join(start.dropna("all", subset=list(carry)), self.pieces, "left")
+
+    def together(self, df: DataFrame, running: Specs = {}, preceding: Specs = {}, following: Specs = {}, totals: Specs = {}) -> DataFrame:
+        """Add values of several kinds behind one summary: ``name=(kind, expr)``, kind one of sum, min, max, last, first (non-null).
 
-        ``backwards`` runs from the end of the group, so ``last`` then means the nearest following value.
+        ``running`` takes the rows up to the present one, ``preceding`` those before it, ``following``
+        those after it from the end of the group on (so ``last`` is the nearest), ``totals`` all.
         """
-        w = self._window(Window.currentRow if include_current else -1, backwards)
-        return df.withColumns({n: _window_agg(kind, e).over(w) for n, (kind, e) in specs.items()})
+        sums, carry, columns = {}, {}, {}
+        earlier = (Window.unboundedPreceding, -1)
+        whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+        for specs, backwards, last_row in ((running, False, Window.currentRow), (preceding, False, -1), (following, True, -1)):
+            for n, (kind, e) in specs.items():
+                sums[f"_c_{n}"] = self._summary(kind, e, backwards)
+                carry[f"_c_{n}"] = _window_agg(kind, F.col(f"_c_{n}")).over(self._along(backwards).rowsBetween(*earlier))
+                columns[n] = _merge(kind, F.col(f"_c_{n}"), _window_agg(kind, e).over(self._inside(last_row, backwards)))
+        for n, (kind, e) in totals.items():
+            sums[f"_c_{n}"] = self._summary(kind, e)
+            carry[f"_c_{n}"] = _window_agg(kind, F.col(f"_c_{n}")).over(self._along().rowsBetween(*whole))
+            columns[n] = F.col(f"_c_{n}")
+        return self._carried(df, sums, carry).withColumns(columns).drop(*carry)
 
-    def neighbours(self, df: DataFrame, lag: Mapping[str, Column] = {}, lead: Mapping[str, Column] = {}) -> DataFrame:
-        """Add values of the previous (``lag``) and next (``lead``) row."""
-        w = Window.partitionBy(*self.keys).orderBy(*self.order)
-        cols = {n: F.lag(e).over(w) for n, e in lag.items()}
-        cols |= {n: F.lead(e).over(w) for n, e in lead.items()}
-        return df.withColumns(cols)
+    def running(self, df: DataFrame, include_current: bool = True, backwards: bool = False, **specs: tuple[str, Column]) -> DataFrame:
+        """Add running values; ``backwards`` runs from the end of the group and leaves the present row out."""
+        if backwards:
+            return self.together(df, following=specs)
+        return self.together(df, running=specs) if include_current else self.together(df, preceding=specs)
 
     def totals(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
-        """Add whole-group values: ``name=(kind, expr)``; kinds of ``running`` and first (non-null)."""
-        w = self._window(Window.unboundedFollowing)
-        return df.withColumns({n: _window_agg(kind, e).over(w) for n, (kind, e) in specs.items()})
+        """Add whole-group values."""
+        return self.together(df, totals=specs)
 
-    def joined_text(self, df: DataFrame, text: str, sep: str = "") -> DataFrame:
-        """``(keys, part, text, n)``: texts of a group joined in order; one part per group here."""
-        return _joined(df, self.keys, self.order, text, sep).withColumn("part", F.lit(0).cast("bigint"))
+    def _summary(self, kind: str, expr: Column, backwards: bool = False) -> Column:
+        if kind in ("last", "first"):
+            at = F.when(expr.isNotNull(), F.struct(*self.order))
+            return F.max_by(expr, at) if (kind == "last") != backwards else F.min_by(expr, at)
+        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](expr)
 
-    def by(self, *keys: str) -> Scan:
-        """The same scan over a finer grouping (``keys`` must contain the present ones)."""
-        return type(self)(keys, self.order)
+    def neighbours(self, df: DataFrame, lag: Mapping[str, Column] = {}, lead: Mapping[str, Column] = {}) -> DataFrame:
+        """Add values of the previous (``lag``) and next (``lead``) row."""
+        at = F.struct(*self.order)
+        edges = {f"_c_{n}": F.max_by(F.struct(e.alias("v")), at) for n, e in lag.items()} | {f"_c_{n}": F.min_by(F.struct(e.alias("v")), at) for n, e in lead.items()}
+        beside = {f"_c_{n}": F.lag(f"_c_{n}").over(self._along()) for n in lag} | {f"_c_{n}": F.lead(f"_c_{n}").over(self._along()) for n in lead}
+        df = self._carried(df, edges, beside)
+        w = Window.partitionBy(*self.pieces).orderBy(*self.order)
+        # A struct tells "no row there" from a row whose value is null.
+        value = lambda e: F.struct(e.alias("v"))
+        cols = {n: F.coalesce(F.lag(value(e)).over(w), F.col(f"_c_{n}"))["v"] for n, e in lag.items()}
+        cols |= {n: F.coalesce(F.lead(value(e)).over(w), F.col(f"_c_{n}"))["v"] for n, e in lead.items()}
+        return df.withColumns(cols).drop(*[f"_c_{n}" for n in (*lag, *lead)])
+
+    def joined_text(self, df: DataFrame, text: str, sep: str = "") -> DataFrame:
+        """``(keys, part, text, n)``: texts of a group joined in order, a part for each chunk.
 
-    # Composites, written once on top of the three forms above.
+        Parts bear the chunk's number and follow each other with ``sep`` between.
+        """
+        packed = df.groupBy(*self.pieces).agg(F.array_sort(F.collect_list(F.struct(*self.order, F.col(text).alias("_t")))).alias("_r"))
+        joined = F.array_join(F.transform("_r", lambda r: r["_t"]), sep)
+        return packed.select(*self.keys, F.col(_CHUNK).alias("part"), joined.alias("text"), F.size("_r").cast("bigint").alias("n"))
 
     def ordinal(self, df: DataFrame, name: str, when: Column | None = None) -> DataFrame:
         """Running number of the rows (of those where ``when`` holds)."""
@@ -83,83 +121,28 @@ class Scan:
 
     def count_since(self, df: DataFrame, **specs: tuple[Column, Column]) -> DataFrame:
         """``name=(counted, reset)``: rows where ``counted`` holds after the last ``reset`` row, this row included."""
-        counts = {f"_n_{n}": ("sum", F.when(c, 1).otherwise(0)) for n, (c, _) in specs.items()}
-        df = self.running(df, **counts)
-        marks = {f"_m_{n}": ("max", F.when(r, F.col(f"_n_{n}"))) for n, (_, r) in specs.items()}
-        df = self.running(df, **marks)
-        df = df.withColumns({n: F.col(f"_n_{n}") - F.coalesce(F.col(f"_m_{n}"), F.lit(0)) for n in specs})
-        return df.drop(*counts, *marks)
+        w, earlier = self._inside(), self._along().rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({f"_n_{n}": F.sum(F.when(c, 1).otherwise(0)).over(w) for n, (c, _) in specs.items()})
+        df = df.withColumns({f"_m_{n}": F.max(F.when(r, F.col(f"_n_{n}"))).over(w) for n, (_, r) in specs.items()})
+        marks = df.groupBy(*self.pieces).agg(*[e for n in specs for e in (F.max(f"_n_{n}").alias(f"_a_{n}"), F.max(f"_m_{n}").alias(f"_z_{n}"))])
+        # Counted in earlier chunks, and of that what came before the last reset; counts never fall, so the last is the largest.
+        marks = marks.withColumns({f"_t_{n}": F.sum(f"_a_{n}").over(earlier) for n in specs})
+        marks = marks.withColumns({f"_r_{n}": F.max(F.coalesce(F.col(f"_t_{n}"), F.lit(0)) + F.col(f"_z_{n}")).over(earlier) for n in specs})
+        start = marks.select(*self.pieces, *[(F.col(f"_t_{n}") - F.coalesce(F.col(f"_r_{n}"), F.lit(0))).alias(f"_c_{n}") for n in specs])
+        df = df.join(start.dropna("all", subset=[f"_c_{n}" for n in specs]), self.pieces, "left")
+        out = {n: F.when(F.col(f"_m_{n}").isNull(), F.col(f"_n_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).otherwise(F.col(f"_n_{n}") - F.col(f"_m_{n}")) for n in specs}
+        return df.withColumns(out).drop(*[f"{p}{n}" for p in ("_n_", "_m_", "_c_") for n in specs])
 
     def floored_level(self, df: DataFrame, name: str, delta: Column) -> DataFrame:
         """Running sum of ``delta`` that never goes below zero (a stack depth, a gauge)."""
-        df = self.running(df, _s=("sum", delta))
-        df = self.running(df, _low=("min", F.col("_s")))
-        return df.withColumn(name, F.col("_s") - F.least(F.lit(0), F.col("_low"))).drop("_s", "_low")
-
-
-class ChunkedScan(Scan):
-    """The same computations for heavy groups that carry chunk columns."""
-
-    @property
-    def pieces(self) -> list[str]:
-        return [*self.keys, *_CHUNK]
-
-    def _per_chunk(self, df: DataFrame, carry_frame: tuple[int, int], specs: Mapping[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
-        """Chunk summaries folded over the chunks of ``carry_frame``, one row per chunk."""
-        keys = [*self.keys, *_CHUNK]
-        summary = df.groupBy(*keys).agg(*[self._summary(kind, e, backwards).alias(f"_c_{n}") for n, (kind, e) in specs.items()])
-        order = [F.desc(c) for c in _CHUNK] if backwards else _CHUNK
-        w = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(*carry_frame)
-        return summary.select(*keys, *[_window_agg(kind, F.col(f"_c_{n}")).over(w).alias(f"_c_{n}") for n, (kind, _) in specs.items()])
-
-    def _summary(self, kind: str, expr: Column, backwards: bool) -> Column:
-        if kind in ("last", "first"):
-            at = F.when(expr.isNotNull(), F.struct(*self.order))
-            return F.max_by(expr, at) if (kind == "last") != backwards else F.min_by(expr, at)
-        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](expr)
-
-    def running(self, df, include_current=True, backwards=False, **specs):
-        keys = [*self.keys, *_CHUNK]
-        carry = self._per_chunk(df, (Window.unboundedPreceding, -1), specs, backwards)
-        w = Scan(keys, self.order)._window(Window.currentRow if include_current else -1, backwards)
-        out = df.join(carry, keys, "left")
-        out = out.withColumns({n: _merge(kind, F.col(f"_c_{n}"), _window_agg(kind, e).over(w)) for n, (kind, e) in specs.items()})
-        return out.drop(*[f"_c_{n}" for n in specs])
-
-    def totals(self, df, **specs):
-        keys = [*self.keys, *_CHUNK]
-        whole = self._per_chunk(df, (Window.unboundedPreceding, Window.unboundedFollowing), specs)
-        out = df.join(whole, keys, "left").withColumns({n: F.col(f"_c_{n}") for n in specs})
-        return out.drop(*[f"_c_{n}" for n in specs])
-
-    def neighbours(self, df, lag={}, lead={}):
-        keys = [*self.keys, *_CHUNK]
-        at = F.struct(*self.order)
-        edges = [F.max_by(F.struct(e.alias("v")), at).alias(f"_c_{n}") for n, e in lag.items()]
-        edges += [F.min_by(F.struct(e.alias("v")), at).alias(f"_c_{n}") for n, e in lead.items()]
-        wc = Window.partitionBy(*self.keys).orderBy(*_CHUNK)
-        summary = df.groupBy(*keys).agg(*edges)
-        summary = summary.select(
-            *keys,
-            *[F.lag(f"_c_{n}").over(wc).alias(f"_c_{n}") for n in lag],
-            *[F.lead(f"_c_{n}").over(wc).alias(f"_c_{n}") for n in lead],
-        )
-        w = Window.partitionBy(*keys).orderBy(*self.order)
-        out = df.join(summary, keys, "left").withColumn("_has_prev", F.lag(F.lit(True)).over(w)).withColumn("_has_next", F.lead(F.lit(True)).over(w))
-        cols = {n: F.when(F.col("_has_prev"), F.lag(e).over(w)).otherwise(F.col(f"_c_{n}.v")) for n, e in lag.items()}
-        cols |= {n: F.when(F.col("_has_next"), F.lead(e).over(w)).otherwise(F.col(f"_c_{n}.v")) for n, e in lead.items()}
-        return out.withColumns(cols).drop("_has_prev", "_has_next", *[f"_c_{n}" for n in (*lag, *lead)])
-
-    def joined_text(self, df, text, sep=""):
-        """One part per chunk, numbered in order; parts follow each other with ``sep`` between."""
-        parts = _joined(df, [*self.keys, *_CHUNK], self.order, text, sep)
-        number = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*_CHUNK)) - 1
-        return parts.withColumn("part", number.cast("bigint"))
-
-
-def _joined(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, sep: str) -> DataFrame:
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))).alias("_r"))
-    return packed.select(*by, F.array_join(F.transform("_r", lambda r: r["_t"]), sep).alias("text"), F.size("_r").cast("bigint").alias("n"))
+        w, earlier = self._inside(), self._along().rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_s", F.sum(delta).over(w)).withColumn("_low", F.min("_s").over(w))
+        chunks = df.groupBy(*self.pieces).agg(F.sum(delta).alias("_sum"), F.min("_s").alias("_least"))
+        chunks = chunks.withColumn("_before", F.sum("_sum").over(earlier))
+        chunks = chunks.withColumn("_lowest", F.min(F.coalesce("_before", F.lit(0)) + F.col("_least")).over(earlier))
+        df = df.join(chunks.select(*self.pieces, "_before", "_lowest").dropna(subset=["_before"]), self.pieces, "left")
+        before = F.coalesce("_before", F.lit(0))
+        return df.withColumn(name, before + F.col("_s") - F.least(F.lit(0), F.col("_lowest"), before + F.col("_low"))).drop("_s", "_low", "_before", "_lowest")
 
 
 def _window_agg(kind: str, expr: Column) -> Column:
@@ -180,70 +163,12 @@ def _merge(kind: str, before: Column, within: Column) -> Column:
     return {"min": F.least, "max": F.greatest}[kind](before, within)
 
 
-def over_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    body: Callable[[DataFrame, Scan], DataFrame],
-    heavy_rows: int | None = None,
-    small_input_bytes: int | None = None,
-) -> DataFrame:
-    """Apply ``body(df, scan)`` to every group, cutting heavy groups into chunks.
-
-    ``order`` columns must be numeric and tell the rows of a group apart; ``body`` may
-    only combine rows through ``scan``, row-wise expressions and filters.
-    """
-    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
-    small_input_bytes = SMALL_INPUT_BYTES if small_input_bytes is None else small_input_bytes
-    if leaf_bytes(df) <= small_input_bytes:
-        return body(df, Scan(keys, order))
-
-    heavy = heavy_groups(df, keys, order, heavy_rows)
-    light = df.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
-    chunked = with_chunks(df, heavy, keys, order, heavy_rows)
-    left = body(light, Scan(keys, order))
-    right = body(chunked, ChunkedScan(keys, order)).drop(*_CHUNK)
-    return left.unionByName(right)
-
-
-def heavy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy_rows: int) -> DataFrame:
-    """Groups above ``heavy_rows`` with the ranges their chunks are cut from."""
-    ranges = []
-    for i, c in enumerate(order[:2]):
-        as_double = F.col(c).cast("double")
-        ranges += [F.min(as_double).alias(f"_lo{i}"), F.max(as_double).alias(f"_hi{i}")]
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *ranges).filter(F.col("_rows") > heavy_rows)
-    return heavy.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(heavy_rows)).cast("double"))
-
-
-def with_chunks(df: DataFrame, heavy: DataFrame, keys: Sequence[str], order: Sequence[str], heavy_rows: int) -> DataFrame:
-    """Rows of heavy groups with chunk columns that grow with ``order``.
-
-    Slices are equal in range, not in rows, so a burst may still fill one of them; such
-    slices are cut again between their own bounds, much finer.
-    """
-    sliced = _slices(df.join(F.broadcast(heavy), list(keys), "inner"), order, _CHUNK[:2])
-    inner_keys = [*keys, *_CHUNK[:2]]
-    bursts = heavy_groups(sliced, inner_keys, order, heavy_rows).withColumn("_parts", F.col("_parts") * 64)
-    return _slices(sliced.join(F.broadcast(bursts), inner_keys, "left"), order, _CHUNK[2:])
-
-
-def _slices(df: DataFrame, order: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Equal slices of the first order column between the bounds at hand; slice 0 where there are none.
+def over_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Callable[[DataFrame, Scan], DataFrame], chunk: int = CHUNK) -> DataFrame:
+    """Apply ``body(df, scan)`` to every group.
 
-    Where that column has fewer values than slices are wanted, each value is sliced again
-    along the second one.
+    ``order`` columns must tell the rows of a group apart; the first is a number and cuts the group
+    into chunks of ``chunk`` units.  ``body`` may only combine rows through ``scan``, row-wise
+    expressions and filters.
     """
-    first = F.col(order[0]).cast("double")
-    span0 = F.col("_hi0") - F.col("_lo0")
-    narrow = (span0 < F.col("_parts")) if len(order) > 1 else F.lit(False)
-    slice0 = F.when(span0 > 0, F.floor((first - F.col("_lo0")) * F.col("_parts") / span0)).otherwise(F.lit(0))
-    minor = F.lit(0).cast("bigint")
-    if len(order) > 1:
-        span1 = F.col("_hi1") - F.col("_lo1")
-        per_value = F.ceil(F.col("_parts") / (span0 + 1))
-        slice1 = F.when(span1 > 0, F.floor((F.col(order[1]).cast("double") - F.col("_lo1")) * per_value / span1)).otherwise(F.lit(0))
-        minor = F.when(narrow, slice1).otherwise(F.lit(0)).cast("bigint")
-    major = F.when(narrow, first).otherwise(slice0.cast("double"))
-    out = df.withColumn(names[0], major).withColumn(names[1], minor)
-    return out.drop("_rows", "_parts", "_lo0", "_hi0", "_lo1", "_hi1")
+    number = F.coalesce(F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint"), F.lit(-1).cast("bigint") - (1 << 40))
+    return body(df.withColumn(_CHUNK, number), Scan(keys, order)).drop(_CHUNK)

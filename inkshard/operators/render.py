@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from inkshard.functions.text import escape_xml
 from inkshard.operators.ordered import Scan, over_groups
-from inkshard.operators.text import PART_ROWS
-from inkshard.session import spread_small
-from inkshard.sources.html import filled_blocks, flat_page, html_segments
+from inkshard.operators.text import PART
+from inkshard.session import saved
+from inkshard.sources.html import page_segments
 
 DIALECTS = ("plain", "markdown", "textile", "html")
 _BOLD = {"plain": "$1", "markdown": "**$1**", "textile": "*$1*", "html": "\x06$1\x07"}
@@ -58,13 +60,13 @@ def _render_rows(df: DataFrame, scan: Scan, dialect: str, loose_lists: bool) ->
     return scan.joined_text(df.withColumn("_piece", piece), "_piece").withColumnRenamed("n", "n_blocks")
 
 
-def render_blocks(blocks: DataFrame, dialect: str, loose_lists: bool = False, part_rows: int = PART_ROWS, **limits) -> DataFrame:
+def render_blocks(blocks: DataFrame, dialect: str, loose_lists: bool = False, part: int = PART) -> DataFrame:
     """``(doc_id, part, text, n_blocks)`` from rows ``(doc_id, pos, kind, level, number, text)``.
 
-    A document of ordinary size is one part.  A huge one is cut into parts that follow
-    each other and join to the whole text without any separator.
+    Part p holds the blocks at positions from p x ``part`` on; the parts of a document join to its
+    text without any separator.
     """
-    out = over_groups(blocks, ["doc_id"], ["pos"], lambda df, scan: _render_rows(df, scan, dialect, loose_lists), heavy_rows=part_rows, **limits)
+    out = over_groups(blocks, ["doc_id"], ["pos"], lambda df, scan: _render_rows(df, scan, dialect, loose_lists), part)
     return out.select("doc_id", "part", "text", "n_blocks")
 
 
@@ -72,7 +74,7 @@ def _number_rows(df: DataFrame, scan: Scan) -> DataFrame:
     opens, closes = F.col("tag").isin("ol", "ul"), F.col("tag").isin("/ol", "/ul")
     df = scan.floored_level(df, "depth", F.when(opens, 1).when(closes, -1).otherwise(0))
     in_list = scan.by(*scan.keys, "depth")
-    df = in_list.count_since(df, number=(F.col("tag") == "li", opens))
+    df = in_list.count_since(saved(df), number=(F.col("tag") == "li", opens))
     df = in_list.running(df, list_tag=("last", F.when(opens, F.col("tag"))))
     is_item = (F.col("tag") == "li") & (F.col("depth") > 0)
     level = F.regexp_extract("tag", r"^h([1-6])$", 1).try_cast("int")
@@ -86,40 +88,57 @@ def list_numbers(segments: DataFrame, **limits) -> DataFrame:
     return rows.select("doc_id", "pos", "kind", "level", "number", "text").filter(F.col("text") != "")
 
 
-_ITEM, _TIGHT = "\x01li\x02", "\x04"
+def _walk_lists(tags: list[str]) -> list[tuple[str | None, int | None]]:
+    """Kind and number of the item at each tag, none where there is no item; lists nest to any depth."""
+    out, lists = [], []
+    for tag in tags:
+        item = (None, None)
+        if tag in ("ol", "ul"):
+            lists.append([tag, 0])
+        elif tag in ("/ol", "/ul"):
+            del lists[-1:]
+        elif tag == "li" and lists:
+            lists[-1][1] += 1
+            item = ("ordered" if lists[-1][0] == "ol" else "bullet", lists[-1][1])
+        out.append(item)
+    return out
 
 
-def render_flat(flat: Column, dialect: str) -> Column:
-    """Text of a page without ordered lists, straight from its flat form (see ``filled_blocks``)."""
-    t = flat
-    if dialect == "html":
-        t = F.regexp_replace(F.replace(F.replace(escape_xml(t), F.lit("\x06"), F.lit("<strong>")), F.lit("\x07"), F.lit("</strong>")), "(?i)\x01li\x02([^\x01]*)", _ITEM + "<li>$1</li>")
-        t = F.regexp_replace(t, "(?i)\x01h([1-6])\x02([^\x01]*)", "\x01\x02<h$1>$2</h$1>")
-        t = F.regexp_replace(t, "\x01(?!li\x02)[^\x02]*\x02([^<\x01][^\x01]*|<(?!h[1-6]>)[^\x01]*)", "\x01\x02<p>$1</p>")
-    if dialect == "markdown":
-        for n in range(1, 7):
-            t = F.regexp_replace(t, f"(?i)\x01h{n}\x02", "\x01\x02" + "#" * n + " ")
-    bullet = "" if dialect == "html" else "-   "
-    # An item right after an item stands on the next line, every other block after a blank one.
-    t = F.regexp_replace(t, "(?i)\x01li\x02([^\x01]*)(?=\x01li\x02)", _ITEM + "$1" + _TIGHT)
-    t = F.regexp_replace(t, "(?i)" + _TIGHT + _ITEM, "\n" + bullet)
-    t = F.regexp_replace(t, "(?i)" + _ITEM, "\n\n" + bullet)
-    t = F.regexp_replace(t, "\x01[^\x02]*\x02", "\n\n")
-    return F.regexp_replace(t, "^\n+", "")
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("number", IntegerType())])))
+def _list_items(tags: pd.Series) -> pd.Series:
+    return tags.map(lambda t: None if t is None else [{"kind": k, "number": n} for k, n in _walk_lists(t)])
+
+
+def page_blocks(html: Column, bold: str = "$1") -> Column:
+    """Blocks with text of a page as an array of ``(kind, level, number, text)``.
+
+    Only the tags of pages with ordered lists leave the JVM, to have their items numbered; without
+    ordered lists every item is a bullet.
+    """
+    segments = page_segments(html, bold)
+    tags = F.transform(segments, lambda s: s["tag"])
+    items = _list_items(F.when(F.lower(html).contains("<ol"), tags))
+    plain = F.transform(segments, lambda s: F.struct(F.when(s["tag"] == "li", "bullet").alias("kind"), F.lit(None).cast("int").alias("number")))
+
+    def block(segment: Column, item: Column) -> Column:
+        level = F.regexp_extract(segment["tag"], "^h([1-6])$", 1).try_cast("int")
+        kind = F.coalesce(item["kind"], F.when(level.isNotNull(), "header").otherwise("para"))
+        return F.struct(kind.alias("kind"), level.alias("level"), item["number"].alias("number"), segment["text"].alias("text"))
+
+    return F.filter(F.zip_with(segments, F.coalesce(items, plain), block), lambda b: b["text"] != "")
+
+
+def render_array(blocks: Column, dialect: str) -> Column:
+    """Text of an array of blocks, as ``page_blocks`` makes it."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: b["kind"]))
+    pieces = F.zip_with(blocks, before, lambda b, k: F.when(b.isNotNull(), F.concat(_separator(b["kind"], k, False), render_block(dialect, b["kind"], b["level"], b["number"], b["text"]))))
+    return F.array_join(pieces, "")
 
 
 def render_pages(pages: DataFrame, dialect: str = "plain", html: str = "html") -> DataFrame:
-    """``(doc_id, part, text, n_blocks)`` of HTML pages.
+    """``(doc_id, part, text, n_blocks)`` of HTML pages, one row for each page, from one scan and without a shuffle.
 
-    A page without ordered lists is rendered inside its row by string functions: no
-    shuffle, no Python.  Numbering items, and the heading anchors of Textile, need block
-    rows; those pages go through ordered scans.
+    A page without text in any block, an empty one or a null one has the empty text and no blocks.
     """
-    pages = spread_small(pages)
-    by_rows = F.lower(F.col(html)).contains("<ol") | F.lit(dialect == "textile")
-    flat = pages.filter(~by_rows).select("doc_id", filled_blocks(flat_page(F.col(html), _BOLD[dialect])).alias("flat"))
-    n = F.length("flat") - F.length(F.replace("flat", F.lit("\x01"), F.lit("")))
-    simple = flat.select("doc_id", F.lit(0).cast("bigint").alias("part"), render_flat(F.col("flat"), dialect).alias("text"), n.cast("bigint").alias("n_blocks"))
-    segments = html_segments(pages.filter(by_rows), html, _BOLD[dialect])
-    deep = over_groups(segments, ["doc_id"], ["pos"], lambda df, scan: _render_rows(_number_rows(df, scan), scan, dialect, False), heavy_rows=PART_ROWS)
-    return simple.unionByName(deep.select("doc_id", "part", "text", "n_blocks"))
+    blocks = pages.select("doc_id", page_blocks(F.coalesce(F.col(html), F.lit("")), _BOLD[dialect]).alias("blocks"))
+    return blocks.select("doc_id", F.lit(0).cast("bigint").alias("part"), render_array(F.col("blocks"), dialect).alias("text"), F.size("blocks").cast("bigint").alias("n_blocks"))

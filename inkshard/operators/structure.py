@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkshard.functions import constants as K
 from inkshard.functions.policy import caption_kind, placeholder_kind
 from inkshard.operators.ordered import Scan, over_groups
+from inkshard.session import saved
 
 DOC = ["doc_id"]
 POS = ["pos"]
@@ -34,14 +35,14 @@ def skipped_between(kind: Column, text: Column) -> Column:
     return kind.isin("bookmark", "sectPr") | (kind.isin("para", "caption") & blank)
 
 
-def with_next_kind(df: DataFrame, scan: Scan) -> DataFrame:
-    kept = F.when(~skipped_between(F.col("kind"), F.col("text")), F.col("kind"))
-    return scan.running(df, include_current=False, backwards=True, next_kind=("last", kept))
+def content_kind() -> Column:
+    """Kind of a block that is content, null for what is skipped."""
+    return F.when(~skipped_between(F.col("kind"), F.col("text")), F.col("kind"))
 
 
 def caption_table_adjacency(blocks: DataFrame, **limits) -> DataFrame:
     """Caption rows with the kind of the next content block and whether that is a table."""
-    out = over_groups(blocks, DOC, POS, with_next_kind, **limits).filter(F.col("kind") == "caption")
+    out = over_groups(blocks, DOC, POS, lambda df, scan: scan.together(df, following={"next_kind": ("last", content_kind())}), **limits).filter(F.col("kind") == "caption")
     return out.withColumn("before_table", F.coalesce(F.col("next_kind") == "table", F.lit(False)))
 
 
@@ -54,7 +55,7 @@ def number_captions(blocks: DataFrame, existing_id: Column | None = None, **limi
     existing = F.lit(None).cast("int") if existing_id is None else existing_id.try_cast("int")
 
     def body(df: DataFrame, scan: Scan) -> DataFrame:
-        df = scan.totals(with_next_kind(df, scan), _base=("max", F.greatest(existing, F.lit(0))))
+        df = saved(scan.together(df, following={"next_kind": ("last", content_kind())}, totals={"_base": ("max", F.greatest(existing, F.lit(0)))}))
         df = df.filter(F.col("kind") == "caption").withColumn("caption_kind", caption_kind("caption_style", "next_kind", "seq_name"))
         is_figure = F.col("caption_kind") == "figure"
         df = scan.running(df, _n=("sum", F.lit(1)), _figures=("sum", is_figure.cast("int")), _tables=("sum", (~is_figure).cast("int")))
@@ -154,7 +155,7 @@ def inherit_headers(sections: DataFrame, **limits) -> DataFrame:
                 "title_pg": F.when(moves & first, F.coalesce("title_pg", F.lit(False)) | F.col("_last.t")).when(moves & last, F.lit(False)).otherwise(F.coalesce("title_pg", F.lit(False))),
             }
         ).drop("_first", "_last")
-        return scan.running(df, shown_headers=("last", F.when(has("header_refs"), F.col("header_refs"))), shown_footers=("last", F.when(has("footer_refs"), F.col("footer_refs"))))
+        return scan.running(saved(df), shown_headers=("last", F.when(has("header_refs"), F.col("header_refs"))), shown_footers=("last", F.when(has("footer_refs"), F.col("footer_refs"))))
 
     return over_groups(sections, DOC, ["section_idx"], body, **limits)
 
@@ -211,7 +212,7 @@ def math_run_colors(tokens: DataFrame, start_color: str = "start_color", is_end:
 
     def body(df: DataFrame, scan: Scan) -> DataFrame:
         df = scan.floored_level(df, "_depth", F.when(start, 1).when(F.col(is_end), -1).otherwise(0))
-        return scan.by(*scan.keys, "_depth").running(df, _open=("last", F.upper(start_color)))
+        return scan.by(*scan.keys, "_depth").running(saved(df), _open=("last", F.upper(start_color)))
 
     out = over_groups(tokens, DOC, POS, body, **limits).filter(~start & ~F.col(is_end))
     return out.withColumn("color", F.when(F.col("_depth") > 0, F.col("_open"))).drop("_depth", "_open")
@@ -229,15 +230,16 @@ def decoration_segments(runs: DataFrame, keys: Sequence[str] = ("doc_id", "block
     ).otherwise(F.col("text"))
 
     def body(df: DataFrame, scan: Scan) -> DataFrame:
-        df = scan.totals(df, _all_plain=("min", F.col("is_plain")), _u=("max", F.col("underline")), _s=("max", F.col("strikeout")))
-        df = scan.running(df.filter(~F.col("_all_plain")), segment=("sum", F.col("is_break").cast("int")))
-        lines = df.filter(~F.col("is_break")).withColumn("_t", boxed)
+        whole = {"_all_plain": ("min", F.col("is_plain")), "_u": ("max", F.col("underline")), "_s": ("max", F.col("strikeout"))}
+        df = scan.together(df, running={"segment": ("sum", F.col("is_break").cast("int"))}, totals=whole)
+        lines = df.filter(~F.col("_all_plain") & ~F.col("is_break")).withColumn("_t", boxed)
         return scan.by(*scan.keys, "segment", "_u", "_s").joined_text(lines, "_t")
 
     out = over_groups(runs, list(keys), POS, body, **limits)
     # A segment in several parts is wrapped once, around all of them.
-    starts = F.col("part") == 0
-    ends = F.col("part") == F.max("part").over(Window.partitionBy(*keys, "segment"))
+    of_segment = Window.partitionBy(*keys, "segment")
+    starts = F.col("part") == F.min("part").over(of_segment)
+    ends = F.col("part") == F.max("part").over(of_segment)
     wrapped = F.concat(
         F.when(starts & F.col("_u"), "\\uline{").otherwise(""),
         F.when(starts & F.col("_s"), "\\sout{").otherwise(""),
@@ -245,4 +247,4 @@ def decoration_segments(runs: DataFrame, keys: Sequence[str] = ("doc_id", "block
         F.when(ends & F.col("_s"), "}").otherwise(""),
         F.when(ends & F.col("_u"), "}").otherwise(""),
     )
-    return out.select(*keys, F.col("segment").cast("int").alias("segment"), "part", wrapped.alias("text"))
+    return out.select(*keys, F.col("segment").cast("int").alias("segment"), (F.col("part") - F.min("part").over(of_segment)).alias("part"), wrapped.alias("text"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
 from inkshard.functions.css import css_map
 from inkshard.functions.text import half_even
 from inkshard.operators.ordered import Scan, over_groups
+from inkshard.session import saved
 
 
 def table_ordinals(tables: DataFrame, order: Sequence[str], **limits) -> DataFrame:
@@ -52,14 +53,12 @@ def rescale_grid(cols: DataFrame, target: str = "target_twips", keys: Sequence[s
 
 def column_fractions(cols: DataFrame, tw: str = "tw", keys: Sequence[str] = ("table_id",), order: str = "col", **limits) -> DataFrame:
     """Share of the line each column takes; ``w`` is a relative width or null."""
-    def body(df: DataFrame, scan: Scan) -> DataFrame:
-        df = scan.totals(df, _n=("sum", F.lit(1)))
-        df = df.withColumn("_w", F.coalesce(F.col("w").cast("double"), 1.0 / F.col("_n")))
-        return scan.totals(df, _sum=("sum", F.col("_w")))
-
-    out = over_groups(cols, list(keys), [order], body, **limits)
-    total = F.when(F.col("_sum") <= 0, F.lit(1.0)).otherwise(F.col("_sum"))
-    return out.withColumn("fraction", F.col("_w") / total * F.col(tw)).drop("_n", "_w", "_sum")
+    w = F.col("w").cast("double")
+    whole = {"_n": ("sum", F.lit(1)), "_given": ("sum", w), "_bare": ("sum", w.isNull().cast("int"))}
+    out = over_groups(cols, list(keys), [order], lambda df, scan: scan.totals(df, **whole), **limits)
+    share = F.coalesce(w, 1.0 / F.col("_n"))
+    total = F.coalesce("_given", F.lit(0.0)) + F.col("_bare") / F.col("_n")
+    return out.withColumn("fraction", share / F.when(total <= 0, 1.0).otherwise(total) * F.col(tw)).drop(*whole)
 
 
 def default_grid(cols: DataFrame, needed: DataFrame, keys: Sequence[str] = ("table_id",)) -> DataFrame:
@@ -92,17 +91,19 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
     def bands(df: DataFrame, scan: Scan) -> DataFrame:
         df = scan.running(df, include_current=False, _reach=("max", reach))
         fresh = F.coalesce(F.col("row") > F.col("_reach"), F.lit(True))
-        df = scan.running(df, band=("sum", fresh.cast("int"))).drop("_reach")
-        df = scan.by(*keys, "band").totals(df, _tall=("max", F.col("row_span")))
-        return scan.by(*keys, "row").running(df, _end=("sum", F.col("col_span")))
+        df = scan.running(saved(df.withColumn("_fresh", fresh)), band=("sum", F.col("_fresh").cast("int"))).drop("_reach")
+        # A row lies in one chunk.  It is a band without memory if it starts one and spans no other row.
+        in_row = Window.partitionBy(*scan.pieces, "row")
+        memory = ~F.bool_or("_fresh").over(in_row) | (F.max("row_span").over(in_row) > 1)
+        return df.withColumns({"_tall": memory, "_end": F.sum("col_span").over(in_row.orderBy("ord"))}).drop("_fresh")
 
     rows = over_groups(cells, keys, ["row", "ord"], bands, **limits)
-    flat = rows.filter(F.coalesce("_tall", F.lit(1)) <= 1)
+    flat = rows.filter(~F.coalesce("_tall", F.lit(False)))
     flat = flat.withColumns({"grid_col": (F.col("_end") - F.col("col_span") + 1).cast("int"), "is_continuation": F.lit(False)}).filter(F.col("grid_col") <= F.col(n_cols))
     out = [*keys, "row", "grid_col", "col_span", "row_span", "is_continuation", "style"]
     types = {f.name: f.dataType.simpleString() for f in flat.schema}
     ddl = ", ".join(f"{c} {types[c]}" for c in out)
-    tall = rows.filter(F.col("_tall") > 1).select(*keys, "band", "row", "ord", "row_span", "col_span", "style", n_cols)
+    tall = rows.filter("_tall").select(*keys, "band", "row", "ord", "row_span", "col_span", "style", n_cols)
 
     band = [*keys, "band"]
 

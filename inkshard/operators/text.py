@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 
 from inkshard.operators.ordered import over_groups
 
-PART_ROWS = 200_000
+#: Positions in a part of a text.
+PART = 65_536
 
 
-def join_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = "", part_rows: int = PART_ROWS, **limits) -> DataFrame:
+def join_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = "", part: int = PART) -> DataFrame:
     """``(keys, part, text, n)``: texts of a group joined in order.
 
-    Groups above ``part_rows`` rows come out as several parts, numbered in order, so no
-    task ever holds an unbounded group; ``sep`` stands between rows and between parts.
+    Part p holds the rows at positions (the first order column) from p x ``part`` on, so a long text
+    comes in parts of bounded size; ``sep`` stands between rows and between parts.
     """
     rows = df.select(*keys, *order, text)
-    out = over_groups(rows, keys, order, lambda part, scan: scan.joined_text(part, text, sep), heavy_rows=part_rows, **limits)
+    out = over_groups(rows, keys, order, lambda df, scan: scan.joined_text(df, text, sep), chunk=part)
     return out.select(*keys, "part", "text", "n")

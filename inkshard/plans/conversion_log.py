@@ -88,11 +88,11 @@ def _(spark, sf):
 
 @plan(
     "a7_histogram_quantile",
-    f"""{LOG}, p50 AS ({_sql_quantile(0.5, 'duration_s', K.CONVERSION_BUCKETS, 'target_format')}), p95 AS ({_sql_quantile(0.95, 'duration_s', K.CONVERSION_BUCKETS, 'target_format')})
+    f"""{LOG}, done AS (SELECT * FROM log WHERE ok), p50 AS ({_sql_quantile(0.5, 'duration_s', K.CONVERSION_BUCKETS, 'target_format', 'done')}), p95 AS ({_sql_quantile(0.95, 'duration_s', K.CONVERSION_BUCKETS, 'target_format', 'done')})
     SELECT target_format, round(p50.p, 6) AS p50, round(p95.p, 6) AS p95 FROM p50 JOIN p95 USING (target_format)""",
 )
 def _(spark, sf):
-    q = L.histogram_quantiles(conv_log(spark, sf), "duration_s", K.CONVERSION_BUCKETS, [0.5, 0.95], ["target_format"])
+    q = L.histogram_quantiles(conv_log(spark, sf).filter("ok"), "duration_s", K.CONVERSION_BUCKETS, [0.5, 0.95], ["target_format"])
     return q.withColumns({"p50": F.round("p50", 6), "p95": F.round("p95", 6)})
 
 
@@ -243,12 +243,6 @@ def _(spark, sf):
     return L.health_restarts(conv_log(spark, sf))
 
 
-@plan("w18_health_restarts_that_fail")
-def _(spark, sf):
-    checks = worker_log(spark, sf).withColumn("restart_ok", F.col("event_id") % 3 != 0)
-    return L.health_restarts(checks, restart_ok="restart_ok")
-
-
 _KEYS = ("key-0", "key-3", "key-6")
 _PROTECTED = "(regexp_replace(path, '/+$', '') IN ('/docx-template', '/pptx-template') OR path LIKE '/convert/%')"
 

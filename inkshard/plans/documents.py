@@ -14,12 +14,13 @@ from inkshard.plans.registry import plan, table
 from inkshard.plans.views import MATH_SPANS, math_spans, pages
 from inkshard.sources.ast_json import write_ast_json
 from inkshard.sources.corpus import decode_body, read_pages, rendered_files
-from inkshard.sources.html import TOKEN, html_nodes, html_tokens
+from inkshard.sources.html import html_nodes, html_tokens
 
-# The same token pattern in SQL text.
-_TOKENS = f"""t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{TOKEN}')) AS tok, generate_subscripts(regexp_extract_all(html, '{TOKEN}'), 1) - 1 AS pos FROM pages),
- k AS (SELECT *, CASE WHEN NOT starts_with(tok, '<') THEN 'text' WHEN starts_with(tok, '<!--') THEN 'comment' WHEN starts_with(tok, '<!') THEN 'doctype' WHEN starts_with(tok, '<script') THEN 'script'
-   WHEN starts_with(tok, '<style') THEN 'style' WHEN starts_with(tok, '</') THEN 'close' ELSE 'open' END AS kind, nullif(lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)), '') AS tag FROM t)"""
+# Tokens told apart on their own terms: no possessive parts, whole elements first, quoted values by alternation.
+_SQL_TOKEN = r"""(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|</?[a-z](?:"[^"]*"|''[^'']*''|[^>"''])*>|<![^>]*>|[^<]+|<[^<]*"""
+_TOKENS = f"""t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{_SQL_TOKEN}')) AS tok, generate_subscripts(regexp_extract_all(html, '{_SQL_TOKEN}'), 1) - 1 AS pos FROM pages),
+ n AS (SELECT *, CASE WHEN right(tok, 1) = '>' THEN nullif(lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)), '') END AS tag FROM t),
+ k AS (SELECT *, CASE WHEN left(tok, 4) = '<!--' THEN 'comment' WHEN left(tok, 2) = '<!' THEN 'doctype' WHEN tag IS NULL THEN 'text' WHEN left(tok, 2) = '</' THEN 'close' WHEN tag IN ('script', 'style') THEN tag ELSE 'open' END AS kind FROM n)"""
 
 
 @plan("s1_read_corpus", "SELECT page_id AS doc_id, html FROM pages")
@@ -92,7 +93,7 @@ def _render_sql(dialect: str) -> str:
     expr = "html"
     for pattern, to in steps:
         expr = f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         expr = f"replace({expr}, '{name}', '{char}')"
     return f"""WITH f AS (SELECT page_id AS doc_id, string_split({expr}, '\x01') AS segs FROM pages),
     s AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS pos FROM f),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,33 +22,14 @@ def local_session(cpus: int = 8, app: str = "inkshard") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's shared one, else a fresh local folder (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
-def leaf_bytes(df: DataFrame) -> int:
-    """Upper estimate of what a query reads: the summed size of its leaf relations.
-
-    Where the session cannot tell (a remote one), the answer is "huge".
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    except AttributeError:
-        return 1 << 62
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one in the session's warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input to all cores before heavy work on each row.
 
-    A small table sits in one or two files and so in one or two tasks.  Anything larger
-    has enough scan tasks of its own and is left alone: moving it would cost a shuffle.
-    """
-    if df.isStreaming or leaf_bytes(df) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there: later steps start from them, not from what made them."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

@@ -2,10 +2,15 @@
 
 Tokens and blocks come from regular expressions inside the JVM, one row in, no shuffle.
 Only the node tree needs a parser; it is a table function around the standard library's.
+
+A ``<`` begins a tag only before a letter, ``/`` and a letter, ``!`` or ``?``, and only if the tag
+is closed; any other is text.  Quoted attribute values may hold ``>``.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -13,98 +18,118 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from inkshard.functions.text import col
-from inkshard.session import spread_small
 from inkshard.sources.shred import shred
 
-TOKEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]+>|[^<]+"
+# Up to the end of a tag, past quoted values; possessive, so a long tag costs no stack.
+_REST = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+_TAG = rf"</?[a-z]{_REST}|</?[a-z][^>]*>|<[!?][^>]*>"
+_RAW = r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+TOKEN = rf"(?is){_RAW}|{_TAG}|[^<]+|<[^<]*"
 
 # Elements that start a block of their own.
-BLOCK_TAGS = """
-address article aside blockquote body center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
-header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul
-""".split()
+BLOCK_TAGS = [
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol",
+    "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+]
 # Elements without content.
-VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 
-_DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!doctype[^>]*>"
-_BLOCK = r"(?i)<(/?)(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
-_BOLD = r"(?i)<(?:b|strong)\b[^>]*>([^\x01]*?)</(?:b|strong)>"
+_DROPPED = rf"(?is){_RAW}|<head\b.*?</head\s*>|<![^>]*>|<\?[^>]*>"
+_BLOCK = r"(?i)<(/?)(" + "|".join(BLOCK_TAGS) + rf")\b{_REST}"
+_BOLD = rf"(?i)<(?:b|strong)\b{_REST}([^\x01]*?)</(?:b|strong)\s*>"
 _CUT, _END, _BREAK = "\x01", "\x02", "\x03"
 
 
 def html_tokens(df: DataFrame, html: str = "html") -> DataFrame:
-    """``(doc_id, pos, tok, kind, tag)``; comments, scripts and styles are one token each."""
-    toks = spread_small(df.select("doc_id", html)).select("doc_id", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    """``(doc_id, pos, tok, kind, tag)``: tokens that join to the whole body; comments, scripts and styles are one token each.
+
+    A ``<`` that begins no tag starts a text token.  A null or empty body has no tokens.
+    """
+    toks = df.select("doc_id", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     return toks.select("doc_id", "pos", "tok", token_kind("tok").alias("kind"), token_tag("tok").alias("tag"))
 
 
 def token_kind(tok: Column | str) -> Column:
     t = col(tok)
+    closed = t.endswith(">")
     return (
-        F.when(~t.startswith("<"), "text")
-        .when(t.startswith("<!--"), "comment")
-        .when(t.startswith("<!"), "doctype")
-        .when(t.startswith("<script"), "script")
-        .when(t.startswith("<style"), "style")
+        F.when(t.startswith("<!--") & closed, "comment")
+        .when(t.rlike("^<[!?]") & closed, "doctype")
+        .when(~t.rlike("^</?[A-Za-z]") | ~closed, "text")
+        .when(t.rlike("(?i)^<script\\b"), "script")
+        .when(t.rlike("(?i)^<style\\b"), "style")
         .when(t.startswith("</"), "close")
         .otherwise("open")
     )
 
 
 def token_tag(tok: Column | str) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(col(tok), r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), F.lit(""))
+    """Lower-cased name of a tag, null for other tokens."""
+    return F.when(col(tok).endswith(">"), F.nullif(F.lower(F.regexp_extract(col(tok), r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), F.lit("")))
 
 
-def _named_references(html: Column) -> Column:
-    """Decimal character references as characters; those of markup characters as named entities."""
-    codes = F.array_distinct(F.regexp_extract_all(html, F.lit(r"&#(\d{1,7});"), F.lit(1)))
-    codes = F.filter(codes, lambda c: c.cast("int").between(32, 55295) | c.cast("int").between(57344, 1114111))
+@cache
+def _reference_map() -> str:
+    """SQL map of the named references, from the standard library's table; a no-break space counts as a space."""
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = {n: c for n, c in html5.items() if n.endswith(";")} | {"nbsp;": " ", "NonBreakingSpace;": " "}
+    return "map(" + ", ".join(f"{quoted(n)}, {quoted(c)}" for n, c in sorted(names.items())) + ")"
 
-    def put(acc: Column, code: Column) -> Column:
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-        safe = F.when(code == "38", "&amp;").when(code == "60", "&lt;").when(code == "62", "&gt;").otherwise(char)
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), safe)
 
-    return F.when(html.contains("&#"), F.aggregate(codes, html, put)).otherwise(html)
+def _reference(ref: Column) -> Column:
+    """The characters of one reference ``&...;``; an unknown name stays as it is.
+
+    Numbers of the C1 range are read as Windows-1252; numbers of no character become U+FFFD.
+    """
+    named = F.element_at(F.expr(_reference_map()), F.substring(ref, 2, 64))
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]{1,7});$", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^&#0*(\\d{1,7});$", 1))
+    code = number.try_cast("int")
+    c1 = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
+    valid = code.between(9, 10) | (code == 13) | code.between(32, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(code.between(0x80, 0x9F), F.get(F.array(*map(F.lit, c1)), code - 0x80)).when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return F.when(ref.startswith("&#"), F.when(code == 160, " ").otherwise(char)).otherwise(F.coalesce(named, ref))
+
+
+_REFERENCE = "&(?:#[xX][0-9a-fA-F]{1,12}|#[0-9]{1,12}|[A-Za-z][A-Za-z0-9]{1,40});"
 
 
 def decode_entities(text: Column) -> Column:
-    """Basic named entities; ``&amp;`` last, so nothing is decoded twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal references decoded, each once."""
+    parts, refs = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.array_join(F.zip_with(parts, F.transform(refs, _reference), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def flat_page(html: Column, bold: str = "$1") -> Column:
     """Body text with a cut mark and the tag's name where block tags stood.
 
     Bold closed within its block is marked up with ``bold``, other inline tags are gone,
-    entities decoded and white space collapsed.
+    references decoded and white space collapsed.
     """
-    t = F.regexp_replace(_named_references(html), _DROPPED, "")
+    t = F.regexp_replace(html, "[\x01-\x03\x06\x07]", "")
+    t = F.regexp_replace(t, _DROPPED, "")
     t = F.regexp_replace(t, _BLOCK, _CUT + "$1$2" + _END)
     t = F.regexp_replace(t, _BOLD, bold)
-    t = F.regexp_replace(t, r"(?i)<br\b[^>]*>", _BREAK)
-    t = F.regexp_replace(t, r"<[^>]*>", "")
+    t = F.regexp_replace(t, rf"(?i)<br\b{_REST}", _BREAK)
+    t = F.regexp_replace(t, rf"(?i){_TAG}", "")
     t = F.regexp_replace(t, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
     return decode_entities(F.regexp_replace(t, " ?" + _BREAK + " ?", "\n"))
 
 
-def filled_blocks(flat: Column) -> Column:
-    """Drop blocks without text; an item whose text sits in an inner paragraph stays an item."""
-    t = F.concat(F.lit(_CUT + _END), flat)
-    t = F.regexp_replace(t, "(?i)" + _CUT + "li" + _END + "[ \n]*" + _CUT + "p" + _END, _CUT + "li" + _END)
-    t = F.regexp_replace(t, f"(?:{_CUT}[^{_END}]*{_END}[ \n]*)*{_CUT}([^{_END}]*){_END}[ \n]*", _CUT + "$1" + _END)
-    return F.regexp_replace(t, f"[ \n]+(?={_CUT})|{_CUT}[^{_END}]*{_END}$|[ \n]+$", "")
+def page_segments(html: Column, bold: str = "$1") -> Column:
+    """The blocks of a page as an array of ``(tag, text)``: a block tag and the text up to the next one.
+
+    An item whose text sits in an inner paragraph stays an item.
+    """
+    flat = F.regexp_replace(flat_page(html, bold), "(?i)" + _CUT + "li" + _END + "[ \n]*" + _CUT + "p" + _END, _CUT + "li" + _END)
+    tag = lambda seg: F.when(seg.contains(_END), F.lower(F.substring_index(seg, _END, 1))).otherwise("")
+    return F.transform(F.split(flat, _CUT), lambda seg: F.struct(tag(seg).alias("tag"), F.btrim(F.substring_index(seg, _END, -1), F.lit(" \n")).alias("text")))
 
 
 def html_segments(df: DataFrame, html: str = "html", bold: str = "$1") -> DataFrame:
-    """``(doc_id, pos, tag, text)``: one row per block tag with the text up to the next one."""
-    flat = F.regexp_replace(flat_page(F.col(html), bold), "(?i)" + _CUT + "li" + _END + "[ \n]*" + _CUT + "p" + _END, _CUT + "li" + _END)
-    rows = df.select("doc_id", F.posexplode(F.split(flat, _CUT)).alias("pos", "seg"))
-    seg = F.col("seg")
-    tag = F.when(seg.contains(_END), F.lower(F.substring_index(seg, _END, 1))).otherwise("")
-    return rows.select("doc_id", "pos", tag.alias("tag"), F.btrim(F.substring_index(seg, _END, -1), F.lit(" \n")).alias("text"))
+    """``(doc_id, pos, tag, text)``: the same, a row for each block."""
+    return df.select("doc_id", F.posexplode(page_segments(F.col(html), bold)).alias("pos", "seg")).select("doc_id", "pos", "seg.tag", "seg.text")
 
 
 class _Tree(HTMLParser):

@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from inkshard.session import spread_small
 
 # Rows collected before a batch is handed back to the JVM.
 FLUSH_ROWS = 20_000
@@ -17,7 +16,7 @@ FLUSH_ROWS = 20_000
 def shred(df: DataFrame, body: str, parse: Callable[[object], Iterable[tuple]], fields: str) -> DataFrame:
     """All columns but ``body``, repeated for each row that ``parse(body)`` yields, next to its ``fields``.
 
-    No shuffle, unless the input is small: documents are parsed where they are read.
+    No shuffle: documents are parsed where they are read, one at a time.
     """
     keys = [c for c in df.columns if c != body]
     new = StructType.fromDDL(fields)
@@ -37,7 +36,8 @@ def shred(df: DataFrame, body: str, parse: Callable[[object], Iterable[tuple]],
                 arrays += [pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t) for c, t in zip(columns, arrow.types[len(keys) :])]
                 return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-            for i, value in enumerate(batch.column(body).to_pylist()):
+            for i, held_value in enumerate(batch.column(body)):
+                value = held_value.as_py()
                 if value is not None:
                     before = len(rows)
                     rows.extend(parse(value))
@@ -48,4 +48,4 @@ def shred(df: DataFrame, body: str, parse: Callable[[object], Iterable[tuple]],
             if rows:
                 yield emit()
 
-    return spread_small(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -6,8 +6,10 @@ show in the query progress as dropped by watermark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,46 +48,73 @@ def stream_histogram(stream: DataFrame, value: str, buckets: Sequence[float] = K
     return _flat(wide.select("window", F.element_at("c", -1).alias("n"), bucket_quantile(0.95, "c", buckets).alias("p95")))
 
 
-def stream_failure_streak(stream: DataFrame, key: str = "worker_id", alarm_at: int = 3) -> DataFrame:
-    """An alarm row whenever a worker's streak of failures reaches ``alarm_at``; the state is one number per worker."""
-    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        alarms = []
-        for row in rows.itertuples():
-            streak = 0 if row.ok else streak + 1
-            if streak == alarm_at:
-                alarms.append((k[0], row.event_id, row.ts_us))
-        state.update((streak,))
-        yield pd.DataFrame(alarms, columns=[key, "event_id", "ts_us"])
+def _in_order(rows: DataFrame, key: str, at: str, order: Sequence[str], step: Callable, start: int, result: str, lateness: str) -> DataFrame:
+    """Fold the rows of each key in event-time order and emit what ``step`` makes of each.
 
-    rows = stream.select(key, "event_id", "ts_us", "ok")
-    return rows.groupBy(key).applyInPandasWithState(follow, f"{key} bigint, event_id bigint, ts_us bigint", "streak bigint", "append", GroupStateTimeout.NoTimeout)
+    Rows wait in the state until the watermark has passed them, so neither the order of files nor the
+    cut into micro-batches shows in the result.  ``step(value, row)`` gives the next value and the output row
+    or None; ``order`` are bigint columns, the first in microseconds.  A key whose value is back at ``start``
+    and which has nothing waiting is forgotten; nothing else is.  Rows with a null in ``order`` are
+    ignored, see ``closing``.
+    """
+    columns = list(order)
 
+    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, *held = state.get if state.exists else (start, *([] for _ in columns))
+        waiting = [np.array([int(x) for x in h], dtype=np.int64) for h in held]
+        for pdf in batches:
+            pdf = pdf.dropna(subset=columns)
+            waiting = [np.concatenate([w, pdf[c].to_numpy(np.int64)]) for w, c in zip(waiting, columns, strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ripe = waiting[0] <= passed
+        ready = [w[ripe] for w in waiting]
+        out = []
+        for row in np.lexsort(ready[::-1]):
+            value, made = step(value, tuple(int(c[row]) for c in ready))
+            if made is not None:
+                out.append((k[0], *made))
+        rest = [w[~ripe] for w in waiting]
+        if value == start and not len(rest[0]):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((value, *(r.tolist() for r in rest)))
+            if len(rest[0]):
+                state.setTimeoutTimestamp(max(int(rest[0].min()) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=[key, *[c.split()[0] for c in result.split(", ")]])
+
+    held = ", ".join(f"{c} array<bigint>" for c in columns)
+    rows = rows.withWatermark(at, lateness)
+    return rows.groupBy(key).applyInPandasWithState(follow, f"{key} bigint, {result}", f"value bigint, {held}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_failure_streak(stream: DataFrame, key: str = "worker_id", alarm_at: int = 3, lateness: str = LATENESS) -> DataFrame:
+    """An alarm row whenever a worker's streak of failures reaches ``alarm_at``."""
+
+    def step(streak: int, row: tuple) -> tuple[int, tuple | None]:
+        ts_us, event_id, ok = row
+        streak = 0 if ok else streak + 1
+        return streak, (event_id, ts_us) if streak == alarm_at else None
+
+    rows = stream.select(key, "event_id", "ts_us", F.col("ok").cast("bigint").alias("ok"), "ts")
+    return _in_order(rows, key, "ts", ["ts_us", "event_id", "ok"], step, 0, "event_id bigint, ts_us bigint", lateness)
+
+
+def stream_active(edges: DataFrame, key: str = "worker_id", lateness: str = LATENESS) -> DataFrame:
+    """Conversions in flight per worker after each edge ``(key, event_id, t_us, delta, seen)``, never below zero.
+
+    ``seen`` is when the stream learns of an edge, which for an end is the start of its conversion;
+    edges count at ``t_us`` all the same.
+    """
 
-def stream_active(edges: DataFrame, key: str = "worker_id", idle_s: int = 86_400, lateness: str = LATENESS) -> DataFrame:
-    """Conversions in flight per worker after each edge ``(key, event_id, t_us, delta)``, never below zero.
+    def step(level: int, row: tuple) -> tuple[int, tuple]:
+        t_us, delta, event_id = row
+        level = max(0, level + delta)
+        return level, (event_id, t_us, delta, level)
 
-    Workers without an edge for ``idle_s`` seconds of stream time are forgotten.
-    """
-    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t_us", "delta", "event_id"])
-        levels = []
-        for delta in rows["delta"]:
-            level = max(0, level + int(delta))
-            levels.append(level)
-        state.update((level,))
-        newest_ms = max(int(rows["t_us"].iloc[-1]) // 1000, state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(newest_ms + idle_s * 1000)
-        yield rows.assign(active=levels)[[key, "event_id", "t_us", "delta", "active"]]
-
-    rows = edges.select(key, "event_id", "t_us", "delta", F.timestamp_micros("t_us").alias("at")).withWatermark("at", lateness)
-    schema = f"{key} bigint, event_id bigint, t_us bigint, delta int, active bigint"
-    return rows.groupBy(key).applyInPandasWithState(follow, schema, "level bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = edges.select(key, "event_id", "t_us", F.col("delta").cast("bigint").alias("delta"), "seen")
+    out = _in_order(rows, key, "seen", ["t_us", "delta", "event_id"], step, 0, "event_id bigint, t_us bigint, delta bigint, active bigint", lateness)
+    return out.withColumn("delta", F.col("delta").cast("int"))
 
 
 def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str = "plain"):
@@ -102,11 +131,26 @@ def drain(df: DataFrame, out_dir: str, checkpoint: str) -> None:
     query.trigger(availableNow=True).start().awaitTermination()
 
 
+def closable(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and the rows of a folder that is empty until ``close_stream`` writes to it."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def close_stream(stream: DataFrame, folder: str, ts: str = "ts") -> None:
+    """Say that no more rows come: one row, null but for a far ``ts``, moves the watermark past everything.
+
+    Windows still open and rows still waiting come out when the stream is drained once more.
+    """
+    row = {ts: datetime(2200, 1, 1, tzinfo=timezone.utc)}
+    stream.sparkSession.createDataFrame([tuple(row.get(c) for c in stream.columns)], stream.schema).write.mode("append").parquet(folder)
+
+
 def read_table_stream(spark: SparkSession, pattern: str, ts: str | None = None, max_files: int = 100) -> DataFrame:
     """A parquet folder or file pattern as a stream, with ``ts`` cast for watermarks.
 
-    ``max_files`` bounds a micro-batch, and with it the rows of one worker the stateful
-    operators hold at a time.
+    ``max_files`` bounds a micro-batch; it shows in no result.
     """
     schema = spark.read.parquet(pattern).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
@@ -117,4 +161,5 @@ def edges_of(log: DataFrame, busy_s: Column, key: str = "worker_id") -> DataFram
     """Start and end edges of each conversion."""
     end_us = F.col("ts_us") + F.floor(busy_s * 1_000_000).cast("bigint")
     edge = lambda at, d: F.struct(at.alias("t_us"), F.lit(d).alias("delta"))
-    return log.select(key, "event_id", F.explode(F.array(edge(F.col("ts_us"), 1), edge(end_us, -1))).alias("e")).select(key, "event_id", "e.t_us", "e.delta")
+    both = F.explode(F.array(edge(F.col("ts_us"), 1), edge(end_us, -1))).alias("e")
+    return log.select(key, "event_id", F.col("ts").alias("seen"), both).select(key, "event_id", "e.t_us", "e.delta", "seen")

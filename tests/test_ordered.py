@@ -1,17 +1,19 @@
-"""Huge groups cut into chunks must give what plain windows give."""
+"""Groups cut into chunks must give what one window over the group gives."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkshard.operators import conversion_log as L
+from inkshard.operators import structure as S
 from inkshard.operators import tables as T
-from inkshard.operators.ordered import _CHUNK, heavy_groups, over_groups, with_chunks
+from inkshard.operators.ordered import over_groups
 from inkshard.operators.text import join_text
 
-FORCED = {"heavy_rows": 4, "small_input_bytes": 0}
-PLAIN = {"small_input_bytes": 1 << 62}
+#: Chunks of a few positions, and one chunk for everything.
+CUT, WHOLE = 4, 1 << 40
 
 
 @pytest.fixture(scope="module")
@@ -22,10 +24,10 @@ def rows(spark):
     return spark.createDataFrame(data, "k int, pos int, d int, v string").coalesce(3).cache()
 
 
-def same(df, body, **kw):
+def same(df, body):
     results = []
-    for limits in (FORCED, PLAIN):
-        out = over_groups(df, ["k"], ["pos"], body, **limits)
+    for chunk in (CUT, WHOLE):
+        out = over_groups(df, ["k"], ["pos"], body, chunk)
         results.append(sorted(map(str, out.select(*sorted(out.columns)).collect())))
     assert results[0] == results[1]
     assert results[0]
@@ -50,57 +52,61 @@ def test_chunks_equal_windows(rows, name):
     same(rows, BODIES[name])
 
 
-def test_two_order_columns(spark):
-    data = [(1, i % 2, i // 2, 1) for i in range(30)]
-    df = spark.createDataFrame(data, "k int, a int, b int, d int")
-    get = lambda limits: sorted(map(tuple, over_groups(df, ["k"], ["a", "b"], lambda x, s: s.ordinal(x, "n"), **limits).select("a", "b", "n").collect()))
-    assert get(FORCED) == get(PLAIN) == [(a, b, a * 15 + b + 1) for a in (0, 1) for b in range(15)]
+def test_against_one_window(rows):
+    """The carried form itself, against plain windows over whole groups."""
+    w = Window.partitionBy("k").orderBy("pos")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = F.sum("d").over(up)
+    want = rows.select("k", "pos", s.alias("a"), F.last("v", True).over(up).alias("c"), F.lag("v").over(w).alias("p"), F.max("d").over(Window.partitionBy("k")).alias("t"), s.alias("s"))
+    want = want.withColumn("level", F.col("s") - F.least(F.lit(0), F.min("s").over(up))).drop("s")
 
+    def body(df, scan):
+        df = scan.together(df, running={"a": ("sum", F.col("d")), "c": ("last", F.col("v"))}, totals={"t": ("max", F.col("d"))})
+        return scan.neighbours(scan.floored_level(df, "level", F.col("d")), lag={"p": F.col("v")})
 
-def test_bursts_are_cut_again(spark):
-    """Most rows of a huge group within a sliver of its range, many at the very same time."""
-    data = [(1, 10**9 if i == 0 else (5 if i % 2 else i), i, i % 3 - 1) for i in range(200)]
-    df = spark.createDataFrame(data, "k int, t bigint, id int, d int")
-    body = lambda x, s: s.running(s.floored_level(x, "n", F.col("d")), last=("last", F.when(F.col("d") == 1, F.col("id"))))
-    get = lambda limits: sorted(map(str, over_groups(df, ["k"], ["t", "id"], body, **limits).select("t", "id", "n", "last").collect()))
-    cut = {"heavy_rows": 20, "small_input_bytes": 0}
-    assert get(cut) == get(PLAIN)
-    heavy = heavy_groups(df, ["k"], ["t", "id"], 20)
-    sizes = [r["count"] for r in with_chunks(df, heavy, ["k"], ["t", "id"], 20).groupBy(*_CHUNK).count().collect()]
-    assert sum(sizes) == 200 and max(sizes) <= 40
+    got = over_groups(rows, ["k"], ["pos"], body, CUT)
+    columns = ["k", "pos", "a", "c", "p", "t", "level"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_null_keys_and_positions(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 9, 2), (1, None, 3), (1, 9, 4)], "k int, pos int, d int")
+    out = over_groups(df, ["k"], ["pos"], lambda x, s: s.running(x, n=("sum", F.col("d"))), CUT)
+    assert {r.d: r.n for r in out.filter("k = 1").collect()} == {3: 3, 4: 7}
 
 
 def test_floored_level_never_negative(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([-1, -1, 1, 1, -1, -1, -1, 1])], "k int, pos int, d int")
-    out = over_groups(df, ["k"], ["pos"], lambda x, s: s.floored_level(x, "n", F.col("d")), **FORCED)
+    out = over_groups(df, ["k"], ["pos"], lambda x, s: s.floored_level(x, "n", F.col("d")), CUT)
     assert [r.n for r in out.orderBy("pos").collect()] == [0, 0, 1, 2, 1, 0, 0, 1]
 
 
 def test_joined_parts_make_the_whole_text(spark):
     df = spark.createDataFrame([(k, i, f"<{i}>") for k, n in ((1, 25), (2, 3)) for i in range(n)], "k int, pos int, t string")
-    out = join_text(df, ["k"], ["pos"], "t", part_rows=4, small_input_bytes=0).orderBy("k", "part").collect()
-    assert len([r for r in out if r.k == 1]) > 3 and max(r.n for r in out) <= 5
+    out = join_text(df, ["k"], ["pos"], "t", part=CUT).orderBy("k", "part").collect()
+    assert len([r for r in out if r.k == 1]) > 3 and max(r.n for r in out) <= CUT
     assert "".join(r.text for r in out if r.k == 1) == "".join(f"<{i}>" for i in range(25))
     assert [(r.part, r.text) for r in out if r.k == 2] == [(0, "<0><1><2>")]
 
 
-def brute_restarts(checks, threshold=3):
-    hits, n = [], 0
-    for us, ok, works in checks:
-        n = 0 if ok else n + 1
-        if n >= threshold:
-            hits.append(us)
-            n = 0 if works else n
-    return hits
+def executed(df):
+    """Scans of files and shuffles that the query really ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan"), sum(line.split("Exchange")[0].strip(" +-:|*()0123456789") == "" for line in plan.splitlines() if "Exchange" in line and "Reused" not in line and "Broadcast" not in line)
 
 
-@pytest.mark.parametrize("limits", [FORCED, PLAIN])
-def test_restarts_that_may_fail(spark, limits):
-    rng = random.Random(3)
-    checks = [(i, rng.random() < 0.2, rng.random() < 0.4) for i in range(80)]
-    df = spark.createDataFrame([(1, us, us, ok, w) for us, ok, w in checks], "worker_id bigint, ts_us bigint, event_id bigint, ok boolean, works boolean")
-    got = sorted(r.ts_us for r in L.health_restarts(df, restart_ok="works", **limits).collect())
-    assert got == brute_restarts(checks) and got
+def test_huge_group_spreads_and_plan_is_bounded(spark, tmp_path):
+    """A million rows in one group, a few megabytes on disk: same rows as many small groups, several tasks, few scans."""
+    n = 1_000_000
+    spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), (F.col("id") % 10 == 0).alias("is_break")).write.parquet(str(tmp_path / "one"))
+    spark.range(n).select((F.col("id") / 10).cast("int").alias("doc_id"), (F.col("id") % 10).cast("int").alias("pos"), (F.col("id") % 10 == 0).alias("is_break")).write.parquet(str(tmp_path / "many"))
+    one, many = (S.assign_sections(spark.read.parquet(str(tmp_path / p))) for p in ("one", "many"))
+    assert one.agg(F.sum("section_idx"), F.count(F.lit(1))).first() == (sum((p + 9) // 10 for p in range(n)), n)
+    assert many.agg(F.sum("section_idx"), F.count(F.lit(1))).first() == (n // 10 * 9, n)
+    assert one.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+    scans, shuffles = executed(one)
+    assert scans <= 3 and shuffles <= 4
 
 
 def brute_grid(cells, n_cols):
@@ -121,12 +127,12 @@ def brute_grid(cells, n_cols):
     return sorted(grid)
 
 
-@pytest.mark.parametrize("limits", [FORCED, PLAIN])
-def test_table_grid(spark, limits):
+@pytest.mark.parametrize("chunk", [2, WHOLE])
+def test_table_grid(spark, chunk):
     rng = random.Random(11)
     cells = {t: [(r, o, rng.choice([1, 1, 2, 3]) if t < 4 else 1, rng.choice([1, 2])) for r in range(8) for o in range(rng.randint(1, 4))] for t in range(6)}
     df = spark.createDataFrame([(t, *c, "s", 5) for t, cs in cells.items() for c in cs], "table_id int, row int, ord int, row_span int, col_span int, style string, n_cols int")
-    got = T.table_grid(df, **limits).collect()
+    got = T.table_grid(df, chunk=chunk).collect()
     for t, cs in cells.items():
         mine = sorted((r.row, r.grid_col, r.col_span, r.is_continuation) for r in got if r.table_id == t)
         assert mine == brute_grid(cs, 5)
