@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import ascii_lower
+from inkshard.llm.common import ascii_lower, saved
 
 
 def content_hash(text: Column) -> Column:
@@ -24,35 +24,24 @@ def exact_copies(documents: DataFrame, digest: Callable[[Column], Column] = cont
     repeat both the text and the largest doc_id every one is ``kept``, as they are the
     same row twice.  Other columns are ignored.
 
-    Rows are grouped by a 128-bit hash with map-side combine, so a text that a third of all rows
-    share shrinks to a row for each task.  Then every other member of a group is compared byte
-    by byte with the text of the row that stays.  Members that differ (a collision of
+    Texts are grouped by a 128-bit hash with map-side combine, so a text that a third of all rows
+    share shrinks to a row for each task.  The bytes inside a group are compared on the way: its
+    least and its greatest text are the same only if all are.  Groups where they differ (a collision of
     ``digest``) are grouped again by their whole text.
     """
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).withColumn("hash", digest(F.col("norm")))
-    rows = texts.select("doc_id", "hash", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    groups = rows.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-
-    # Byte check: the members of groups of two and more beside the text of the row that stays.
-    shared = groups.filter("group_size > 1").select("hash", "keep_id")
-    members = texts.join(shared, "hash")
-    other = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    keepers = members.filter(~other).groupBy("hash").agg(F.min("norm").alias("_keeper"), F.max("norm").alias("_last"))
-    differing = (
-        members.join(keepers, "hash")
-        .filter((F.col("norm") != F.col("_keeper")) | (F.col("_keeper") != F.col("_last")))
-        .select("hash")
-        .distinct()
-    )
-    # Groups with a collision, as a rule none: exact groups by text.
-    collided = texts.join(differing, "hash", "left_semi")
-    by_text = collided.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    by_text = by_text.select("hash", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-
-    plain = rows.join(differing, "hash", "left_anti").join(groups, "hash")
-    out = plain.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(
-        rows.join(by_text, ["hash", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
-    )
+    sha256 = lambda text: F.sha2(text.cast("binary"), 256).alias("text_sha256")
+    ids = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    groups = texts.groupBy("hash").agg(*ids, F.min("norm").alias("least"), F.max("norm").alias("most"))
+    groups = saved(groups.select("hash", "keep_id", "group_size", (F.col("least") == F.col("most")).alias("equal"), sha256(F.col("least"))))
+
+    out = texts.select("doc_id", "hash").join(groups.filter("equal").drop("equal"), "hash")
+    collided = groups.filter("NOT equal").select("hash")
+    if not collided.isEmpty():
+        rows = texts.join(collided, "hash", "left_semi")
+        by_text = rows.groupBy("hash", "norm").agg(*ids).select("hash", "keep_id", "group_size", sha256(F.col("norm")))
+        again = rows.select("doc_id", "hash", sha256(F.col("norm"))).join(by_text, ["hash", "text_sha256"])
+        out = out.unionByName(again)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
