@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import SPACE, ascii_lower, fresh, shuffle_parts, text_key
+from inkshard.llm.common import SPACE, ascii_lower, fresh, saved, shuffle_parts, text_key
 
 
 def split_lines(text: Column) -> Column:
@@ -18,7 +18,8 @@ def _dropped_lines(documents: DataFrame, min_chars: int, min_documents: int) ->
     # The cheap length test first: stripping never makes a line longer.
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
     lines = lines.filter(F.char_length("line") >= min_chars).withColumn("key", key).filter(F.char_length("key") >= min_chars)
-    hashed = lines.select("doc_id", "text_key", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
+    # Saved, as the range sort samples its input first and two branches read it.
+    hashed = saved(lines.select("doc_id", "text_key", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")))
     # Range-partitioned by hash, secondary sort by document and position.  The ranges cut
     # through a hash that many documents share.
     ranged = hashed.repartitionByRange(shuffle_parts(documents), "h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), "pos")
