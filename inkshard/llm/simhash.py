@@ -7,7 +7,6 @@ from functools import cache
 from itertools import combinations, permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,13 +123,19 @@ def _bucket_links(limit: int):
     """Links inside buckets, from rows sorted by key; the members of a bucket above ``limit`` come out without a partner."""
 
     def links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, step = [], 1
-        at = np.arange(len(keys))
+        """Each member tied to the first one its verified links lead to; all pairs would say no more."""
+        first, step = np.arange(len(keys)), 1
+        at = first
         while len(at := at[at + step < len(keys)]) and len(at := at[keys[at + step] == keys[at]]):
-            close = np.bitwise_count((prints[at] ^ prints[at + step]).view(np.uint64)) <= DISTANCE
-            out.append((prints[at[close]], prints[at[close] + step]))
+            a = at[np.bitwise_count((prints[at] ^ prints[at + step]).view(np.uint64)) <= DISTANCE]
+            while len(a := a[first[a] != first[a + step]]):
+                low, high = np.minimum(first[a], first[a + step]), np.maximum(first[a], first[a + step])
+                np.minimum.at(first, high, low)
+                while (first != first[first]).any():
+                    first = first[first]
             step += 1
-        return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in zip(*out, strict=True)) if out else (prints[:0], prints[:0])
+        tied = np.flatnonzero(first != np.arange(len(keys)))
+        return prints[tied], prints[first[tied]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
@@ -217,9 +222,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint, na_action=None).astype("int64")
+@F.arrow_udf(LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
 
 
 def near_copies(documents: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
