@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from inkshard.functions.css import css_cascade, paragraph_format
 from inkshard.functions.media import sized_image, svg_data_uri
-from inkshard.operators.ordered import Scan, over_groups
+from inkshard.operators.ordered import over_groups
+from inkshard.sources.html import html_chains, html_drawings
 
 # Positions per bin of a containment join.  Both sides meet in bins, so the work is about
 # rows times the nesting depth, whatever the size of a document.
 BIN = 64
 
 
+def _within_reach(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Outer intervals with ``_reach``: where they end, or where the inner rows of their document do; none without inner rows."""
+    last = inner.groupBy("doc_id").agg(F.max("pos").alias("_last"))
+    return outer.join(last, "doc_id").withColumn("_reach", F.least("close_pos", "_last")).filter("_reach > pos").drop("_last")
+
+
 def contained_in(inner: DataFrame, outer: DataFrame, outer_columns: Sequence[str] = (), bin_size: int = BIN) -> DataFrame:
     """Pairs of an inner row and every outer interval around it.
 
-    An outer interval is listed in each bin it touches, an inner row in the one it lies
-    in, and only rows of the same document and bin are compared.
+    An outer interval is listed in each bin it touches up to the last inner row of its document,
+    an inner row in the one it lies in, and only rows of the same document and bin are compared.
     """
-    spans = outer.select("doc_id", F.col("pos").alias("outer_pos"), F.col("close_pos").alias("outer_close"), *[F.col(c).alias(f"outer_{c}" if c in inner.columns else c) for c in outer_columns])
-    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("outer_pos") / bin_size), F.floor(F.col("outer_close") / bin_size))))
+    spans = _within_reach(outer, inner).select("doc_id", F.col("pos").alias("outer_pos"), F.col("close_pos").alias("outer_close"), "_reach", *[F.col(c).alias(f"outer_{c}" if c in inner.columns else c) for c in outer_columns])
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("outer_pos") / bin_size), F.floor(F.col("_reach") / bin_size)))).drop("_reach")
     rows = inner.withColumn("_bin", F.floor(F.col("pos") / bin_size))
     inside = (F.col("pos") > F.col("outer_pos")) & (F.col("pos") < F.col("outer_close"))
     return rows.join(spans, ["doc_id", "_bin"]).filter(inside).drop("_bin")
@@ -31,8 +38,8 @@ def contained_in(inner: DataFrame, outer: DataFrame, outer_columns: Sequence[str
 
 def inside_any(inner: DataFrame, outer: DataFrame, negate: bool = False, bin_size: int = BIN) -> DataFrame:
     """Inner rows that lie (or, with ``negate``, do not lie) inside some outer interval."""
-    spans = outer.select("doc_id", F.col("pos").alias("_from"), F.col("close_pos").alias("_to"))
-    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / bin_size), F.floor(F.col("_to") / bin_size))))
+    spans = _within_reach(outer, inner).select("doc_id", F.col("pos").alias("_from"), F.col("close_pos").alias("_to"), "_reach")
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / bin_size), F.floor(F.col("_reach") / bin_size)))).drop("_reach")
     rows = inner.withColumn("_bin", F.floor(F.col("pos") / bin_size)).alias("i")
     cond = [F.col("i.doc_id") == F.col("o.doc_id"), F.col("i._bin") == F.col("o._bin"), F.col("i.pos") > F.col("o._from"), F.col("i.pos") < F.col("o._to")]
     return rows.join(spans.alias("o"), cond, "left_anti" if negate else "left_semi").drop("_bin")
@@ -84,26 +91,23 @@ def is_caption(blocks: DataFrame, spans: DataFrame, caption_class: str = "rte-ca
     return blocks.join(hits.select("doc_id", F.col("outer_pos").alias("pos")).distinct(), ["doc_id", "pos"], "left_semi")
 
 
-def run_properties(runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Properties each run inherits from the styled spans and formatting nodes around it.
+#: Formatting elements and what they are to the cascade.
+RUN_KINDS = {"span": "Span", "b": "Strong", "strong": "Strong", "i": "Emph", "em": "Emph", "u": "Underline", "s": "Strikeout", "del": "Strikeout", "sup": "Superscript", "sub": "Subscript"}
+
 
-    The chain of ancestors is as long as the tree is deep, so it is safe to collect.
+def styled_runs(documents: DataFrame, html: str = "html") -> DataFrame:
+    """``(doc_id, pos, tag, text, props)``: the text of each element and what it inherits from the formatting around it.
+
+    The parser knows which elements are open, so one pass over a document gives the chains; no join.
     """
-    kinds = {"span": "Span", "b": "Strong", "strong": "Strong", "i": "Emph", "em": "Emph", "u": "Underline", "s": "Strikeout", "del": "Strikeout", "sup": "Superscript", "sub": "Subscript"}
-    kind = F.coalesce(*[F.when(F.col("tag") == t, k) for t, k in kinds.items()])
-    marks = nodes.select("doc_id", "pos", "close_pos", kind.alias("kind"), F.col("attrs")["style"].alias("style")).filter(F.col("kind").isNotNull())
-    around = contained_in(runs.select("doc_id", "pos"), marks, ["kind", "style"])
-    step = F.struct("outer_pos", "kind", "style")
-    chains = around.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(step)).alias("_c"))
-    chain = F.transform("_c", lambda x: F.struct(x["kind"].alias("kind"), x["style"].alias("style")))
-    return runs.join(chains.select("doc_id", "pos", css_cascade(chain).alias("props")), ["doc_id", "pos"], "left")
-
-
-def top_level_svgs(nodes: DataFrame, svg: str = "outer_html") -> DataFrame:
-    """Drawings not inside another drawing, as data URIs with their stated size."""
-    svgs = nodes.filter(F.col("tag") == "svg")
-    top = inside_any(svgs, svgs, negate=True)
-    return top.select("doc_id", "pos", svg_data_uri(svg).alias("src"), F.col("attrs")["width"].alias("width"), F.col("attrs")["height"].alias("height"))
+    runs = html_chains(documents, RUN_KINDS, html)
+    return runs.select("doc_id", "pos", "tag", "text", css_cascade(F.col("chain")).alias("props"))
+
+
+def top_level_svgs(documents: DataFrame, html: str = "html") -> DataFrame:
+    """Drawings not inside another drawing, as data URIs of their markup, with the size they state."""
+    found = html_drawings(documents, html)
+    return found.select("doc_id", "pos", svg_data_uri("outer_html").alias("src"), F.col("attrs")["width"].alias("width"), F.col("attrs")["height"].alias("height"))
 
 
 def markup_passthrough(docs: DataFrame, rewritten: DataFrame) -> DataFrame:

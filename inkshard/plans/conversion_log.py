@@ -12,8 +12,8 @@ from inkshard.functions.text import error_line, in_range_or_default
 from inkshard.operators import conversion_log as L
 from inkshard.plans.registry import plan, table
 from inkshard.plans.views import CONV_LOG, REQUEST_LOG, WORKER_LOG, conv_log, request_log, worker_log
-from inkshard.sources.dims import formats_dim, lookup_dim, mime_type, output_name
-from inkshard.sources.metrics import exposition_lines
+from inkshard.sources.dims import formats_dim, lookup_dim, mime_type, output_name, paper_dim, unsupported_formats
+from inkshard.sources.metrics import exposition_lines, worker_exposition_lines
 
 LOG = f"WITH log AS ({CONV_LOG})"
 
@@ -259,19 +259,72 @@ def _(spark, sf):
     return L.rejected_requests(request_log(spark, sf), digests).select("event_id", "path", "reason")
 
 
+def _sql_family(name: str, value: str, buckets, keys: str = "", source: str = "log") -> str:
+    """Bucket, count and sum lines of a histogram."""
+    labels = " || ',' || ".join(f"'{k}=\"' || {k} || '\"'" for k in keys.split(", ") if k)
+    inside, alone = (f"{labels} || ',", f"'{{' || {labels} || '}}'") if labels else ("'", "''")
+    h = f"({_sql_histogram(value, buckets, keys, source)})"
+    return f"""SELECT '{name}_bucket{{' || {inside}le="' || le || '"}} ' || cumulative AS value FROM {h}
+    UNION ALL SELECT '{name}_count' || {alone} || ' ' || n FROM {h} WHERE le = '+Inf' UNION ALL SELECT '{name}_sum' || {alone} || ' ' || printf('%.3f', CAST(total AS DOUBLE)) FROM {h} WHERE le = '+Inf'"""
+
+
+_TIMES = ["duration_s * 0.75 AS subprocess_s", "duration_s / 16 AS post_s"]
+_TIMED = f"{LOG}, timed AS (SELECT *, {', '.join(_TIMES)} FROM log), done AS (SELECT * FROM timed WHERE ok)"
+
+
 @plan(
     "s10_exposition_lines",
-    f"""{LOG}, c AS (SELECT source_format AS s, target_format AS t, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS f FROM log GROUP BY ALL),
-    h AS ({_sql_histogram('duration_s', K.CONVERSION_BUCKETS, 'source_format, target_format', '(FROM log WHERE ok)')}),
-    labelled AS (SELECT *, 'source_format="' || source_format || '",target_format="' || target_format || '"' AS l FROM h)
+    f"""{_TIMED}, c AS (SELECT source_format AS s, target_format AS t, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS f FROM log GROUP BY ALL)
     SELECT 'conversions_total{{source_format="' || s || '",target_format="' || t || '"}} ' || n AS value FROM c
     UNION ALL SELECT 'conversion_failures_total{{source_format="' || s || '",target_format="' || t || '"}} ' || f FROM c
-    UNION ALL SELECT 'conversion_duration_seconds_bucket{{' || l || ',le="' || le || '"}} ' || cumulative FROM labelled
-    UNION ALL SELECT 'conversion_duration_seconds_count{{' || l || '}} ' || n FROM labelled WHERE le = '+Inf'
-    UNION ALL SELECT 'conversion_duration_seconds_sum{{' || l || '}} ' || printf('%.3f', total) FROM labelled WHERE le = '+Inf'""",
+    UNION ALL SELECT 'template_conversions_total{{target_format="' || target_format || '"}} ' || count(*) FILTER (ok AND has_template) FROM log GROUP BY target_format
+    UNION ALL {_sql_family('conversion_duration_seconds', 'duration_s', K.CONVERSION_BUCKETS, 'source_format, target_format', 'done')}
+    UNION ALL {_sql_family('subprocess_duration_seconds', 'subprocess_s', K.SUBPROCESS_BUCKETS, '', 'done')}
+    UNION ALL {_sql_family('post_processing_duration_seconds', 'post_s', K.POST_PROCESSING_BUCKETS, 'target_format', 'done')}
+    UNION ALL {_sql_family('request_body_bytes', 'request_bytes', K.SIZE_BUCKETS)} UNION ALL {_sql_family('response_body_bytes', 'response_bytes', K.SIZE_BUCKETS)}
+    UNION ALL SELECT 'conversion_error_rate_percent ' || printf('%.3f', count(*) FILTER (NOT ok) * 100.0 / count(*)) FROM log
+    UNION ALL SELECT 'avg_conversion_time_seconds ' || printf('%.3f', avg(duration_s)) FROM done""",
+)
+def _(spark, sf):
+    return exposition_lines(conv_log(spark, sf).selectExpr("*", *_TIMES))
+
+
+@plan(
+    "s10_worker_exposition_lines",
+    f"""WITH w AS (SELECT *, duration_ms / 1000 AS seconds FROM ({WORKER_LOG})), done AS (SELECT * FROM w WHERE ok)
+    SELECT 'raster_conversions_total ' || count(*) AS value FROM done UNION ALL SELECT 'raster_conversion_failures_total ' || count(*) FROM w WHERE NOT ok
+    UNION ALL SELECT 'worker_restarts_total{{worker="' || worker_id || '"}} ' || count(*) FILTER (event = 'start') FROM w GROUP BY worker_id
+    UNION ALL {_sql_family('raster_duration_seconds', 'seconds', K.RASTER_BUCKETS, '', 'done')}
+    UNION ALL SELECT 'raster_conversion_error_rate_percent ' || printf('%.3f', count(*) FILTER (NOT ok) * 100.0 / count(*)) FROM w
+    UNION ALL SELECT 'avg_raster_conversion_time_seconds ' || printf('%.3f', avg(seconds)) FROM done UNION ALL SELECT 'avg_queue_wait_seconds ' || printf('%.3f', avg(queue_ms / 1000)) FROM w
+    UNION ALL SELECT 'avg_cpu_percent ' || printf('%.3f', avg(cpu_percent)) FROM w UNION ALL SELECT 'avg_memory_mb ' || printf('%.3f', avg(memory_mb)) FROM w""",
+)
+def _(spark, sf):
+    return worker_exposition_lines(worker_log(spark, sf))
+
+
+def _family_plan(name: str, columns: list[str], value: str, buckets, keys: list[str]):
+    """A histogram over successes, per family and bucket layout."""
+    k = ", ".join(keys)
+    k_ = f"{k}, " if k else ""
+
+    @plan(name, f"{_TIMED}, h AS ({_sql_histogram(value, buckets, k, 'done')}) SELECT {k_}le, cumulative, round(total, 4) AS sum, n AS count FROM h")
+    def _(spark, sf):
+        log = conv_log(spark, sf).selectExpr("*", *columns).filter("ok")
+        return L.histogram(log, value, buckets, keys).withColumn("sum", F.round("sum", 4))
+
+
+_family_plan("a6_subprocess_histogram", _TIMES, "subprocess_s", K.SUBPROCESS_BUCKETS, [])
+_family_plan("a6_post_processing_histogram", _TIMES, "post_s", K.POST_PROCESSING_BUCKETS, ["target_format"])
+
+
+@plan(
+    "a6_raster_histogram",
+    f"WITH w AS (SELECT worker_id, duration_ms / 1000 AS seconds FROM ({WORKER_LOG}) WHERE ok), h AS ({_sql_histogram('seconds', K.RASTER_BUCKETS, 'worker_id', 'w')}) SELECT worker_id, le, cumulative, round(total, 4) AS sum, n AS count FROM h",
 )
 def _(spark, sf):
-    return exposition_lines(conv_log(spark, sf))
+    log = worker_log(spark, sf).filter("ok").withColumn("seconds", F.col("duration_ms") / 1000)
+    return L.histogram(log, "seconds", K.RASTER_BUCKETS, ["worker_id"]).withColumn("sum", F.round("sum", 4))
 
 
 # Policies applied to the log.
@@ -351,9 +404,19 @@ def _(spark, sf):
 )
 def _(spark, sf):
     log = conv_log(spark, sf)
-    s, t = log.select(F.col("source_format").alias("format")).distinct(), log.select(F.col("target_format").alias("format")).distinct()
-    side = lambda df, name: df.withColumn("side", F.lit(name))
-    return side(s.exceptAll(t), "source_only").unionByName(side(t.exceptAll(s), "target_only")).unionByName(side(s.intersect(t), "both"))
+    return unsupported_formats(log.select(F.col("source_format").alias("format")), log.select(F.col("target_format").alias("format")))
+
+
+@plan(
+    "j3_lookup_dim",
+    f"""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a4' WHEN 1 THEN 'Letter' WHEN 2 THEN 'b9' END AS paper FROM events)
+    SELECT event_id, paper, CASE upper(paper) WHEN 'A4' THEN {K.PAPER_TWIPS['A4'][0]} WHEN 'LETTER' THEN {K.PAPER_TWIPS['LETTER'][0]} END AS w,
+      CASE upper(paper) WHEN 'A4' THEN {K.PAPER_TWIPS['A4'][1]} WHEN 'LETTER' THEN {K.PAPER_TWIPS['LETTER'][1]} END AS h FROM p""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "events").selectExpr("event_id", "CASE event_id % 4 WHEN 0 THEN 'a4' WHEN 1 THEN 'Letter' WHEN 2 THEN 'b9' END AS paper")
+    known = lookup_dim(rows.filter("paper <> 'b9' OR paper IS NULL"), paper_dim(spark), "paper", "paper", strict=True)
+    return known.unionByName(lookup_dim(rows.filter("paper = 'b9'"), paper_dim(spark), "paper", "paper"))
 
 
 @plan("f34_in_range_or_default", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 30 WHEN CAST(floor(value) AS INT) BETWEEN 5 AND 300 THEN CAST(floor(value) AS INT) ELSE 30 END AS timeout_s FROM events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from inkshard.functions.policy import has_color_macro, has_svg, unsafe_math
@@ -12,9 +14,10 @@ from inkshard.operators import joins as J
 from inkshard.operators.render import render_blocks, render_pages
 from inkshard.plans.registry import plan, table
 from inkshard.plans.views import MATH_SPANS, math_spans, pages
-from inkshard.sources.ast_json import write_ast_json
-from inkshard.sources.corpus import decode_body, read_pages, rendered_files
-from inkshard.sources.html import html_nodes, html_tokens
+from inkshard.session import shared_dir
+from inkshard.sources.ast_json import read_ast_json, write_ast_json
+from inkshard.sources.corpus import decode_body, read_pages, write_rendered
+from inkshard.sources.html import html_nodes, html_tokens, register_html_nodes
 
 # Tokens told apart on their own terms: no possessive parts, whole elements first, quoted values by alternation.
 _SQL_TOKEN = r"""(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|</?[a-z](?:"[^"]*"|''[^'']*''|[^>"''])*>|<![^>]*>|[^<]+|<[^<]*"""
@@ -140,12 +143,17 @@ def _(spark, sf):
 
 @plan(
     "s7_rendered_files",
-    """SELECT page_id AS doc_id, f AS target_format, 'converted-document.' || CASE f WHEN 'plain' THEN 'txt' WHEN 'markdown' THEN 'md' ELSE 'docx' END AS file_name,
-    CASE f WHEN 'markdown' THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime_type FROM pages, (VALUES ('plain'), ('markdown'), ('fb2')) t(f)""",
+    f"""WITH p AS (FROM ({_render_sql("plain")})), m AS (FROM ({_render_sql("markdown")})), r AS (SELECT *, 'plain' AS target_format FROM p UNION ALL SELECT *, 'markdown' FROM m UNION ALL SELECT *, 'fb2' FROM p)
+    SELECT doc_id, target_format, 'converted-document.' || CASE target_format WHEN 'plain' THEN 'txt' WHEN 'markdown' THEN 'md' ELSE 'docx' END AS file_name,
+    CASE target_format WHEN 'markdown' THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime_type, text FROM r""",
 )
 def _(spark, sf):
-    targets = F.explode(F.array(F.lit("plain"), F.lit("markdown"), F.lit("fb2"))).alias("target_format")
-    return rendered_files(pages(spark, sf).select("doc_id", targets))
+    """Rendered, written one folder for each target, and read back."""
+    docs = pages(spark, sf)
+    rendered = [render_pages(docs, dialect).withColumn("target_format", F.lit(target)) for dialect, target in (("plain", "plain"), ("markdown", "markdown"), ("plain", "fb2"))]
+    folder = f"{shared_dir(spark)}/{uuid4().hex}"
+    write_rendered(rendered[0].unionByName(rendered[1]).unionByName(rendered[2]), folder)
+    return spark.read.parquet(folder).select("doc_id", F.col("target_format").cast("string").alias("target_format"), "file_name", "mime_type", "text")
 
 
 @plan(
@@ -154,8 +162,22 @@ def _(spark, sf):
     SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part, '[' || string_agg('{"kind":"' || role || '","level":' || turn || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn) || ']' AS json FROM b GROUP BY 1""",
 )
 def _(spark, sf):
-    blocks = table(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "turn AS pos", "role AS kind", "CAST(turn AS INT) AS level", "text")
-    return write_ast_json(blocks)
+    return write_ast_json(_turn_blocks(spark, sf))
+
+
+def _turn_blocks(spark, sf):
+    return table(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "turn AS pos", "role AS kind", "CAST(turn AS INT) AS level", "text")
+
+
+@plan("s11_read_ast_json", "SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part, CAST(turn AS INT) AS pos, role AS kind, CAST(turn AS INT) AS level, text FROM conversations")
+def _(spark, sf):
+    return read_ast_json(write_ast_json(_turn_blocks(spark, sf)))
+
+
+@plan("x4_html_nodes_in_sql", f"WITH {_TOKENS} SELECT doc_id, tag, count(*) AS n FROM k WHERE kind IN ('open', 'script', 'style') GROUP BY ALL")
+def _(spark, sf):
+    register_html_nodes(spark)
+    return spark.sql("SELECT p.doc_id, n.tag, count(*) AS n FROM {docs} p, LATERAL html_nodes(p.html) n GROUP BY p.doc_id, n.tag", docs=pages(spark, sf))
 
 
 # Content policies.

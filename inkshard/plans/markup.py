@@ -8,6 +8,7 @@ from inkshard.functions.media import data_url, raster_size, svg_img_width, svg_s
 from inkshard.functions.styles import ooxml_run
 from inkshard.operators import nodes as N
 from inkshard.plans.registry import plan, table
+from inkshard.plans.views import pages
 from inkshard.sources.html import html_nodes
 
 GIF = "data:image/gif;base64,R0lGODlhLAGWAAAA"
@@ -22,9 +23,12 @@ _HTML = f"""concat('<div>',
  '</div>')"""
 
 
+def _docs(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey AS doc_id", f"{_HTML} AS html")
+
+
 def _nodes(spark, sf):
-    docs = table(spark, sf, "part").selectExpr("p_partkey AS doc_id", f"{_HTML} AS html")
-    return html_nodes(docs)
+    return html_nodes(_docs(spark, sf))
 
 
 @plan("w4_orphan_lists", "SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'ol' ELSE 'ul' END AS tag, CASE p_partkey % 4 WHEN 0 THEN 'ol' ELSE 'ul' END AS parent_tag FROM part WHERE p_partkey % 4 IN (0, 2)")
@@ -68,17 +72,22 @@ def _(spark, sf):
     "SELECT p_partkey AS doc_id, 'b' AS text, true AS bold, CAST(NULL AS BOOLEAN) AS underline, 'FF0000' AS fg, 20 AS size FROM part UNION ALL SELECT p_partkey, 'big', true, true, 'FF0000', 40 FROM part",
 )
 def _(spark, sf):
-    nodes = _nodes(spark, sf)
-    # The text of a node takes the node's own style too, so it is looked up just inside it.
-    runs = nodes.filter("tag IN ('b', 'span') AND text IN ('b', 'big')").select("doc_id", "text", (F.col("pos") + 0.5).alias("pos"))
-    styled = N.run_properties(runs, nodes)
+    styled = N.styled_runs(_docs(spark, sf)).filter("tag IN ('b', 'span') AND text IN ('b', 'big')")
     return styled.select("doc_id", "text", "props.bold", "props.underline", "props.fg", "props.size")
 
 
-@plan("f10_inline_svg_to_img", "SELECT p_partkey AS doc_id, 'data:image/svg+xml;base64,' || base64(encode('<svg width=\"10\" height=\"20\"/>')) AS src, '10' AS width, '20' AS height FROM part WHERE p_partkey % 6 = 0")
+@plan("f15_bold_runs_of_pages", "SELECT page_id AS doc_id, CAST(sum(len(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<b>[^<]'))) AS BIGINT) AS n_bold FROM pages GROUP BY 1")
+def _(spark, sf):
+    runs = N.styled_runs(pages(spark, sf)).filter("tag = 'b' AND props.bold")
+    return pages(spark, sf).select("doc_id").join(runs, "doc_id", "left").groupBy("doc_id").agg(F.count("text").alias("n_bold"))
+
+
+_SVG = '<svg width="10" height="20"><svg></svg></svg>'
+
+
+@plan("f10_inline_svg_to_img", f"SELECT p_partkey AS doc_id, 'data:image/svg+xml;base64,' || base64(encode('{_SVG}')) AS src, '10' AS width, '20' AS height FROM part WHERE p_partkey % 6 = 0")
 def _(spark, sf):
-    nodes = _nodes(spark, sf).withColumn("outer_html", F.lit('<svg width="10" height="20"/>'))
-    return N.top_level_svgs(nodes).drop("pos")
+    return N.top_level_svgs(_docs(spark, sf)).drop("pos")
 
 
 @plan("x1_user_rewrite", "SELECT p_partkey AS doc_id, count(*) AS n FROM part GROUP BY 1")

@@ -27,15 +27,11 @@ def paper_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in K.PAPER_TWIPS.items()], "paper string, w int, h int")
 
 
-def unsupported_formats(spark: SparkSession) -> DataFrame:
-    """Each format and the side it is missing on: source_only, target_only or both."""
-    dim = formats_dim(spark)
-    src, tgt = dim.filter("is_source").select("format"), dim.filter("is_target").select("format")
-    return (
-        src.exceptAll(tgt).withColumn("side", F.lit("source_only"))
-        .unionByName(tgt.exceptAll(src).withColumn("side", F.lit("target_only")))
-        .unionByName(src.intersect(tgt).withColumn("side", F.lit("both")))
-    )
+def unsupported_formats(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each ``format`` of two lists and the side it is on: source_only, target_only or both; lists may repeat."""
+    side = lambda df, name: df.groupBy("format").agg(F.lit(True).alias(name))
+    both = side(sources, "_s").join(side(targets, "_t"), "format", "full_outer")
+    return both.select("format", F.when(F.col("_s") & F.col("_t"), "both").when(F.col("_s"), "source_only").otherwise("target_only").alias("side"))
 
 
 def mime_type(fmt: Column | str) -> Column:

@@ -9,6 +9,7 @@ is closed; any other is text.  Quoted attribute values may hold ``>``.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from html.entities import html5
 from html.parser import HTMLParser
@@ -193,6 +194,34 @@ class _Tree(HTMLParser):
             self.nodes[self.open[-1]][6] += data
 
 
+class _Drawings(_Tree):
+    """Notes where the markup of each outermost drawing begins and ends."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.html, self.drawings = html, []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        inside = any(self.nodes[i][4] == "svg" for i in self.open)
+        super().handle_starttag(tag, attrs)
+        if tag == "svg" and not inside:
+            self.drawings.append([self.nodes[-1], self.at(), len(self.html)])
+
+    def _close_to(self, depth):
+        closes = [self.nodes[i] for i in self.open[depth:]]
+        super()._close_to(depth)
+        for d in self.drawings[-1:]:
+            if any(d[0] is n for n in closes):
+                end = self.html.find(">", self.at())
+                here = self.html.startswith(("</svg", "</SVG"), self.at()) or d[1] == self.at()
+                d[2] = end + 1 if here and end >= 0 else self.at()
+
+
 NODE = "pos int, close_pos int, depth int, parent_pos int, tag string, attrs map<string,string>, text string"
 
 
@@ -213,6 +242,45 @@ def html_nodes(df: DataFrame, html: str = "html") -> DataFrame:
     return shred(df.select("doc_id", html), html, _parse, NODE)
 
 
+def _drawings(html: str) -> list[tuple]:
+    tree = _Drawings(html)
+    tree.feed(html)
+    tree.close()
+    end = len(html)
+    for d in tree.drawings:
+        if d[0][1] is None:
+            d[2] = end
+    return [(n[0], n[5], html[a:b]) for n, a, b in tree.drawings]
+
+
+def html_drawings(df: DataFrame, html: str = "html") -> DataFrame:
+    """``(doc_id, pos, attrs, outer_html)`` of each drawing that is in no other; an unclosed one runs to the end."""
+    return shred(df.select("doc_id", html), html, _drawings, "pos int, attrs map<string,string>, outer_html string")
+
+
+def html_chains(df: DataFrame, kinds: dict[str, str], html: str = "html") -> DataFrame:
+    """``(doc_id, pos, tag, text, chain)`` of elements with text: the formatting elements around it, the element included.
+
+    ``chain`` lists ``(kind, style)`` from the outside in, for elements in ``kinds``.  The same kind twice in a row without
+    a style says nothing new and is listed once, so tags that are never closed do not pile up.
+    """
+
+    def parse(body: str) -> list[tuple]:
+        nodes, chains, out = _parse(body), {}, []
+        for pos, _, _, parent, tag, attrs, text in nodes:
+            chain = chains.get(parent, ())
+            if tag in kinds:
+                step = (kinds[tag], attrs.get("style"))
+                if step[1] is not None or step not in chain[-1:]:
+                    chain = (*chain, step)
+            chains[pos] = chain
+            if text:
+                out.append((pos, tag, text, [{"kind": k, "style": s} for k, s in chain]))
+        return out
+
+    return shred(df.select("doc_id", html), html, parse, "pos int, tag string, text string, chain array<struct<kind:string,style:string>>")
+
+
 @udtf(returnType=NODE)
 class HtmlNodes:
     """The same for SQL."""

@@ -66,7 +66,7 @@ def test_nested_numbers(spark):
 
 def test_huge_document_parts(spark):
     blocks = spark.createDataFrame([(1, i, "para", None, None, f"p{i}") for i in range(30)], "doc_id int, pos int, kind string, level int, number int, text string")
-    parts = render_blocks(blocks, "plain", part_rows=7, small_input_bytes=0).orderBy("part").collect()
+    parts = render_blocks(blocks, "plain", part=7).orderBy("part").collect()
     assert len(parts) > 2
     assert "".join(p.text for p in parts) == "\n\n".join(f"p{i}" for i in range(30))
 

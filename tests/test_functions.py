@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkshard.functions import color, css, layout, media, policy, styles
 from inkshard.operators.structure import list_level
 from inkshard.sources.corpus import decode_body
-from inkshard.sources.dims import lookup_dim, output_name, paper_dim, unsupported_formats
+from inkshard.sources.dims import formats_dim, lookup_dim, output_name, paper_dim, unsupported_formats
 
 
 def values(spark, inputs, fn):
@@ -132,7 +132,8 @@ def test_page_size_error(spark):
 
 
 def test_formats(spark):
-    sides = {(r.format, r.side) for r in unsupported_formats(spark).collect()}
+    dim = formats_dim(spark)
+    sides = {(r.format, r.side) for r in unsupported_formats(dim.filter("is_source").select("format"), dim.filter("is_target").select("format")).collect()}
     assert {f for f, s in sides if s == "target_only"} == {"odt", "pdf", "plain", "pptx"}
     assert not [f for f, s in sides if s == "source_only"]
     assert values(spark, ["fb2", "plain", "latex"], output_name) == ["converted-document.docx", "converted-document.txt", "converted-document.tex"]
