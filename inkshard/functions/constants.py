@@ -212,14 +212,16 @@ MATH_COLORS = {
 }
 
 # TeX control words a formula may not use, in alphabetical order.
-DENIED_TEX = """
-DeclareRobustCommand IfFileExists InputIfFileExists RequirePackage XeTeXpdffile XeTeXpicfile batchmode catcode closein
-closeout csname def detokenize edef endinput endlinechar expandafter font futurelet gdef immediate import include
-includegraphics input let lowercase lstinputlisting makeatletter meaning newcommand newread newwrite noexpand openin
-openout pdffiledump pdffilemoddate pdffilesize pdfmdfivesum pdfprimitive pdfrefximage pdfshellescape pdfximage primitive
-providecommand read readline renewcommand scantokens shellescape special string subfile uppercase usepackage
-verbatiminput write xdef
-""".split()
+DENIED_TEX = [
+    "DeclareRobustCommand", "IfFileExists", "InputIfFileExists", "RequirePackage", "XeTeXpdffile", "XeTeXpicfile",
+    "batchmode", "catcode", "closein", "closeout", "csname", "def", "detokenize", "edef", "endinput", "endlinechar",
+    "expandafter", "font", "futurelet", "gdef", "immediate", "import", "include", "includegraphics", "input", "let",
+    "lowercase", "lstinputlisting", "makeatletter", "meaning", "newcommand", "newread", "newwrite", "noexpand",
+    "openin", "openout", "pdffiledump", "pdffilemoddate", "pdffilesize", "pdfmdfivesum", "pdfprimitive",
+    "pdfrefximage", "pdfshellescape", "pdfximage", "primitive", "providecommand", "read", "readline", "renewcommand",
+    "scantokens", "shellescape", "special", "string", "subfile", "uppercase", "usepackage", "verbatiminput", "write",
+    "xdef",
+]
 RAW_TEX_FORMATS = ["tex", "latex", "context"]
 
 # Inlines that must not be put in a colour box, and the longest boxed text in bytes.
@@ -248,17 +250,18 @@ DEFAULT_LIMIT_MB = 500
 UNHEALTHY = ["unavailable", "unwritable", "unknown"]
 
 # Order of table properties and of run properties in the office schema.
-TABLE_PROPERTY_ORDER = """
-tblStyle tblpPr tblOverlap bidiVisual tblStyleRowBandSize tblStyleColBandSize tblW jc tblCellSpacing tblInd tblBorders
-shd tblLayout tblCellMar tblLook tblCaption tblDescription
-""".split()
+TABLE_PROPERTY_ORDER = [
+    "tblStyle", "tblpPr", "tblOverlap", "bidiVisual", "tblStyleRowBandSize", "tblStyleColBandSize", "tblW", "jc",
+    "tblCellSpacing", "tblInd", "tblBorders", "shd", "tblLayout", "tblCellMar", "tblLook", "tblCaption",
+    "tblDescription",
+]
 
 # Steps a conversion can be told to take, and option prefixes that take a value.
-REWRITES = """
-page_break page_orientation heading_levels inline_styles docx_text_decorations docx_colors_to_latex
-docx_math_colors_to_latex docx_paragraphs_to_latex docx_lists_to_latex docx_tables_to_latex html_lists
-html_tables_to_latex html_captions docx_caption_labels_to_latex
-""".split()
+REWRITES = [
+    "page_break", "page_orientation", "heading_levels", "inline_styles", "docx_text_decorations",
+    "docx_colors_to_latex", "docx_math_colors_to_latex", "docx_paragraphs_to_latex", "docx_lists_to_latex",
+    "docx_tables_to_latex", "html_lists", "html_tables_to_latex", "html_captions", "docx_caption_labels_to_latex",
+]
 PLAIN_OPTIONS = ["--track-changes=all", "--pdf-engine=tectonic", "--toc"]
 PREFIX_OPTIONS = ["--reference-doc="]
 

@@ -108,13 +108,13 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
     band = [*keys, "band"]
 
     def place(batches):
-        """Rows arrive band by band in order; only the spans of the present band are kept."""
+        """Rows arrive band by band in order; kept is the last span in each column, whatever the height of a band."""
         grid, covered, at, now, here, width = [], {}, 1, None, None, 0
 
         def continuations():
             nonlocal at
-            while at <= width and (here, at) in covered:
-                span, style = covered[here, at]
+            while at <= width and at in covered and covered[at][0] >= here:
+                _, span, style = covered[at]
                 grid.append((*now[:-1], here, at, span, 1, True, style))
                 at += span
 
@@ -130,7 +130,8 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
                 continuations()
                 if at <= width:
                     grid.append((*now[:-1], here, at, c["col_span"], c["row_span"], False, c["style"]))
-                    covered.update({(here + d, at): (c["col_span"], c["style"]) for d in range(1, c["row_span"])})
+                    if c["row_span"] > 1:
+                        covered[at] = here + c["row_span"] - 1, c["col_span"], c["style"]
                     at += c["col_span"]
             yield pd.DataFrame(grid, columns=out)
             grid = []
