@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from inkshard.llm.common import ASCII_LOWER, fresh
+from inkshard.llm.common import ASCII_LOWER, fresh, saved
 
 WINDOW = 10
-#: Item words in one automaton; more items are dealt to several automata of about half as many.
-BLOCK_WORDS = 400_000
+#: Item words in one automaton (about 100 MB); more items are dealt to several automata, one pass each.
+BLOCK_WORDS = 100_000
 
 #: Bytes: A-Z lower-cased, whatever is not a letter, digit or part of a longer character a space.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).translate(ASCII_LOWER)
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 _SPAN = StructType([StructField("start", IntegerType()), StructField("length", IntegerType())])
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 _HITS = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(LongType()))])
 
 
@@ -131,14 +132,19 @@ class Automaton:
         return len(words), [(a, b - a) for a, b in spans], sorted(items)
 
 
-def _hit_column(automaton) -> callable:
-    @F.pandas_udf(_HITS)
-    def hits(texts: pd.Series) -> pd.DataFrame:
-        a = automaton.value
-        rows = [a.hits(t) for t in texts]
-        return pd.DataFrame({"n_words": [r[0] for r in rows], "spans": [[{"start": s, "length": n} for s, n in r[1]] for r in rows], "items": [r[2] for r in rows]})
+def _hit_column(automaton) -> Callable[[Column], Column]:
+    @F.arrow_udf(_HITS)
+    def hits(texts: pa.Array) -> pa.Array:
+        n_words, spans, items = [], [], []
+        for text in texts:
+            n, own, found = automaton.value.hits(text.as_py())
+            n_words.append(n)
+            spans.append([{"start": s, "length": k} for s, k in own])
+            items.append(found)
+        return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
 
-    return hits
+    # Not to be evaluated once more for a filter.
+    return hits.asNondeterministic()
 
 
 def _automata(items: DataFrame, window: int, block_words: int) -> list:
@@ -152,20 +158,25 @@ def _automata(items: DataFrame, window: int, block_words: int) -> list:
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         automaton = Automaton([(r["item_id"], item_words(r["text"])) for r in sorted(part, key=lambda r: (r["item_id"], r["text"]))], window)
-        if automaton.vocabulary:
+        if automaton.vocabulary or b == 0:
             out.append(spark.sparkContext.broadcast(automaton))
     return out
 
 
-def _merged(spans):
-    """Sorted spans without overlap, from spans of several automata."""
-    start = F.array_sort(spans)
-    end = lambda s: s["start"] + s["length"]
-    join = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (end(F.element_at(acc, -1)) >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.greatest(end(F.element_at(acc, -1)), end(s)) - F.element_at(acc, -1)["start"]).alias("length")))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(start, F.array().cast("array<struct<start:int,length:int>>"), join)
+def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans ``(start, length)`` without overlap or touch."""
+    out: list[list[int]] = []
+    for start, length in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + length)
+        else:
+            out.append([start, start + length])
+    return [(a, b - a) for a, b in out]
+
+
+@F.arrow_udf(ArrayType(_SPAN))
+def _merged(spans: pa.Array) -> pa.Array:
+    return pa.array([[{"start": s, "length": k} for s, k in merge_spans((x["start"], x["length"]) for x in own.as_py())] for own in spans], _ARROW_SPANS)
 
 
 def benchmark_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -181,27 +192,26 @@ def benchmark_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     are one item with several texts; no items, no hits.  Columns that bear the names of new
     ones are replaced, all others kept.
 
-    The items are broadcast as automata of at most about ``block_words`` words; each document passes
-    them in its row, so nothing is shuffled.
+    The items are broadcast as an automaton of at most about ``block_words`` words; each document passes it
+    in its row, so nothing is shuffled.  More items take several passes, each saved before the
+    next, so that a task holds one automaton at a time.
     """
-    (hits,) = fresh(documents, "_hits")
     automata = _automata(items, window, block_words)
-    names = fresh(documents, *[f"{hits}_{i}" for i in range(len(automata))])
-    rows = documents.withColumns({n: _hit_column(a)(F.col("text")) for n, a in zip(names, automata, strict=True)})
-    if not names:
-        words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[0-9A-Za-z\\x{80}-\\x{10ffff}]+"))
-        none = {"n_words": words.cast("long"), "hit_spans": F.array().cast("array<struct<start:int,length:int>>"), "hit_items": F.array().cast("array<long>")}
-    else:
-        spans, found = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items")
-        if len(names) > 1:
-            spans = _merged(F.concat(*[F.col(f"{n}.spans") for n in names]))
-            found = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names])))
-        none = {"n_words": F.col(f"{names[0]}.n_words"), "hit_spans": spans, "hit_items": found}
-    rows = rows.withColumns(none).drop(*names)
+    names = fresh(documents, *[f"_hits_{i}" for i in range(len(automata))])
+    rows = documents
+    for i, (name, automaton) in enumerate(zip(names, automata, strict=True)):
+        rows = rows.withColumn(name, _hit_column(automaton)(F.col("text")))
+        if i < len(names) - 1:
+            rows = saved(rows)
+    spans, found = F.col(f"{names[0]}.spans"), F.col(f"{names[0]}.items")
+    if len(names) > 1:
+        spans = _merged(F.concat(*[F.col(f"{n}.spans") for n in names]))
+        found = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names])))
+    rows = rows.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "hit_spans": spans, "hit_items": found}).drop(*names)
     return rows.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]))
 
 
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+def cut_words(text: str, spans: Iterable[tuple[int, int]]) -> str:
     """The text without the spans of words, each cut from its first character to its last."""
     places = [m.span() for m in _WORD.finditer(text)]
     out, at = [], 0
@@ -211,9 +221,25 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(StringType())
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cut_words(t, [(s["start"], s["length"]) for s in x]) if t is not None and len(x) else t for t, x in zip(texts, spans, strict=True)], dtype=object)
+_CLEAN = StructType([StructField("spans", ArrayType(_SPAN)), StructField("n_words", LongType()), StructField("text", StringType())])
+
+
+def _cleaner(automaton) -> Callable[[Column, Column], Column]:
+    """Spans of hits joined to those known so far, and the text without them: null unless there are any."""
+
+    @F.arrow_udf(_CLEAN)
+    def clean(texts: pa.Array, known: pa.Array) -> pa.Array:
+        spans, n_words, out = [], [], []
+        for text, before in zip(texts, known, strict=True):
+            text = text.as_py()
+            n, own, _ = automaton.value.hits(text)
+            own = merge_spans([*own, *((x["start"], x["length"]) for x in before.as_py() or ())])
+            spans.append([{"start": s, "length": k} for s, k in own])
+            n_words.append(n)
+            out.append(cut_words(text, own) if own else None)
+        return pa.StructArray.from_arrays([pa.array(spans, _ARROW_SPANS), pa.array(n_words, pa.int64()), pa.array(out, pa.string())], ["spans", "n_words", "text"])
+
+    return clean.asNondeterministic()
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -223,15 +249,14 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     goes as a whole.  Documents without a hit, null texts among them, stay as they are.
     All columns are kept, no column is added.  For words, windows and bounds see ``benchmark_hits``.
     """
-    columns = documents.columns
-    marks = fresh(documents, "n_words", "n_hit", "hit_spans", "hit_items")
-    plain = documents
-    if marks != ["n_words", "n_hit", "hit_spans", "hit_items"]:
-        # The caller's columns of these names step aside meanwhile.
-        plain = documents.withColumnsRenamed({c: m for c, m in zip(["n_words", "n_hit", "hit_spans", "hit_items"], marks, strict=True) if c != m})
-        back = {m: c for c, m in zip(["n_words", "n_hit", "hit_spans", "hit_items"], marks, strict=True) if c != m}
-    else:
-        back = {}
-    hit = benchmark_hits(plain, items, window, block_words).filter(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words"))
-    cut = F.when(F.col("n_hit") > 0, _cut(F.col("text"), F.col("hit_spans"))).otherwise(F.col("text"))
-    return hit.withColumn("text", cut).drop("n_words", "n_hit", "hit_spans", "hit_items").withColumnsRenamed(back).select(*columns)
+    automata = _automata(items, window, block_words)
+    (clean,) = fresh(documents, "_clean")
+    rows = documents
+    for i, automaton in enumerate(automata):
+        known = F.col(f"{clean}.spans") if i else F.lit(None).cast(ArrayType(_SPAN))
+        rows = rows.withColumn(clean, _cleaner(automaton)(F.col("text"), known))
+        if i < len(automata) - 1:
+            rows = saved(rows)
+    n_hit = F.aggregate(F.col(f"{clean}.spans"), F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    rows = rows.filter(n_hit <= F.lit(max_coverage) * F.col(f"{clean}.n_words"))
+    return rows.withColumn("text", F.coalesce(F.col(f"{clean}.text"), F.col("text"))).drop(clean)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -20,7 +20,7 @@ BITS = 18
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.3
 #: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _SIZE = 1 << BITS
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _hashes: dict[bytes, int] = {}
@@ -68,23 +68,23 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def _distinct_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(features(t)).astype(np.int32) for t in batch["text"]]
-        yield pd.DataFrame({"key": batch["key"], "found": found, "label": batch["label"]})
+        found = [np.unique(features(t.as_py())).astype(np.int32) for t in batch.column(1)]
+        yield pa.record_batch({"key": batch.column(0), "found": pa.array(found, pa.list_(pa.int32())), "label": batch.column(2)})
 
 
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, room = [], SAMPLE_FEATURES
     for batch in batches:
-        for found, label in zip(batch["found"], batch["label"], strict=True):
+        for found, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             room -= len(found)
             if room >= 0 or not rows:
-                rows.append((found, label))
+                rows.append((found.values.to_numpy(), label))
     if rows:
         w = fit(rows)
         at = np.flatnonzero(w)
-        yield pd.DataFrame({"feature": at, "weight": w[at]})
+        yield pa.record_batch({"feature": at, "weight": w[at]})
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -107,26 +107,26 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAM
     if n > sample_rows:
         known = known.filter(place < 1_000_000 * sample_rows // n)
     chosen = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    rows = chosen.select(F.xxhash64("id").alias("key"), "text", "label").mapInPandas(_distinct_features, "key long, found array<int>, label int")
-    fitted = rows.repartition(1).sortWithinPartitions("key", "label", F.size("found")).mapInPandas(_fit, "feature long, weight double").toPandas()
+    rows = chosen.select(F.xxhash64("id").alias("key"), "text", "label").mapInArrow(_distinct_features, "key long, found array<int>, label int")
+    fitted = rows.repartition(1).sortWithinPartitions("key", "label", F.size("found")).mapInArrow(_fit, "feature long, weight double").toPandas()
     return fitted["feature"].to_numpy(np.int64), fitted["weight"].to_numpy(np.float64)
 
 
-def _scores(model) -> callable:
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+def _scores(model) -> Callable[[Column], Column]:
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
         at, w = model.value
         dense = np.zeros(_SIZE + 1, np.float32)
         dense[at] = w
-
-        def one(text):
-            found = features(text)
+        out = []
+        for text in texts:
+            found = features(text.as_py())
             found = np.unique(found[dense[found] != 0])
-            return _sigmoid(float(dense[found].sum(dtype=np.float64) + dense[-1]))
-
-        return texts.map(one, na_action=None).astype("float64")
+            out.append(_sigmoid(float(dense[found].sum(dtype=np.float64) + dense[-1])))
+        return pa.array(out, pa.float64())
 
-    return score
+    # Not to be evaluated once more for a filter.
+    return score.asNondeterministic()
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -139,5 +139,5 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = S
     replaced, all others kept.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels, sample_rows))
-    scored = documents.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("score", _scores(model)("text"))
+    scored = documents.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("score", _scores(model)(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
