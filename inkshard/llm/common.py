@@ -33,6 +33,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names under others, and how to name them back: for steps that add such columns."""
+    own = [c for c in df.columns if c.lower() in names]
+    hidden = dict(zip(own, fresh(df, *own), strict=True))
+    return df.withColumnsRenamed(hidden), {h: c for c, h in hidden.items()}
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from inkshard.llm.toxicity import score_toxicity
+from tests.llm.conftest import CLASHES
 from tests.llm.test_benchmark import brute as brute_hits
 from tests.llm.test_exact_and_lines import brute_lines
 from tests.llm.test_packing import packed
@@ -70,3 +71,17 @@ def test_packing(spark, stages):
 def test_run_gives_the_same_pieces(spark, stages):
     pieces = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "ids_crc32").collect()))
     assert pieces(P.run(spark, SF)) == pieces(stages[-1][1])
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_stages_take_awkward_documents(spark, awkward, nothing, name, stage):
+    out = stage(spark, awkward, SF)
+    assert out.columns == awkward.columns
+    rows = out.collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in CLASHES)
+    assert stage(spark, nothing, SF).collect() == []
+
+
+def test_packing_takes_awkward_documents(spark, awkward, nothing):
+    assert P.packing(spark, awkward, SF).select("doc_id").distinct().count() == awkward.select("doc_id").distinct().count()
+    assert P.packing(spark, nothing, SF).collect() == []
