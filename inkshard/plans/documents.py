@@ -49,7 +49,8 @@ def _(spark, sf):
 
 @plan("s4_html_tree")
 def _(spark, sf):
-    return html_nodes(pages(spark, sf)).drop("attrs")
+    attrs = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda a: F.concat_ws("=", a["key"], a["value"]))), " ")
+    return html_nodes(pages(spark, sf)).withColumn("attrs", attrs)
 
 
 @plan(

@@ -90,13 +90,15 @@ def _(spark, sf):
     return N.top_level_svgs(_docs(spark, sf)).drop("pos")
 
 
-@plan("x1_user_rewrite", "SELECT p_partkey AS doc_id, count(*) AS n FROM part GROUP BY 1")
+@plan(
+    "x1_user_rewrite",
+    """SELECT p_partkey AS doc_id, 'strong' AS tag, 'B' AS text FROM part UNION ALL SELECT p_partkey, 'strong', 'FIG ' FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'img', '' FROM part UNION ALL SELECT p_partkey, 'span', 'big' FROM part UNION ALL SELECT p_partkey, 'span', '1' FROM part WHERE p_partkey % 2 = 0""",
+)
 def _(spark, sf):
-    nodes = _nodes(spark, sf)
     tag = F.col("tag")
-    passes = [(tag == "b", {"tag": F.lit("strong")}), (tag == "strong", {"text": F.upper("text")})]
-    changed = N.rewrite(nodes, *passes)
-    return changed.filter("tag = 'strong' AND text IN ('B', '')").filter("text = 'B'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    changed = N.rewrite(_nodes(spark, sf), (tag == "b", {"tag": F.lit("strong")}), (tag == "strong", {"text": F.upper("text")}), (tag == "li", lambda rows: rows.filter("false")))
+    return changed.filter(tag.isin("strong", "img", "li") | ((tag == "span") & (F.col("text") != ""))).select("doc_id", "tag", "text")
 
 
 @plan("f7_raster_size", "SELECT p_partkey AS doc_id, p_size + 1 AS width, p_partkey % 65536 AS height FROM part")
@@ -125,7 +127,7 @@ def _(spark, sf):
 
 @plan("f41_svg_img_width", "SELECT p_partkey AS doc_id, 'color: red; width: ' || p_size || 'px' AS style FROM part")
 def _(spark, sf):
-    style = F.lit("color: red; WIDTH: 3px;; height:4em ")
+    style = F.expr("concat('color: red; WIDTH: ', p_partkey, 'px;; height:', p_size, 'em ')")
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), svg_img_width(style, F.col("p_size")).alias("style"))
 
 

@@ -15,7 +15,7 @@ from inkshard.operators import structure as S
 from inkshard.operators import tables as T
 from inkshard.operators.text import join_text
 from inkshard.plans.registry import plan, table
-from inkshard.plans.views import DOC_BLOCKS, RAW_RUNS, STYLED_RUNS, TABLE_COLS, doc_blocks, lines, raw_runs, styled_runs, styled_tables, table_cols
+from inkshard.plans.views import _POS, DOC_BLOCKS, RAW_RUNS, STYLED_RUNS, TABLE_COLS, doc_blocks, lines, raw_runs, styled_runs, styled_tables, table_cols
 
 BLOCKS = f"WITH b AS ({DOC_BLOCKS})"
 
@@ -476,7 +476,26 @@ def _cells(spark, sf):
     )
 
 
-@plan("w15_table_grid")
+# A walk over the grid places of each table, one at a time: a place is covered from above, takes the next
+# cell of its row, or ends the row.
+_GRID_WALK = f"""WITH RECURSIVE numbered AS (SELECT *, {_POS} AS pos FROM lineitem),
+cells AS (SELECT l_orderkey AS table_id, CAST((pos - 1) // 3 AS INT) AS r, CAST((pos - 1) % 3 AS INT) AS ord, CASE WHEN l_partkey % 4 = 0 THEN CAST(l_suppkey % 3 + 1 AS INT) ELSE 1 END AS tall,
+  CAST(l_partkey % 2 + 1 AS INT) AS wide, CAST(l_suppkey AS VARCHAR) AS style FROM numbered),
+grid_rows AS (SELECT table_id, r, row_number() OVER (PARTITION BY table_id ORDER BY r) AS k, list({{'tall': tall, 'wide': wide, 'style': style}} ORDER BY ord) AS cs FROM cells GROUP BY table_id, r),
+walk AS (
+  SELECT table_id, k, 1 AS i, 1 AS col, CAST([] AS STRUCT(c INT, until INT, wide INT, style VARCHAR)[]) AS above, CAST(NULL AS STRUCT(r INT, c INT, wide INT, tall INT, again BOOLEAN, style VARCHAR)) AS placed
+  FROM grid_rows WHERE k = 1
+  UNION ALL
+  SELECT table_id, CASE WHEN step = 'row' THEN k + 1 ELSE k END, CASE step WHEN 'row' THEN 1 WHEN 'above' THEN i ELSE i + 1 END,
+    CASE step WHEN 'row' THEN 1 WHEN 'above' THEN col + hit.wide WHEN 'cell' THEN col + cell.wide ELSE col END,
+    CASE WHEN step = 'cell' AND cell.tall > 1 THEN list_append(list_filter(above, lambda a: a.c <> col), {{'c': col, 'until': r + cell.tall - 1, 'wide': cell.wide, 'style': cell.style}}) ELSE above END,
+    CASE step WHEN 'above' THEN {{'r': r, 'c': col, 'wide': hit.wide, 'tall': 1, 'again': true, 'style': hit.style}} WHEN 'cell' THEN {{'r': r, 'c': col, 'wide': cell.wide, 'tall': cell.tall, 'again': false, 'style': cell.style}} END
+  FROM (SELECT *, CASE WHEN col <= 5 AND hit IS NOT NULL THEN 'above' WHEN i > len(cs) THEN 'row' WHEN col <= 5 THEN 'cell' ELSE 'skip' END AS step
+    FROM (SELECT w.*, g.r, g.cs, g.cs[i] AS cell, list_filter(w.above, lambda a: a.c = w.col AND a.until >= g.r)[1] AS hit FROM walk w JOIN grid_rows g ON w.table_id = g.table_id AND w.k = g.k)))
+SELECT table_id, placed.r AS "row", placed.c AS grid_col, placed.wide AS col_span, placed.tall AS row_span, placed.again AS is_continuation, placed.style AS style FROM walk WHERE placed IS NOT NULL"""
+
+
+@plan("w15_table_grid", _GRID_WALK)
 def _(spark, sf):
     return T.table_grid(_cells(spark, sf))
 

@@ -8,8 +8,6 @@ from tools.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-# Streams take seconds each; the driver runs them all, one of each kind is enough here.
-SLOW = {"r2_stream_rate", "r3_stream_histogram", "r5_stream_convert"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
