@@ -3,62 +3,118 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import ASCII_LOWER, numbered, saved
+from inkshard.llm.common import numbered, saved
 
 SEQUENCE = 2048
 END_ID = 0
-#: Words whose ids a worker remembers, and the bytes of text it cuts into words at a time.
-REMEMBERED, BLOCK = 250_000, 1 << 20
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Words whose ids a worker remembers, and the bytes of text it works on at a time (a single text may be longer).
+REMEMBERED, BLOCK = 700_000, 8 << 20
+#: ASCII signs but the apostrophe, which may begin a token of letters.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, as ``encode(text, add_special_tokens=False)`` gives them.
 
     Such a tokenizer takes each word for itself, so words that were met before cost a lookup.
-    Lower-casing A-Z first changes nothing, as the tokenizer lower-cases.  Words with the
-    beginning of a special token's name go to the tokenizer as they are.
+    Lower-casing A-Z first changes nothing, as the tokenizer lower-cases.  Texts that hold the
+    beginning of a special token's name go to the tokenizer whole.  New words of letters that
+    need no normalising are encoded many at a time and told apart by the suffix that ends a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """All ids of a text, unsigned 32-bit little-endian."""
-        raw, out, at = (text or "").encode("utf-8", "replace"), [], 0
-        while at < len(raw):
-            gap = _GAP.search(raw, at + BLOCK)
-            end = gap.start() if gap else len(raw)
-            out.append(self._words(raw[at:end]))
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocabulary = self.plain.model.end_of_word_suffix, self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.suffixed = bool(suffix)
+        self.known: dict[str, bytes] = {}
+
+    def _simple(self, word: str) -> bool:
+        """A word of letters in normal form: one token run, which normalising leaves alone."""
+        if not self.suffixed or not word.isalpha():
+            return False
+        return word.isascii() or (word.islower() and is_normalized("NFC", word))
+
+    def _encode(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words that are not known.
+
+        Signs at the end of a word are encoded for themselves: tokens never reach from a letter or
+        digit to a sign.
+        """
+        new: dict[str, bytes] = {}
+        plain, rest, split = [], [], []
+        for w in words:
+            if self._simple(w):
+                plain.append(w)
+                continue
+            core = w.rstrip(_SIGNS)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                split.append((w, core, w[len(core) :]))
+            else:
+                rest.append(w)
+        parts = {part for _, *parts in split for part in parts}
+        for w in parts.difference(plain, rest):
+            if w in self.known:
+                new[w] = self.known[w]
+            else:
+                (plain if self._simple(w) else rest).append(w)
+        if plain:
+            ids = np.array(self.plain.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            new.update((w, raw[a:b]) for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            new[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new.update((w, new[core] + new[signs]) for w, core, signs in split)
+        return new
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """All ids of each text, unsigned 32-bit little-endian."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
+            yield from self._block(texts.slice(at, end - at))
             at = end
-        return b"".join(out)
 
-    def _words(self, raw: bytes) -> bytes:
-        words = raw.split() if b"<|" in raw else raw.translate(ASCII_LOWER).split()
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(words))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+    def _block(self, texts: pa.Array) -> Iterator[bytes]:
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", pc.fill_null(texts, ""))))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = self._encode(w for w, f in zip(words, found, strict=True) if f is None)
+            found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(self.known) + len(new) <= REMEMBERED:
+                self.known.update(new)
+        # The ids of all words side by side; the offsets say where a text's begin.
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        starts = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8)
+        edges = starts[split.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(split) + 1)
+        data = joined.buffers()[2]
+        for text, odd, begin, end in zip(texts, special.to_pylist(), edges[:-1], edges[1:], strict=True):
+            if odd:
+                yield np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                yield data[begin:end].to_pybytes() if end > begin else b""
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -71,8 +127,8 @@ def _pieces_of(path: str, limit: int, keep_ids: bool):
         tokenizer = _tokenizers[path]
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids)}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokenizer.ids(text.as_py()) + END_ID.to_bytes(4, "little")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1)), strict=True):
+                ids += END_ID.to_bytes(4, "little")
                 for i, at in enumerate(range(0, len(ids), 4 * limit)):
                     piece = ids[at : at + 4 * limit]
                     columns["doc_id"].append(doc_id)
