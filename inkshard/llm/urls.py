@@ -51,10 +51,8 @@ class Level:
 
     def might_hold(self, key: Column) -> Column:
         words = F.expr("array(" + ",".join(f"{w}L" for w in self.words) + ")")
-        test = F.lit(True)
-        for at in self.positions(key, self.seed, self.bits):
-            test = test & (F.getbit(F.get(words, F.floor(at / _WORD).cast("int")), (at % _WORD).cast("int")) == 1)
-        return test
+        at = F.array(*self.positions(key, self.seed, self.bits))
+        return F.forall(at, lambda p: F.getbit(F.get(words, F.floor(p / _WORD).cast("int")), (p % _WORD).cast("int")) == 1)
 
 
 @dataclass(frozen=True)
@@ -111,11 +109,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     place = host_and_path(F.col("url"))
     parts = F.split(place["host"], "\\.", -1)
 
-    def key(labels: int, length: int) -> Column:
-        fits = (F.size(parts) >= labels) & (F.char_length(place["path"]) >= length)
-        return F.when(fits, F.concat(F.array_join(F.slice(parts, -labels, labels), "."), F.substring(place["path"], 1, length)))
-
-    keys = F.array_compact(F.array(*[key(r["labels"], r["length"]) for r in sorted(shapes)])) if shapes else F.array().cast("array<string>")
+    wanted = ", ".join(f"named_struct('labels', {r['labels']}, 'length', {r['length']})" for r in sorted(shapes))
+    wanted = F.expr(f"array({wanted})") if shapes else F.array().cast("array<struct<labels:int,length:int>>")
+    fitting = F.filter(wanted, lambda s: (F.size(parts) >= s["labels"]) & (F.char_length(place["path"]) >= s["length"]))
+    keys = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(parts, -s["labels"], s["labels"]), "."), F.substring(place["path"], F.lit(1), s["length"])))
     keyed = rules.select(F.concat("host", "path").alias("key"), "blocks")
     cascade = Cascade.of(keyed, pages.select(F.explode(keys).alias("key")))
     blocking = Cascade.of(keyed.filter("blocks"), keyed, seed=1000)
