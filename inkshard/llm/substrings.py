@@ -5,22 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkshard.llm.common import fresh, shuffle_parts, text_key
+from inkshard.llm.common import fresh, saved, shuffle_parts, text_key
 
 WINDOW = 50
 #: Words of the shortest prefix that suffixes are grouped by.
 PREFIX = 16
-#: Suffix runs in one subtree; a prefix with more is lengthened to the whole window.
+#: Different suffix runs in one subtree; a prefix with more is lengthened to the whole window.
 SUBTREE = 2000
 #: Words whose hashes a worker remembers; words of a text worked on at a time.
 REMEMBERED, BLOCK = 300_000, 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 _hashes: dict[bytes, int] = {}
 
 
@@ -38,7 +37,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 def _rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Mixed polynomial hash of every n consecutive values; n is a power of two."""
-    step, base = 1, _BASE
+    step, base = 1, np.uint64(_BASE)
     with np.errstate(over="ignore"):
         while step < n:
             h = h[:-step] * base + h[step:]
@@ -55,57 +54,73 @@ def _lowest(rank: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(rank[: len(rank) - (n - step)], rank[n - step :]) if step < n else rank
 
 
-def suffix_runs(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(prefix hash, first start, how many)``: runs of window starts that are grouped by one prefix.
+def _content_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of the values from each first to each end."""
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.full(len(h), _BASE, np.uint64))
+        down = np.multiply.accumulate(np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([[np.uint64(0)], np.add.accumulate(h * up)])
+        r = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
+        r = (r ^ r >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return r ^ r >> np.uint64(29)
+
+
+def suffix_runs(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(prefix hash, leaf hash, first start, how many)``: runs of window starts that are grouped by one prefix.
 
     Of the 16-word sequences in a window the one with the least hash, the leftmost of equals, is its
     mark.  A suffix is grouped by its words up to the end of the mark: a prefix of 16 to 50
     words, which equal windows share as their own words alone decide on the mark.
     Neighbouring starts with one mark form a run, so a text has about a fourteenth as many
-    runs as words.
+    runs as words.  The leaf hash is over all words of a run's windows: together with the prefix's it
+    tells runs apart by 128 bits.
     """
     for at in range(0, len(words) - window + 1, BLOCK):
         part = words[at : at + BLOCK + window - 1]
-        h = _rolling(_word_hashes(part), PREFIX)
+        hashes = _word_hashes(part)
+        h = _rolling(hashes, PREFIX)
         order = np.argsort(h, kind="stable")
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
         mark = order[_lowest(rank, window - PREFIX + 1)]
         first = np.flatnonzero(np.diff(mark, prepend=-1))
-        yield h[mark[first]].view(np.int64), at + first, np.diff(np.r_[first, len(mark)])
+        n = np.diff(np.r_[first, len(mark)])
+        yield h[mark[first]].view(np.int64), _content_hashes(hashes, first, first + n + window - 1).view(np.int64), at + first, n
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+_RUNS = ("prefix", "leaf", "doc_id", "text_key", "first", "n")
+
+
 def _runs_of(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in _RUNS]
             for doc_id, key, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), strict=True):
-                for prefix, first, n in suffix_runs(_words(text.as_py()), window):
-                    for column, value in zip(out, (prefix, np.full(len(n), doc_id), np.full(len(n), key), first, n), strict=True):
+                for prefix, leaf, first, n in suffix_runs(_words(text.as_py()), window):
+                    for column, value in zip(out, (prefix, leaf, np.full(len(n), doc_id), np.full(len(n), key), first, n), strict=True):
                         column.append(value)
             if out[0]:
-                yield pa.record_batch(dict(zip(("prefix", "doc_id", "text_key", "first", "n"), map(np.concatenate, out), strict=True)))
+                yield pa.record_batch(dict(zip(_RUNS, map(np.concatenate, out), strict=True)))
 
     return run
 
 
 def _contents_of(window: int):
-    """The words of each run of suffixes, from rows (doc_id, text_key, text, runs of prefix, first, n)."""
+    """The words of runs of suffixes, from rows (doc_id, text, runs of prefix, leaf, first, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, key, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for doc_id, text, runs in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words, rows = _words(text.as_py()), runs.as_py()
                 yield pa.record_batch(
                     {
                         "prefix": pa.array([r["prefix"] for r in rows], pa.int64()),
+                        "leaf": pa.array([r["leaf"] for r in rows], pa.int64()),
                         "doc_id": pa.array([doc_id.as_py()] * len(rows), pa.int64()),
-                        "text_key": pa.array([key.as_py()] * len(rows), pa.int64()),
-                        "first": pa.array([r["first"] for r in rows], pa.int64()),
                         "words": pa.array([b" ".join(words[r["first"] : r["first"] + r["n"] - 1 + window]) for r in rows], pa.binary()),
                     }
                 )
@@ -120,13 +135,15 @@ def _windows_of(window: int):
         import xxhash
 
         for batch in batches:
-            for doc_id, key, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for doc_id, text, runs in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words = _words(text.as_py())
-                starts = np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in runs.as_py()])
-                for part in np.array_split(starts, len(starts) // 50_000 + 1):
-                    digests = b"".join(xxhash.xxh3_128_digest(b" ".join(words[s : s + window])) for s in part.tolist())
-                    halves = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-                    yield pa.record_batch({"h1": halves[:, 0].copy(), "h2": halves[:, 1].copy(), "doc_id": np.full(len(part), doc_id.as_py()), "text_key": np.full(len(part), key.as_py()), "start": part})
+                for r in runs.as_py():
+                    for begin in range(0, r["n"], 50_000):
+                        places = np.arange(begin, min(r["n"], begin + 50_000))
+                        digests = b"".join(xxhash.xxh3_128_digest(b" ".join(words[s : s + window])) for s in (r["first"] + places).tolist())
+                        halves = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+                        same = {"prefix": np.full(len(places), r["prefix"]), "leaf": np.full(len(places), r["leaf"]), "doc_id": np.full(len(places), doc_id.as_py())}
+                        yield pa.record_batch({"h1": halves[:, 0].copy(), "h2": halves[:, 1].copy(), **same, "place": places})
 
     return run
 
@@ -162,13 +179,12 @@ def repeated_starts(group: np.ndarray, doc: np.ndarray, contents: list[bytes], w
 def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grown(table: pa.Table) -> pa.RecordBatch:
-            prefix, doc, key, first = (table.column(c).to_numpy() for c in ("prefix", "doc_id", "text_key", "first"))
+            prefix, leaf, doc = (table.column(c).to_numpy() for c in ("prefix", "leaf", "doc_id"))
             group = np.cumsum(np.r_[True, prefix[1:] != prefix[:-1]])
             row, place = repeated_starts(group, doc, table.column("words").to_pylist(), window)
-            start = first[row] + place
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
             n = np.diff(np.r_[new, len(row)])
-            return pa.record_batch({"doc_id": doc[row[new]], "text_key": key[row[new]], "start": start[new], "length": n + window - 1})
+            return pa.record_batch({"prefix": prefix[row[new]], "leaf": leaf[row[new]], "place": place[new], "n": n})
 
         rest = None
         for batch in batches:
@@ -193,63 +209,58 @@ def _subtrees(window: int):
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, subtree: int = SUBTREE) -> DataFrame:
-    """``(doc_id, text_key, start, length)``: word spans covered by windows that start in a smaller doc_id too; length -1 says the whole text.
+    """``(doc_id, text_key, start, length)``: word spans covered by windows that start in a smaller doc_id too.
 
-    ``documents`` has ``doc_id, text_key, text``.  Spans of a document may overlap.  See
-    ``drop_repeats`` for the terms.
+    ``documents`` has ``doc_id, text_key, text``.  Spans of a document may overlap.  See ``drop_repeats`` for the terms.
     """
     parts = shuffle_parts(documents)
-    known = documents.filter("doc_id IS NOT NULL")
-    # Exact copies of a text: all but the smallest doc_id are one span, without a look inside.
-    digest = {"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")}
-    texts = known.select("doc_id", "text_key", "text").withColumns(digest).drop("text").filter("t1 IS NOT NULL")
-    least = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    copies = texts.join(least, ["t1", "t2"]).filter("doc_id > _least").select("doc_id", "text_key").distinct()
-
-    runs = known.select("doc_id", "text_key", "text").mapInArrow(_runs_of(window), "prefix long, doc_id long, text_key long, first long, n long")
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    shared = shared.filter("_min < _max").select("prefix", (F.col("_n") > subtree).alias("large"))
-    found = runs.join(shared, "prefix").groupBy("doc_id", "text_key")
-    run = F.struct("prefix", "first", "n")
-    found = found.agg(F.collect_list(F.when(~F.col("large"), run)).alias("small"), F.collect_list(F.when(F.col("large"), run)).alias("large"))
-    found = found.join(copies, ["doc_id", "text_key"], "left_anti")
-    # Rows that repeat both id and text are one here.
-    held = documents.join(found, ["doc_id", "text_key"])
-
-    contents = held.filter(F.size("small") > 0).select("doc_id", "text_key", "text", "small")
-    contents = contents.mapInArrow(_contents_of(window), "prefix long, doc_id long, text_key long, first long, words binary")
+    known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
+    runs = known.mapInArrow(_runs_of(window), ", ".join(f"{c} long" for c in _RUNS))
+    # Equal runs are one leaf, whose smallest document stands for all of them.  Saved, as two branches read it.
+    leaves = saved(runs.groupBy("prefix", "leaf").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    nodes = leaves.groupBy("prefix").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("leaves")).filter("lo < hi")
+    shared = leaves.join(nodes, "prefix").select("prefix", "leaf", "least", "leaves")
+    found = saved(runs.join(shared, ["prefix", "leaf"]))
+
+    whole = found.filter("doc_id > least").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("n") + window - 1).alias("length"))
+    # Different leaves under one prefix: what they share is inside them.
+    open_runs = found.filter("doc_id = least AND leaves > 1")
+    at = F.min(F.struct("text_key", "first", "n", (F.col("leaves") > subtree).alias("large"))).alias("at")
+    run = F.struct("prefix", "leaf", "at.first", "at.n")
+    one = open_runs.groupBy("prefix", "leaf", "doc_id").agg(at).select("doc_id", F.col("at.text_key").alias("text_key"), "at.large", run.alias("run"))
+    one = one.groupBy("doc_id", "text_key").agg(F.collect_list(F.when(~F.col("large"), F.col("run"))).alias("small"), F.collect_list(F.when(F.col("large"), F.col("run"))).alias("large"))
+    held = documents.join(one, ["doc_id", "text_key"])
+
+    contents = held.filter(F.size("small") > 0).select("doc_id", "text", "small").mapInArrow(_contents_of(window), "prefix long, leaf long, doc_id long, words binary")
     sorted_runs = contents.repartition(parts, "prefix").sortWithinPartitions("prefix")
-    spans = sorted_runs.mapInArrow(_subtrees(window), "doc_id long, text_key long, start long, length long")
-
-    hot = held.filter(F.size("large") > 0).select("doc_id", "text_key", "text", "large")
-    hot = hot.mapInArrow(_windows_of(window), "h1 long, h2 long, doc_id long, text_key long, start long")
-    first = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("_least"))
-    hot_spans = hot.join(first, ["h1", "h2"]).filter("doc_id > _least").select("doc_id", "text_key", "start", F.lit(window).cast("long").alias("length"))
-    whole = copies.select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("length"))
-    return spans.unionByName(hot_spans).unionByName(whole)
-
-
-def _keep(window: int):
-    schema = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-
-    @F.pandas_udf(schema)
-    def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            words = _words(text)
-            edge = np.zeros(len(words) + 1, np.int64)
-            for s in own if own is not None else ():
-                if s["length"] >= 0:
-                    edge[s["start"]] += 1
-                    edge[s["start"] + s["length"]] -= 1
-                elif len(words) >= window:
-                    edge[0] += 1
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
-            out.append((len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    return keep
+    inside = sorted_runs.mapInArrow(_subtrees(window), "prefix long, leaf long, place long, n long")
+
+    windows = held.filter(F.size("large") > 0).select("doc_id", "text", "large").mapInArrow(_windows_of(window), "h1 long, h2 long, prefix long, leaf long, doc_id long, place long")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    single = windows.join(first, ["h1", "h2"]).filter("doc_id > least").select("prefix", "leaf", "place", F.lit(1).cast("long").alias("n"))
+
+    inner = open_runs.select("prefix", "leaf", "doc_id", "text_key", "first").join(inside.unionByName(single), ["prefix", "leaf"])
+    inner = inner.select("doc_id", "text_key", (F.col("first") + F.col("place")).alias("start"), (F.col("n") + window - 1).alias("length"))
+    return whole.unionByName(inner)
+
+
+_KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+
+
+@F.arrow_udf(_KEPT)
+def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    n_words, n_removed, kept = [], [], []
+    for text, own in zip(texts, spans, strict=True):
+        words = _words(text.as_py())
+        edge = np.zeros(len(words) + 1, np.int64)
+        for s in own.as_py() or ():
+            edge[s["start"]] += 1
+            edge[s["start"] + s["length"]] -= 1
+        gone = np.cumsum(edge[:-1]) > 0
+        n_words.append(len(words))
+        n_removed.append(int(gone.sum()))
+        kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n_removed[-1] else words))
+    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
 
 def drop_repeats(documents: DataFrame, window: int = WINDOW, subtree: int = SUBTREE) -> DataFrame:
@@ -264,10 +275,12 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW, subtree: int = SUBT
     example.  Columns that bear the names of new ones are replaced, all others kept.
 
     Suffixes are partitioned by prefixes of 16 words and more (``suffix_runs``).  Only prefixes that
-    two documents share are followed up: their runs meet in subtrees of at most ``subtree`` runs, whose
-    internal nodes of depth ``window`` are the repeats.  Prefixes with more runs are lengthened to
-    whole windows, where a node needs no more than its smallest document, combined map-side.  Whole texts
-    are shuffled once, by document, and meet their runs and spans there.
+    two documents share are followed up.  Runs of suffixes with the same words are one leaf, so a
+    passage that a third of all documents hold shrinks to a row for each task, and all but its smallest
+    document are settled.  Different leaves of a prefix meet in a subtree of at most ``subtree`` leaves,
+    whose internal nodes of depth ``window`` are the repeats.  Prefixes with more leaves are
+    lengthened to whole windows, where a node needs no more than its smallest document, again
+    combined map-side.  Whole texts are shuffled by document and meet their runs and spans there.
     """
     key, start = fresh(documents, "_text_key", "_spans")
     rows = documents.withColumn(key, text_key(F.col("text"))).repartition(shuffle_parts(documents), "doc_id", key)
@@ -275,6 +288,6 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW, subtree: int = SUBT
     spans = repeated_spans(plain, window, subtree).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias(start))
     spans = spans.select(F.col("doc_id").alias(key + "_doc"), F.col("text_key").alias(key + "_key"), start)
     out = rows.join(spans, (F.col("doc_id") == F.col(key + "_doc")) & (F.col(key) == F.col(key + "_key")), "left")
-    out = out.withColumn(start, _keep(window)(F.col("text"), F.col(start)))
+    out = out.withColumn(start, _keep(F.col("text"), F.col(start)))
     out = out.withColumns({"n_words": F.col(f"{start}.n_words"), "n_removed": F.col(f"{start}.n_removed"), "text": F.col(f"{start}.kept")})
     return out.drop(key, key + "_doc", key + "_key", start)
