@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from inkshard.llm.common import ASCII_LOWER, fresh, saved
+from inkshard.llm.common import ASCII_LOWER, fresh, saved, small_batches
 
 WINDOW = 10
 #: Item words in one automaton (about 100 MB); more items are dealt to several automata, one pass each.
@@ -197,6 +197,7 @@ def benchmark_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     next, so that a task holds one automaton at a time.
     """
     automata = _automata(items, window, block_words)
+    small_batches(documents)
     names = fresh(documents, *[f"_hits_{i}" for i in range(len(automata))])
     rows = documents
     for i, (name, automaton) in enumerate(zip(names, automata, strict=True)):
@@ -250,6 +251,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     All columns are kept, no column is added.  For words, windows and bounds see ``benchmark_hits``.
     """
     automata = _automata(items, window, block_words)
+    small_batches(documents)
     (clean,) = fresh(documents, "_clean")
     rows = documents
     for i, automaton in enumerate(automata):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import dealt, saved, shuffle_parts
+from inkshard.llm.common import dealt, saved, shuffle_parts, small_batches
 
 ASSISTANT = "assistant"
 _OPEN, _CLOSE = "### ", "</turn>"
@@ -105,6 +105,7 @@ def format_chats(turns: DataFrame, tokenizer_path: str) -> ChatTree:
     conversation, and combined map-side.  A tree that a third of all conversations share is
     range-sorted over many tasks (``common.dealt``).
     """
+    small_batches(turns)
     line = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
     rows = turns.select("conv_id", "turn", role, text).withColumn("depth", F.row_number().over(line) - 1)

@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import numbered, saved
+from inkshard.llm.common import numbered, saved, small_batches
 
 SEQUENCE = 2048
 END_ID = 0
 #: Words whose ids a worker remembers, and the bytes of text it works on at a time (a single text may be longer).
-REMEMBERED, BLOCK = 700_000, 8 << 20
+REMEMBERED, BLOCK = 700_000, 4 << 20
 #: ASCII signs but the apostrophe, which may begin a token of letters.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -140,6 +140,7 @@ def _pieces_of(path: str, limit: int, keep_ids: bool):
                         columns["ids"].append(piece)
             types = {"piece": pa.int32(), "ids": pa.binary()}
             yield pa.record_batch({n: pa.array(v, types.get(n, pa.int64())) for n, v in columns.items()})
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -224,7 +225,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = SEQUE
     pieces share spreads over many tasks.
     """
     ids = ", ids binary" if keep_ids else ""
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = saved(text.mapInArrow(_pieces_of(tokenizer_path, limit, keep_ids), f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")

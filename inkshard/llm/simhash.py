@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from inkshard.llm.common import ASCII_LOWER, saved, shuffle_parts
+from inkshard.llm.common import ASCII_LOWER, larger, saved, shuffle_parts, small_batches
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 # Fixed value: generator polynomial of the binary Golay code of length 23, dimension 12, distance 7.
@@ -149,7 +149,7 @@ def _bucket_links(limit: int):
             none = pa.nulls(len(alone), pa.int64())
             return pa.record_batch({"a": pa.concat_arrays([pa.array(a), pa.array(alone)]), "b": pa.concat_arrays([pa.array(b), none])})
 
-        for batch in batches:
+        for batch in larger(batches):
             keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
             prints = np.r_[prints, batch.column(1).to_numpy(zero_copy_only=False)]
             if not len(keys):
@@ -170,7 +170,7 @@ def _bucket_links(limit: int):
 def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row linked to the first of its key, from rows sorted by key."""
     key = first = None
-    for batch in batches:
+    for batch in larger(batches):
         keys, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(keys):
             continue
@@ -240,7 +240,7 @@ def near_copies(documents: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame
     Equal fingerprints are merged first, so a text that a third of all rows share is one
     node.  Links and components stay tables.
     """
-    prints = saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints("text").alias("print")))
+    prints = saved(small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), _fingerprints("text").alias("print")))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     roots = components(print_links(nodes.select("print"), hot_bucket)).withColumnRenamed("node", "print")
     rooted = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkshard.llm.common import fresh, saved, shuffle_parts, text_key
+from inkshard.llm.common import fresh, larger, saved, shuffle_parts, small_batches, text_key
 
 WINDOW = 50
 #: Words of the shortest prefix that suffixes are grouped by.
@@ -187,7 +187,7 @@ def _subtrees(window: int):
             return pa.record_batch({"prefix": prefix[row[new]], "leaf": leaf[row[new]], "place": place[new], "n": n})
 
         rest = None
-        for batch in batches:
+        for batch in larger(batches, 10_000):
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
             prefix = table.column("prefix").to_numpy()
@@ -213,7 +213,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, subtree: int = SU
 
     ``documents`` has ``doc_id, text_key, text``.  Spans of a document may overlap.  See ``drop_repeats`` for the terms.
     """
-    parts = shuffle_parts(documents)
+    parts = shuffle_parts(small_batches(documents))
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
     runs = known.mapInArrow(_runs_of(window), ", ".join(f"{c} long" for c in _RUNS))
     # Equal runs are one leaf, whose smallest document stands for all of them.  Saved, as two branches read it.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from inkshard.llm.benchmark import item_words
+from inkshard.llm.common import small_batches
 
 #: The bounded sample a model is fitted on: about this many labelled rows, thinned out by a hash of doc_id ...
 SAMPLE_ROWS = 12_000
@@ -85,6 +86,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = fit(rows)
         at = np.flatnonzero(w)
         yield pa.record_batch({"feature": at, "weight": w[at]})
+    # The worker lives on; the sample's memory need not.
+    del rows
+    pa.default_memory_pool().release_unused()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -138,6 +142,6 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = S
     twice, and with no label at all every score is 0.5.  Columns that bear the names of new ones are
     replaced, all others kept.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels, sample_rows))
+    model = small_batches(documents).sparkSession.sparkContext.broadcast(fit_toxicity(documents, labels, sample_rows))
     scored = documents.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("score", _scores(model)(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
