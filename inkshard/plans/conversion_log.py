@@ -268,7 +268,7 @@ def _sql_family(name: str, value: str, buckets, keys: str = "", source: str = "l
     UNION ALL SELECT '{name}_count' || {alone} || ' ' || n FROM {h} WHERE le = '+Inf' UNION ALL SELECT '{name}_sum' || {alone} || ' ' || printf('%.3f', CAST(total AS DOUBLE)) FROM {h} WHERE le = '+Inf'"""
 
 
-_TIMES = ["duration_s * 0.75 AS subprocess_s", "duration_s / 16 AS post_s"]
+_TIMES = ["duration_s * 0.7391 AS subprocess_s", "duration_s / 16 AS post_s"]
 _TIMED = f"{LOG}, timed AS (SELECT *, {', '.join(_TIMES)} FROM log), done AS (SELECT * FROM timed WHERE ok)"
 
 
