@@ -109,23 +109,24 @@ def _list_items(tags: pd.Series) -> pd.Series:
     return tags.map(lambda t: None if t is None else [{"kind": k, "number": n} for k, n in _walk_lists(t)])
 
 
-def page_blocks(html: Column, bold: str = "$1") -> Column:
-    """Blocks with text of a page as an array of ``(kind, level, number, text)``.
+def page_blocks(pages: DataFrame, html: str = "html", bold: str = "$1") -> DataFrame:
+    """``(doc_id, blocks)``: the blocks with text of each page as an array of ``(kind, level, number, text)``.
 
     Only the tags of pages with ordered lists leave the JVM, to have their items numbered; without
     ordered lists every item is a bullet.
     """
-    segments = page_segments(html, bold)
-    tags = F.transform(segments, lambda s: s["tag"])
-    items = _list_items(F.when(F.lower(html).contains("<ol"), tags))
-    plain = F.transform(segments, lambda s: F.struct(F.when(s["tag"] == "li", "bullet").alias("kind"), F.lit(None).cast("int").alias("number")))
+    body = F.coalesce(F.col(html), F.lit(""))
+    # Step by step, so that segments are made once for the several uses below.
+    rows = pages.select("doc_id", page_segments(body, bold).alias("_segments"), F.lower(body).contains("<ol").alias("_numbered"))
+    rows = rows.withColumn("_items", _list_items(F.when(F.col("_numbered"), F.transform("_segments", lambda s: s["tag"]))))
+    plain = F.transform("_segments", lambda s: F.struct(F.when(s["tag"] == "li", "bullet").alias("kind"), F.lit(None).cast("int").alias("number")))
 
     def block(segment: Column, item: Column) -> Column:
         level = F.regexp_extract(segment["tag"], "^h([1-6])$", 1).try_cast("int")
         kind = F.coalesce(item["kind"], F.when(level.isNotNull(), "header").otherwise("para"))
         return F.struct(kind.alias("kind"), level.alias("level"), item["number"].alias("number"), segment["text"].alias("text"))
 
-    return F.filter(F.zip_with(segments, F.coalesce(items, plain), block), lambda b: b["text"] != "")
+    return rows.select("doc_id", F.filter(F.zip_with("_segments", F.coalesce("_items", plain), block), lambda b: b["text"] != "").alias("blocks"))
 
 
 def render_array(blocks: Column, dialect: str) -> Column:
@@ -140,5 +141,5 @@ def render_pages(pages: DataFrame, dialect: str = "plain", html: str = "html") -
 
     A page without text in any block, an empty one or a null one has the empty text and no blocks.
     """
-    blocks = pages.select("doc_id", page_blocks(F.coalesce(F.col(html), F.lit("")), _BOLD[dialect]).alias("blocks"))
+    blocks = page_blocks(pages, html, _BOLD[dialect])
     return blocks.select("doc_id", F.lit(0).cast("bigint").alias("part"), render_array(F.col("blocks"), dialect).alias("text"), F.size("blocks").cast("bigint").alias("n_blocks"))

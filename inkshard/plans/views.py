@@ -120,7 +120,8 @@ def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    """Pages dealt to all cores: the given tables are single files, and parsing costs more than the shuffle."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html").repartition(spark.sparkContext.defaultParallelism)
 
 
 WORKER_COLUMNS = [

@@ -98,7 +98,7 @@ def test_row_form_numbers_the_same(spark):
     df = spark.createDataFrame(list(enumerate("<ol>" + p for p in pages)), "doc_id int, html string")
     from inkshard.operators.render import page_blocks
 
-    whole = df.select("doc_id", F.explode(page_blocks(F.col("html"))).alias("b")).select("doc_id", "b.*")
+    whole = page_blocks(df).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
     for chunk in (3, 1 << 30):
         rows = list_numbers(html_segments(df), chunk=chunk).select("doc_id", "kind", "level", "number", "text")
         assert sorted(map(str, rows.collect())) == sorted(map(str, whole.collect()))
