@@ -69,11 +69,11 @@ def suffix_runs(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.n
     """``(prefix hash, leaf hash, first start, how many)``: runs of window starts that are grouped by one prefix.
 
     Of the 16-word sequences in a window the one with the least hash, the leftmost of equals, is its
-    mark.  A suffix is grouped by its words up to the end of the mark: a prefix of 16 to 50
-    words, which equal windows share as their own words alone decide on the mark.
+    mark.  A window is grouped by the hash of its mark alone, which equal windows share as their
+    own words alone decide on it.
     Neighbouring starts with one mark form a run, so a text has about a fourteenth as many
-    runs as words.  The leaf hash is over all words of a run's windows: together with the prefix's it
-    tells runs apart by 128 bits.
+    runs as words.  The leaf hash is over all words of a run's windows: its 64 bits
+    tell runs of one group apart.
     """
     for at in range(0, len(words) - window + 1, BLOCK):
         part = words[at : at + BLOCK + window - 1]
