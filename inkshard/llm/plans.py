@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from inkshard.llm.benchmark import benchmark_hits
 from inkshard.llm.chats import format_chats, read_chats
 from inkshard.llm.exact import exact_copies
+from inkshard.llm.infill import infill_documents, restore_documents
+from inkshard.llm.licenses import BASE_PHRASES, scan_licenses
 from inkshard.llm.lines import apply_keep, line_bitmaps
 from inkshard.llm.packing import pack_documents
 from inkshard.llm.sharding import shard_documents
@@ -209,3 +211,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP11 = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+tokens AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed),
+cut AS (SELECT *, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b FROM tokens),
+parts AS (
+  SELECT doc_id, text, len(t) AS n, array_to_string(t[1 : a], '') AS p, array_to_string(t[a + 1 : b], '') AS m, array_to_string(t[b + 1 :], '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts"""
+
+
+@query("op11_infill", _OP11)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = infill_documents(_documents(spark, sf_dir), seed=42, rate=50, spm_share=80)
+    return restore_documents(samples).select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(F.col("text")).alias("restored_sha256"))
+
+
+@query("op12_licenses")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_documents(spark, sf_dir))
+    base = F.filter("notices", lambda n: n["phrase"].isin([p for p, _, _ in BASE_PHRASES]))
+    found = found.withColumn("base", base).withColumn("words", F.col("base.word"))
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("words").alias("first_word"), F.array_max("words").alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"), listed(F.col("labels")).alias("labels"), "score", "terms",
+    )
