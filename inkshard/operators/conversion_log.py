@@ -2,7 +2,7 @@
 
 Every aggregate here combines on the map side, so a route or worker holding a large
 share of the log shuffles only its partial results.  Scans along time go through
-``over_groups`` or through time buckets, never through one window per worker.
+``over_ranges``: a burst of one worker within one second spreads over as many tasks as its rows need.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkshard.functions import constants as K
 from inkshard.functions.policy import bearer_token, protected_path
-from inkshard.operators.ordered import CHUNK_US, Scan, over_groups
+from inkshard.operators.ordered import Scan, over_ranges
 
 ROUTE = ["source_format", "target_format"]
 TIME = ["ts_us", "event_id"]
@@ -120,29 +120,28 @@ def size_profile(log: DataFrame) -> DataFrame:
 # Along time.
 
 
-def failure_streaks(log: DataFrame, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
+def failure_streaks(log: DataFrame, keys: Sequence[str] = ("worker_id",), ranges: int | None = None) -> DataFrame:
     """Failed rows with their place in the present streak of failures."""
-    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, streak_pos=(~F.col("ok"), F.col("ok"))), chunk_us)
+    out = over_ranges(log.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, streak_pos=(~F.col("ok"), F.col("ok"))), ranges)
     return out.filter(~F.col("ok")).select(*keys, *TIME, "streak_pos")
 
 
-def streak_lengths(log: DataFrame, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
+def streak_lengths(log: DataFrame, keys: Sequence[str] = ("worker_id",), ranges: int | None = None) -> DataFrame:
     """``(keys, start_us, length)`` of every streak of failures."""
     def body(df: DataFrame, scan: Scan) -> DataFrame:
         return scan.running(df, streak=("sum", F.when(F.col("ok"), 1).otherwise(0)))
 
-    out = over_groups(log.select(*keys, *TIME, "ok"), keys, TIME, body, chunk_us).filter(~F.col("ok"))
+    out = over_ranges(log.select(*keys, *TIME, "ok"), keys, TIME, body, ranges).filter(~F.col("ok"))
     return out.groupBy(*keys, "streak").agg(F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("length")).drop("streak")
 
 
-def active_conversions(log: DataFrame, busy_s: str = "busy_s", keys: Sequence[str] = (), chunk_us: int = CHUNK_US) -> DataFrame:
+def active_conversions(log: DataFrame, busy_s: str = "busy_s", keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Conversions in flight after every start and end; ends come before starts at the same time."""
     end_us = F.col("ts_us") + F.floor(F.col(busy_s) * 1_000_000).cast("bigint")
     edge = lambda at, d: F.struct(at.alias("t_us"), F.lit(d).alias("delta"))
     edges = log.select(*keys, "event_id", F.explode(F.array(edge(F.col("ts_us"), 1), edge(end_us, -1))).alias("e"))
-    edges = edges.select(*keys, "event_id", "e.t_us", "e.delta", F.lit(0).alias("_all"))
-    out = over_groups(edges, [*keys, "_all"], ["t_us", "delta", "event_id"], lambda df, scan: scan.floored_level(df, "active", F.col("delta")), chunk_us)
-    return out.drop("_all")
+    edges = edges.select(*keys, "event_id", "e.t_us", "e.delta")
+    return over_ranges(edges, list(keys), ["t_us", "delta", "event_id"], lambda df, scan: scan.floored_level(df, "active", F.col("delta")), ranges)
 
 
 def peak_active(active: DataFrame, every_us: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -150,27 +149,30 @@ def peak_active(active: DataFrame, every_us: int, keys: Sequence[str] = ()) -> D
     return active.groupBy(*keys, bucket).agg(F.max("active").alias("peak"))
 
 
-def restart_points(log: DataFrame, n: int, keys: Sequence[str] = ("worker_id",), chunk_us: int = CHUNK_US) -> DataFrame:
+def restart_points(log: DataFrame, n: int, keys: Sequence[str] = ("worker_id",), ranges: int | None = None) -> DataFrame:
     """Conversions before which the worker restarts: every ``n``-th; ``n`` = 0 never."""
     if n <= 0:
         return log.select(*keys, *TIME).filter(F.lit(False))
-    out = over_groups(log.select(*keys, *TIME), keys, TIME, lambda df, scan: scan.ordinal(df, "n"), chunk_us)
+    out = over_ranges(log.select(*keys, *TIME), keys, TIME, lambda df, scan: scan.ordinal(df, "n"), ranges)
     return out.filter(F.col("n") % n == 0).select(*keys, *TIME)
 
 
-def trailing_rate(log: DataFrame, seconds: int, keys: Sequence[str] = tuple(ROUTE), bucket_s: int = 3600) -> DataFrame:
-    """Events per second over the last ``seconds``, on every event.
+def trailing_rate(log: DataFrame, seconds: int, keys: Sequence[str] = tuple(ROUTE), ranges: int | None = None) -> DataFrame:
+    """Events per second over the last ``seconds``, both ends included, on every event.
 
-    Windows run per key and time bucket; the tail of a bucket is repeated as context in
-    the next one, so a busy route is spread over as many tasks as it has buckets.
+    Events of a key at or before t, less those before t - ``seconds``: two prefix counts.  Every distinct time of a
+    key and every time that far earlier is a row; one running count over ranges, in which the earlier
+    times stand before events of the same microsecond, answers all look-ups, wherever they fall.
     """
-    width, span = max(bucket_s, seconds) * 1_000_000, seconds * 1_000_000
-    bucket = F.floor(F.col("ts_us") / width).cast("bigint")
-    tail = F.col("ts_us") >= (bucket + 1) * width - span
-    rows = log.select(*keys, *TIME, bucket.alias("_b"), F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_context"))
-    rows = rows.withColumn("_b", F.col("_b") + F.col("_context"))
-    w = Window.partitionBy(*keys, "_b").orderBy("ts_us").rangeBetween(-span, 0)
-    return rows.withColumn("rate", F.count(F.lit(1)).over(w) / F.lit(float(seconds))).filter("_context = 0").drop("_b", "_context")
+    span = seconds * 1_000_000
+    times = log.groupBy(*keys, "ts_us").agg(F.count(F.lit(1)).alias("_n"))
+    row = lambda at, is_event, n: F.struct(at.alias("_at"), F.lit(is_event).alias("_event"), n.alias("_n"))
+    rows = times.select(*keys, "ts_us", F.explode(F.array(row(F.col("ts_us"), 1, F.col("_n")), row(F.col("ts_us") - span, 0, F.lit(0).cast("bigint")))).alias("_r")).select(*keys, "ts_us", "_r.*")
+    counted = over_ranges(rows, list(keys), ["_at", "_event"], lambda df, scan: scan.running(df, _before=("sum", F.col("_n"))), ranges)
+    within = F.sum(F.when(F.col("_event") == 1, F.col("_before")).otherwise(-F.col("_before")))
+    rates = counted.groupBy(*keys, "ts_us").agg((within / F.lit(float(seconds))).alias("rate"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, "ts_us")]
+    return log.select(*keys, *TIME).alias("l").join(rates.alias("r"), same).select(*[f"l.{c}" for c in (*keys, *TIME)], "rate")
 
 
 def retry_outcome(attempts: DataFrame, key: str, attempt: str, ok: str, error: str, max_attempts: int) -> DataFrame:
@@ -186,9 +188,9 @@ def retry_outcome(attempts: DataFrame, key: str, attempt: str, ok: str, error: s
     )
 
 
-def health_restarts(checks: DataFrame, keys: Sequence[str] = ("worker_id",), threshold: int = 3, chunk_us: int = CHUNK_US) -> DataFrame:
+def health_restarts(checks: DataFrame, keys: Sequence[str] = ("worker_id",), threshold: int = 3, ranges: int | None = None) -> DataFrame:
     """Checks at which a restart is made: after ``threshold`` failures in a row; the count then starts anew."""
-    out = over_groups(checks.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, n=(~F.col("ok"), F.col("ok"))), chunk_us)
+    out = over_ranges(checks.select(*keys, *TIME, "ok"), keys, TIME, lambda df, scan: scan.count_since(df, n=(~F.col("ok"), F.col("ok"))), ranges)
     return out.filter(~F.col("ok") & (F.col("n") % threshold == 0)).select(*keys, *TIME)
 
 

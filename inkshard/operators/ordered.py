@@ -8,6 +8,10 @@ and chunk; windows run inside a chunk, and one small summary for each scan, a ro
 chunk, carries state from chunk to chunk.  A document of ordinary size is one chunk, for
 which nothing is carried; a huge one spreads over as many tasks as it has chunks.
 
+``over_ranges`` is the form for logs and other orders without gapless positions: rows are range-sorted by
+group and order, and a chunk is what one range holds of a group.  A burst is cut wherever it
+lies, even inside one microsecond, as ranges hold about equal numbers of rows.
+
 The plan is the same whatever the size of the input or of its groups.
 """
 
@@ -18,10 +22,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkshard.session import saved
+
 #: Positions in a chunk.
 CHUNK = 65_536
-#: Microseconds in a chunk of a log: six hours.
-CHUNK_US = 6 * 3_600_000_000
 
 _CHUNK = "_chunk"
 Specs = Mapping[str, tuple[str, Column]]
@@ -57,7 +61,7 @@ class Scan:
         return df.join(start.dropna("all", subset=list(carry)), self.pieces, "left")
 
     def together(self, df: DataFrame, running: Specs = {}, preceding: Specs = {}, following: Specs = {}, totals: Specs = {}) -> DataFrame:
-        """Add values of several kinds behind one summary: ``name=(kind, expr)``, kind one of sum, min, max, last, first (non-null).
+        """Add values of several kinds behind one summary: ``name=(kind, expr)``, kind one of sum, min, max, xor, last, first (non-null).
 
         ``running`` takes the rows up to the present one, ``preceding`` those before it, ``following``
         those after it from the end of the group on (so ``last`` is the nearest), ``totals`` all.
@@ -90,7 +94,7 @@ class Scan:
         if kind in ("last", "first"):
             at = F.when(expr.isNotNull(), F.struct(*self.order))
             return F.max_by(expr, at) if (kind == "last") != backwards else F.min_by(expr, at)
-        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](expr)
+        return _COMBINE[kind](expr)
 
     def neighbours(self, df: DataFrame, lag: Mapping[str, Column] = {}, lead: Mapping[str, Column] = {}) -> DataFrame:
         """Add values of the previous (``lag``) and next (``lead``) row."""
@@ -145,17 +149,22 @@ class Scan:
         return df.withColumn(name, before + F.col("_s") - F.least(F.lit(0), F.col("_lowest"), before + F.col("_low"))).drop("_s", "_low", "_before", "_lowest")
 
 
+_COMBINE = {"sum": F.sum, "min": F.min, "max": F.max, "xor": F.bit_xor}
+
+
 def _window_agg(kind: str, expr: Column) -> Column:
     if kind == "last":
         return F.last(expr, ignorenulls=True)
     if kind == "first":
         return F.first(expr, ignorenulls=True)
-    return {"sum": F.sum, "min": F.min, "max": F.max}[kind](expr)
+    return _COMBINE[kind](expr)
 
 
 def _merge(kind: str, before: Column, within: Column) -> Column:
     if kind == "sum":
         return F.coalesce(before + within, before, within)
+    if kind == "xor":
+        return F.coalesce(before.bitwiseXOR(within), before, within)
     if kind == "last":
         return F.coalesce(within, before)
     if kind == "first":
@@ -172,3 +181,18 @@ def over_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], body:
     """
     number = F.coalesce(F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint"), F.lit(-1).cast("bigint") - (1 << 40))
     return body(df.withColumn(_CHUNK, number), Scan(keys, order)).drop(_CHUNK)
+
+
+def over_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Callable[[DataFrame, Scan], DataFrame], ranges: int | None = None) -> DataFrame:
+    """Apply ``body(df, scan)`` to every group, cut into ranges of about equal numbers of rows.
+
+    ``order`` columns must tell the rows of a group apart, or rows that they do not must be
+    equal for ``body``; nulls come first.  ``df`` should have no more columns than ``body`` needs: its rows are saved once
+    in the shared folder, because ranges are found by a sample and must not move between the
+    two uses of a chunk, nor when a lost executor's rows are read again.
+    ``ranges`` is the number of ranges, by default that of shuffle partitions.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A struct of keys equals another where both have nulls, which plain keys of a join do not.
+    dealt = df.withColumn("_group", F.struct(F.lit(0), *keys)).repartitionByRange(n, "_group", *order)
+    return body(saved(dealt.withColumn(_CHUNK, F.spark_partition_id().cast("bigint"))), Scan(["_group"], order)).drop(_CHUNK, "_group")
