@@ -18,6 +18,7 @@ from inkshard.llm.sharding import shard_documents
 from inkshard.llm.simhash import near_copies
 from inkshard.llm.substrings import drop_repeats
 from inkshard.llm.toxicity import score_toxicity
+from inkshard.llm.trie import build_trie, ends_digest, share_beginnings
 from inkshard.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +244,44 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("words").alias("first_word"), F.array_max("words").alias("last_word"),
         listed(F.col("base.label")).alias("base_labels"), listed(F.col("labels")).alias("labels"), "score", "terms",
     )
+
+
+_OP13 = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n FROM conversations),
+{crc}
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc_of} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, o.n, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.n <= c.h
+  UNION ALL SELECT c.conv_id, o.n, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.n > c.h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS d, role, text FROM rebuilt),
+lists AS (SELECT c.conv_id, coalesce(list(struct_pack(r := role, t := text) ORDER BY d) FILTER (d IS NOT NULL), []) AS turns FROM convs c LEFT JOIN turns t ON c.conv_id = t.conv_id GROUP BY c.conv_id),
+beginnings AS (SELECT conv_id, d AS depth, md5(CAST(turns[1 : d] AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(CAST(turns[1 : d - 1] AS VARCHAR)) END AS parent,
+    CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS chars, d = len(turns) AS last FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM lists)),
+nodes AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM beginnings GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS gain FROM nodes n LEFT JOIN children c ON n.node = c.node),
+above AS (
+  SELECT node AS top, node, parent FROM valued UNION ALL SELECT v.node, a.node, v.parent FROM above a JOIN valued v ON a.parent = v.node),
+sums AS (SELECT top, sum(gain) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above a JOIN valued v ON a.node = v.node GROUP BY top)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON v.node = s.top LEFT JOIN nodes p ON v.parent = p.node"""
+# Unsigned crc32 of a decimal number: ASCII bytes through a table of 256 remainders.
+_CRC_TABLE = f"""t0 AS (SELECT i, {_crc_bits("i")} AS c FROM range(256) r(i)),
+{", ".join(f"t{n} AS (SELECT i, {_crc_bits('c')} AS c FROM t{n - 1})" for n in range(1, 8))},
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM t7),"""
+_CRC_OF = """CAST(xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda acc, b: xor(tab[(xor(acc, b) & 255) + 1], acc >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS BIGINT)"""
+
+
+@query("op13_prefix_trie", _OP13.format(crc=_CRC_TABLE, crc_of=_CRC_OF))
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("kind"), "text")
+    trie = build_trie(*share_beginnings(turns, every=100, first=F.crc32(F.col("doc_id").cast("string")) % 6))
+    nodes = trie.nodes.join(ends_digest(trie.ends), "node", "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.select(
+        F.col("first_doc_id").alias("conv_id"), "depth", F.col("parent_first_doc_id").alias("parent_conv_id"), F.col("n_docs").alias("n_convs"), "n_children", "n_leaves",
+        F.col("saved_chars").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"),
+    )
