@@ -58,12 +58,14 @@ def _paths(blocks: DataFrame, documents: DataFrame | None) -> DataFrame:
     rows = blocks.select("doc_id", "pos", F.xxhash64(F.lit(1), kind, text).alias("t1"), F.xxhash64(F.lit(2), kind, text).alias("t2"), F.char_length(text).cast("long").alias("chars"))
 
     def body(df, scan):
-        df = scan.ordinal(df, "d")
-        df = scan.running(df, **{f"h{i}": ("xor", F.xxhash64(F.lit(i), "d", "t1", "t2")) for i in (1, 2)})
-        return scan.neighbours(df.withColumn("node", F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("h1", "h2")])), lag={"parent": F.col("node")})
+        df = scan.ordinal(df, "d").withColumns({f"x{i}": F.xxhash64(F.lit(i), "d", "t1", "t2") for i in (1, 2)})
+        return scan.running(df, h1=("xor", F.col("x1")), h2=("xor", F.col("x2")))
 
     doc = F.struct("doc_id").alias("doc")
-    rows = over_ranges(rows, ["doc_id"], ["pos", "t1", "t2"], body).select(doc, "d", "node", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "chars")
+    hashed = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+    # What the block itself put into the hash taken out again gives the hash before it.
+    parent = F.when(F.col("d") == 1, ROOT).otherwise(hashed(F.col("h1").bitwiseXOR(F.col("x1")), F.col("h2").bitwiseXOR(F.col("x2"))))
+    rows = over_ranges(rows, ["doc_id"], ["pos", "t1", "t2"], body).select(doc, "d", hashed("h1", "h2").alias("node"), parent.alias("parent"), "chars")
     ids = blocks.select("doc_id") if documents is None else documents.select("doc_id").unionByName(blocks.select("doc_id"))
     roots = ids.distinct().select(doc, F.lit(0).cast("long").alias("d"), F.lit(ROOT).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("chars"))
     return saved(rows.unionByName(roots))
@@ -82,8 +84,10 @@ def _exit_edges(pending: DataFrame, trie: DataFrame, paths: DataFrame, longest:
     The last edge found, or the child below it that the next block leads to, is the one it leaves on.
     """
     tree = trie.select(*[F.col(c).alias(f"t_{c}") for c in _EDGE])
-    root = trie.filter(F.col("node") == ROOT).select("owner", "start", "stop", "node").withColumn("known", F.lit(0).cast("long"))
-    state = pending.join(F.broadcast(root)).withColumns({"a": F.lit(0).cast("long"), "b": F.least("m", F.lit(longest).cast("long"))})
+    number = lambda n: F.lit(n).cast("long")
+    # Nothing found means the root, whose edge has no block to run along.
+    state = pending.select("doc", "m", "end", F.lit(None).cast(trie.schema["owner"].dataType).alias("owner"), number(-1).alias("start"), number(0).alias("stop"), F.lit(ROOT).alias("node"))
+    state = state.withColumns({"known": number(0), "a": number(0), "b": F.least("m", number(longest))})
     for _ in range(longest.bit_length()):
         state = state.withColumn("f", F.when(F.col("a") < F.col("b"), fattest(F.col("a"), F.col("b"))))
         state = state.join(_at(paths, "doc", "f", probe="node"), ["doc", "f"], "left")
@@ -96,6 +100,7 @@ def _exit_edges(pending: DataFrame, trie: DataFrame, paths: DataFrame, longest:
             F.when(hit, F.col("t_stop")).otherwise(F.col("a")).alias("a"),
             F.when(hit | F.col("f").isNull(), F.col("b")).otherwise(F.col("f") - 1).alias("b"),
         )
+        state = saved(state)
     # Past the end of the edge found, the next block leads to a child, or to none.
     state = state.withColumn("f", F.col("stop") + 1).join(_at(paths, "doc", "f", up="parent", next="node"), ["doc", "f"], "left")
     passed = F.coalesce(F.col("up") == F.col("node"), F.lit(False))
@@ -185,9 +190,9 @@ def build_trie(blocks: DataFrame, documents: DataFrame | None = None) -> PrefixT
     owners = trie.groupBy(F.col("owner").alias("doc")).agg(F.min("start").alias("from"))
     ends = docs.groupBy("end").agg(F.count(F.lit(1)).alias("n_ends"), F.min("doc.doc_id").alias("least")).withColumnRenamed("end", "node")
     owned = saved(paths.join(owners, "doc").withColumn("own", F.col("d") > F.col("from")).drop("from"))
-    children = owned.filter("own AND parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("parent", "node")
+    children = saved(owned.filter("own AND parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("parent", "node"))
     counted = owned.filter("own").join(ends, "node", "left").join(children, "node", "left").select("doc", "d", "n_ends", "least", F.col("n_children").isNull().cast("long").alias("leaf"), "n_children")
-    rows = owned.select("doc", "d", "node").join(counted, ["doc", "d"], "left")
+    rows = saved(owned.select("doc", "d", "node").join(counted, ["doc", "d"], "left"))
 
     def up(df: DataFrame, **sums: tuple[str, str]) -> DataFrame:
         """Values of a node's subtree by node, from those of owned nodes: from each owner's path what lies at this depth and below."""
@@ -198,7 +203,8 @@ def build_trie(blocks: DataFrame, documents: DataFrame | None = None) -> PrefixT
 
     counts = saved(up(rows, n_docs=("sum", "n_ends"), n_leaves=("sum", "leaf"), first_doc_id=("min", "least")))
     gains = owned.filter("own").join(counts, "node").select("doc", "d", ((F.col("n_docs") - 1) * F.col("chars")).alias("gain"))
-    saved_chars = up(owned.select("doc", "d", "node").join(gains, ["doc", "d"], "left"), saved_chars=("sum", "gain"))
+    gains = saved(owned.select("doc", "d", "node").join(gains, ["doc", "d"], "left"))
+    saved_chars = saved(up(gains, saved_chars=("sum", "gain")))
 
     nodes = owned.filter("own").select("node", "parent", F.col("d").alias("depth")).join(counts, "node").join(saved_chars, "node").join(children, "node", "left")
     above = counts.select(F.col("node").alias("parent"), F.col("first_doc_id").alias("parent_first_doc_id"))
