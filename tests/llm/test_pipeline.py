@@ -9,7 +9,7 @@ from tests.llm.conftest import CLASHES
 from tests.llm.test_benchmark import brute as brute_hits
 from tests.llm.test_exact_and_lines import brute_lines
 from tests.llm.test_packing import packed
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import brute_labels
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,9 +44,9 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     before, after = stages[2]
-    rows = before.collect()
-    label = brute_components([brute_print(r.text) for r in rows], [r.doc_id for r in rows])
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(label)) and len(set(label)) < len(rows)
+    rows = sorted(before.collect(), key=lambda r: r.doc_id)
+    first = {rows[i].doc_id for i in brute_labels([r.text for r in rows])}
+    assert {r.doc_id for r in after.collect()} == first and after.count() == len(first) < len(rows)
 
 
 def test_test_items_are_gone(spark, stages):
