@@ -22,7 +22,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkshard.session import saved
+from inkshard.session import written
 
 #: Positions in a chunk.
 CHUNK = 65_536
@@ -195,4 +195,4 @@ def over_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], body:
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A struct of keys equals another where both have nulls, which plain keys of a join do not.
     dealt = df.withColumn("_group", F.struct(F.lit(0), *keys)).repartitionByRange(n, "_group", *order)
-    return body(saved(dealt.withColumn(_CHUNK, F.spark_partition_id().cast("bigint"))), Scan(["_group"], order)).drop(_CHUNK, "_group")
+    return body(written(dealt.withColumn(_CHUNK, F.spark_partition_id().cast("bigint"))), Scan(["_group"], order)).drop(_CHUNK, "_group")
