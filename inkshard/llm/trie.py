@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkshard.llm.common import larger, saved, shuffle_parts
+from inkshard.llm.common import larger, shuffle_parts
 from inkshard.operators.ordered import over_groups, over_ranges
+from inkshard.session import written
 
 ROOT = ""
 _EDGE = ["owner", "start", "stop", "node", "first", "handle"]
@@ -41,7 +42,7 @@ def share_beginnings(blocks: DataFrame, every: int, first: Column) -> tuple[Data
     rows = blocks.select("doc_id", "pos", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     h = F.coalesce(first.cast("long"), F.lit(0))
     rows = rows.withColumns({"_t1": F.xxhash64(F.lit(1), "kind", "text"), "_t2": F.xxhash64(F.lit(2), "kind", "text")})
-    own = saved(over_ranges(rows, ["doc_id"], ["pos", "_t1", "_t2"], lambda df, scan: scan.ordinal(df, "n")).drop("pos", "_t1", "_t2"))
+    own = written(over_ranges(rows, ["doc_id"], ["pos", "_t1", "_t2"], lambda df, scan: scan.ordinal(df, "n")).drop("pos", "_t1", "_t2"))
     documents = own.filter("n = 1").select("doc_id")
     heads = documents.select("doc_id", (F.col("doc_id") - F.col("doc_id") % every).alias("_base"), h.alias("_h")).filter("_h > 0")
     taken = heads.join(own.withColumnRenamed("doc_id", "_base"), "_base").filter(F.col("n") <= F.col("_h")).select("doc_id", F.col("n").alias("pos"), "kind", "text")
@@ -68,7 +69,7 @@ def _paths(blocks: DataFrame, documents: DataFrame | None) -> DataFrame:
     rows = over_ranges(rows, ["doc_id"], ["pos", "t1", "t2"], body).select(doc, "d", hashed("h1", "h2").alias("node"), parent.alias("parent"), "chars")
     ids = blocks.select("doc_id") if documents is None else documents.select("doc_id").unionByName(blocks.select("doc_id"))
     roots = ids.distinct().select(doc, F.lit(0).cast("long").alias("d"), F.lit(ROOT).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("chars"))
-    return saved(rows.unionByName(roots))
+    return written(rows.unionByName(roots))
 
 
 def _at(paths: DataFrame, doc: str, d: str, **columns: str) -> DataFrame:
@@ -100,7 +101,7 @@ def _exit_edges(pending: DataFrame, trie: DataFrame, paths: DataFrame, longest:
             F.when(hit, F.col("t_stop")).otherwise(F.col("a")).alias("a"),
             F.when(hit | F.col("f").isNull(), F.col("b")).otherwise(F.col("f") - 1).alias("b"),
         )
-        state = saved(state)
+        state = written(state)
     # Past the end of the edge found, the next block leads to a child, or to none.
     state = state.withColumn("f", F.col("stop") + 1).join(_at(paths, "doc", "f", up="parent", next="node"), ["doc", "f"], "left")
     passed = F.coalesce(F.col("up") == F.col("node"), F.lit(False))
@@ -111,7 +112,7 @@ def _exit_edges(pending: DataFrame, trie: DataFrame, paths: DataFrame, longest:
         *[F.when(child, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) for c in ("owner", "start", "stop", "node")],
         F.when(child, F.col("t_start") + 1).when(passed, F.col("stop")).otherwise(F.col("known")).alias("known"),
     )
-    state = saved(state)
+    state = written(state)
     # Along the edge, as far as the document's beginnings are those of the edge's owner.
     along = state.select("doc", "m", "owner", "stop", "known").join(paths.select("doc", "d", F.col("node").alias("_n")), "doc")
     along = along.filter((F.col("d") > F.col("known")) & (F.col("d") <= F.col("stop"))).select("doc", "owner", "d", "_n")
@@ -139,19 +140,19 @@ def _inserted(trie: DataFrame, exits: DataFrame, paths: DataFrame) -> DataFrame:
     best = F.struct((-F.col("m")).alias("m"), F.col("doc")).alias("best")
     leaves = ways.groupBy("way").agg(F.min(best).alias("best"), F.first("at").alias("start")).select(F.col("best.doc").alias("owner"), "start", (-F.col("best.m")).alias("stop"))
     whole = trie.join(cuts.select("node").distinct(), "node", "left_anti").select(*_EDGE)
-    return saved(whole.unionByName(_with_hashes(cut.unionByName(leaves), paths)))
+    return written(whole.unionByName(_with_hashes(cut.unionByName(leaves), paths)))
 
 
 def _compacted(documents: DataFrame, paths: DataFrame) -> DataFrame:
     """The z-fast trie: edges ``(owner, start, stop]`` of the path of a document, with the hash of their end, of their first block and of their handle."""
     top = documents.agg(F.min(F.struct((-F.col("m")).alias("m"), F.col("doc"))).alias("best")).filter("best IS NOT NULL")
     whole = [F.lit(v).cast(t).alias(n) for n, v, t in (("start", -1, "long"), ("stop", 0, "long"), ("node", ROOT, "string"), ("first", None, "string"), ("handle", None, "string"))]
-    trie, longest = saved(top.select(F.col("best.doc").alias("owner"), *whole)), 0
+    trie, longest = written(top.select(F.col("best.doc").alias("owner"), *whole)), 0
     while True:
         pending = documents.join(trie.select(F.col("node").alias("end")), "end", "left_anti")
         if not (depth := pending.agg(F.max("m")).first()[0]):
             return trie
-        exits = saved(_exit_edges(pending, trie, paths, min(longest, depth)))
+        exits = written(_exit_edges(pending, trie, paths, min(longest, depth)))
         trie = _inserted(trie, exits, paths)
         longest = trie.agg(F.max("stop")).first()[0]
 
@@ -183,16 +184,16 @@ def build_trie(blocks: DataFrame, documents: DataFrame | None = None) -> PrefixT
     """
     paths = _paths(blocks, documents)
     last = F.max(F.struct("d", "node"))
-    docs = saved(paths.groupBy("doc").agg(last.alias("last")).select("doc", F.col("last.d").alias("m"), F.col("last.node").alias("end")))
+    docs = written(paths.groupBy("doc").agg(last.alias("last")).select("doc", F.col("last.d").alias("m"), F.col("last.node").alias("end")))
     trie = _compacted(docs, paths)
 
     # Edges of one owner follow each other to its end, so a node is owned where its path lies below the first of them.
     owners = trie.groupBy(F.col("owner").alias("doc")).agg(F.min("start").alias("from"))
     ends = docs.groupBy("end").agg(F.count(F.lit(1)).alias("n_ends"), F.min("doc.doc_id").alias("least")).withColumnRenamed("end", "node")
-    owned = saved(paths.join(owners, "doc").withColumn("own", F.col("d") > F.col("from")).drop("from"))
-    children = saved(owned.filter("own AND parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("parent", "node"))
+    owned = written(paths.join(owners, "doc").withColumn("own", F.col("d") > F.col("from")).drop("from"))
+    children = written(owned.filter("own AND parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("parent", "node"))
     counted = owned.filter("own").join(ends, "node", "left").join(children, "node", "left").select("doc", "d", "n_ends", "least", F.col("n_children").isNull().cast("long").alias("leaf"), "n_children")
-    rows = saved(owned.select("doc", "d", "node").join(counted, ["doc", "d"], "left"))
+    rows = written(owned.select("doc", "d", "node").join(counted, ["doc", "d"], "left"))
 
     def up(df: DataFrame, **sums: tuple[str, str]) -> DataFrame:
         """Values of a node's subtree by node, from those of owned nodes: from each owner's path what lies at this depth and below."""
@@ -201,10 +202,10 @@ def build_trie(blocks: DataFrame, documents: DataFrame | None = None) -> PrefixT
         with_own = {n: F.coalesce(F.col(f"_{n}") + F.col(c), f"_{n}", c) if kind == "sum" else F.least(f"_{n}", c) for n, (kind, c) in sums.items()}
         return df.select("node", *[e.alias(n) for n, e in with_own.items()]).groupBy("node").agg(*[{"sum": F.sum, "min": F.min}[kind](n).alias(n) for n, (kind, _) in sums.items()])
 
-    counts = saved(up(rows, n_docs=("sum", "n_ends"), n_leaves=("sum", "leaf"), first_doc_id=("min", "least")))
+    counts = written(up(rows, n_docs=("sum", "n_ends"), n_leaves=("sum", "leaf"), first_doc_id=("min", "least")))
     gains = owned.filter("own").join(counts, "node").select("doc", "d", ((F.col("n_docs") - 1) * F.col("chars")).alias("gain"))
-    gains = saved(owned.select("doc", "d", "node").join(gains, ["doc", "d"], "left"))
-    saved_chars = saved(up(gains, saved_chars=("sum", "gain")))
+    gains = written(owned.select("doc", "d", "node").join(gains, ["doc", "d"], "left"))
+    saved_chars = written(up(gains, saved_chars=("sum", "gain")))
 
     nodes = owned.filter("own").select("node", "parent", F.col("d").alias("depth")).join(counts, "node").join(saved_chars, "node").join(children, "node", "left")
     above = counts.select(F.col("node").alias("parent"), F.col("first_doc_id").alias("parent_first_doc_id"))
