@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from inkshard.functions.css import css_cascade, paragraph_format
 from inkshard.functions.media import sized_image, svg_data_uri
 from inkshard.operators.ordered import over_groups
+from inkshard.session import written
 from inkshard.sources.html import html_chains, html_drawings
 
 # Positions per bin of a containment join.  Both sides meet in bins, so the work is about
@@ -124,3 +126,39 @@ def rewrite(nodes: DataFrame, *passes: tuple[Column, dict[str, Column] | Callabl
         else:
             nodes = nodes.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in change.items()})
     return nodes
+
+
+def _level_by_level(nodes: DataFrame, deepest_first: bool, near: Callable[[DataFrame], DataFrame], change: Mapping[str, Column]) -> DataFrame:
+    """Nodes with ``change`` made on each level in turn; ``near`` turns the level before into what a node may look at, by doc_id and ``_pos``."""
+    low, high = nodes.agg(F.min("depth"), F.max("depth")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    own, done = written(nodes), []
+    for depth in range(high, low - 1, -1) if deepest_first else range(low, high + 1):
+        level = own.filter(F.col("depth") == depth)
+        beside = near(done[-1] if done else own.withColumns({c: F.lit(None) for c in change if c not in own.columns}).filter("false"))
+        at = level["pos"] if deepest_first else level["parent_pos"]
+        seen = level.join(beside, (level["doc_id"] == beside["_doc"]) & (at == beside["_pos"]), "left").drop("_doc", "_pos")
+        done.append(written(seen.withColumns(dict(change)).select(*own.columns, *[c for c in change if c not in own.columns])))
+    return reduce(DataFrame.unionByName, done)
+
+
+def rewrite_up(nodes: DataFrame, gather: Mapping[str, Column], change: Mapping[str, Column]) -> DataFrame:
+    """Rewrite nodes bottom-up: a node's new values may use those of its children, which are made first.
+
+    ``gather`` names aggregates over the children's rows as already rewritten (null for a node without
+    children, but for counts); ``change`` names new values, of the node's own columns and the gathered ones.
+    All nodes of one depth are one step, whatever their documents, so the steps are as many as the deepest
+    node has ancestors; each is written before the next reads it.  Children meet by (doc_id, parent_pos) and combine map-side.
+    """
+    def near(level: DataFrame) -> DataFrame:
+        return level.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_pos").alias("_pos")).agg(*[e.alias(n) for n, e in gather.items()])
+
+    return _level_by_level(nodes, True, near, change)
+
+
+def rewrite_down(nodes: DataFrame, take: Mapping[str, Column], change: Mapping[str, Column]) -> DataFrame:
+    """Rewrite nodes top-down: a node's new values may use ``take``, columns of its parent as already rewritten (null at the top)."""
+    def near(level: DataFrame) -> DataFrame:
+        return level.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), *[e.alias(n) for n, e in take.items()])
+
+    return _level_by_level(nodes, False, near, change)

@@ -101,6 +101,51 @@ def _(spark, sf):
     return changed.filter(tag.isin("strong", "img", "li") | ((tag == "span") & (F.col("text") != ""))).select("doc_id", "tag", "text")
 
 
+_TREE_NODES = """SELECT r_regionkey AS doc_id, 0 AS pos, CAST(NULL AS BIGINT) AS parent_pos, 0 AS depth, 'r' AS tag, r_regionkey AS own FROM region
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 0, 1, 'n', n_nationkey FROM nation
+UNION ALL SELECT n_regionkey, 1000 + c_custkey, 1 + n_nationkey, 2, 'c', c_custkey % 7 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_regionkey, 1000000000000 + o_orderkey, 1000 + c_custkey, 3, 'o', o_orderkey % 13 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def _tree(spark, sf):
+    """A document for each region: nations, customers and orders inside each other, as nodes."""
+    views = {t: table(spark, sf, t) for t in ("region", "nation", "customer", "orders")}
+    sql = _TREE_NODES
+    for t in views:
+        sql = sql.replace(f" {t}", f" {{{t}}}")
+    return spark.sql(sql, **views).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("parent_pos").cast("bigint").alias("parent_pos"), "depth", "tag", F.col("own").cast("bigint").alias("own"))
+
+
+# From the deepest level up: a level's values from those below it.
+_UP = "".join(
+    f""", u{d} AS (SELECT t.*, (own + 3 * coalesce(s, 0) + coalesce(m, 0)) % 1009 AS value, coalesce(k, 0) AS n_children FROM t
+  LEFT JOIN (SELECT doc_id, parent_pos, sum(value) AS s, max(value) AS m, count(*) AS k FROM {f"u{d + 1}" if d < 3 else "(SELECT *, own AS value FROM t WHERE false)"} GROUP BY ALL) c ON t.doc_id = c.doc_id AND t.pos = c.parent_pos WHERE depth = {d})"""
+    for d in (3, 2, 1, 0)
+)
+
+
+@plan("x1_rewrite_up", f"WITH t AS ({_TREE_NODES}){_UP} " + " UNION ALL ".join(f"SELECT doc_id, pos, depth, CAST(value AS BIGINT) AS value, n_children FROM u{d}" for d in range(4)))
+def _(spark, sf):
+    value = (F.col("own") + 3 * F.coalesce("s", F.lit(0)) + F.coalesce("m", F.lit(0))) % 1009
+    gather = {"s": F.sum("value"), "m": F.max("value"), "k": F.count(F.lit(1))}
+    nodes = _tree(spark, sf).withColumn("value", F.lit(0).cast("bigint"))
+    return N.rewrite_up(nodes, gather, {"value": value, "n_children": F.coalesce("k", F.lit(0))}).select("doc_id", "pos", "depth", "value", "n_children")
+
+
+_DOWN = "".join(
+    f""", d{d} AS (SELECT t.*, {"'r' AS path, own AS value FROM t" if d == 0 else f"p.path || '>' || t.tag AS path, (31 * p.value + t.own) % 1009 AS value FROM t JOIN d{d - 1} p ON t.doc_id = p.doc_id AND t.parent_pos = p.pos"} WHERE t.depth = {d})"""
+    for d in range(4)
+)
+
+
+@plan("x1_rewrite_down", f"WITH t AS ({_TREE_NODES}){_DOWN} " + " UNION ALL ".join(f"SELECT doc_id, pos, path, CAST(value AS BIGINT) AS value FROM d{d}" for d in range(4)))
+def _(spark, sf):
+    path = F.concat_ws(">", "above", "tag")
+    value = F.when(F.col("v").isNull(), F.col("own")).otherwise((31 * F.col("v") + F.col("own")) % 1009)
+    nodes = _tree(spark, sf).withColumns({"path": F.lit(None).cast("string"), "value": F.lit(None).cast("bigint")})
+    return N.rewrite_down(nodes, {"above": F.col("path"), "v": F.col("value")}, {"path": path, "value": value}).select("doc_id", "pos", "path", "value")
+
+
 @plan("f7_raster_size", "SELECT p_partkey AS doc_id, p_size + 1 AS width, p_partkey % 65536 AS height FROM part")
 def _(spark, sf):
     le = lambda c: F.unhex(F.concat(F.substring(F.lpad(F.hex(c), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(c), 4, "0"), 1, 2)))

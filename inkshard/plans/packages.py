@@ -38,7 +38,9 @@ def _zipped(xml: pd.Series, broken: pd.Series) -> pd.Series:
 
 
 def _parts(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("word/document.xml").alias("part"), F.encode(F.expr(_XML), "UTF-8").alias("xml"))
+    """Dealt to all cores, as pages are: the given table is one file."""
+    part = table(spark, sf, "part").repartition(spark.sparkContext.defaultParallelism)
+    return part.select(F.col("p_partkey").alias("doc_id"), F.lit("word/document.xml").alias("part"), F.encode(F.expr(_XML), "UTF-8").alias("xml"))
 
 
 def _nodes(spark, sf):

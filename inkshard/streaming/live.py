@@ -117,12 +117,20 @@ def stream_active(edges: DataFrame, key: str = "worker_id", lateness: str = LATE
     return out.withColumn("delta", F.col("delta").cast("int"))
 
 
-def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str = "plain"):
-    """Render pages as they arrive, each once; every micro-batch owns a folder, so a replay overwrites itself."""
+def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str = "plain", arrived: str | None = None, within: str = "1 day"):
+    """Render pages as they arrive, each doc_id once; every micro-batch owns a folder, so a replay overwrites itself.
+
+    A doc_id that was rendered is kept in state, and a page that comes again under it is left out; of those that
+    come in one micro-batch any one is rendered.  ``arrived`` names a timestamp column, after which an id is
+    forgotten ``within`` that time, so that the state stays bounded; without it ids are kept for good.
+    """
+    ids = ["doc_id"]
+    once = pages.dropDuplicates(ids) if arrived is None else pages.withWatermark(arrived, within).dropDuplicatesWithinWatermark(ids)
+
     def render(batch: DataFrame, batch_id: int) -> None:
         render_pages(batch, dialect).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    return pages.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain(df: DataFrame, out_dir: str, checkpoint: str) -> None:

@@ -1,6 +1,7 @@
 """Streams: the cut into micro-batches and the order of files must not show; nothing stays behind."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,15 @@ def test_one_key_spreads_over_tasks(spark):
     out = L.active_conversions(log).withColumn("task", F.spark_partition_id())
     assert out.select("task").distinct().count() > 2
     assert out.filter("delta = 1").agg(F.max("active")).first()[0] == 2
+
+
+@pytest.mark.parametrize("arrived", [None, "at"])
+def test_a_page_that_comes_again_is_rendered_once(spark, tmp_path, arrived):
+    schema = "doc_id long, html string, at timestamp"
+    page = lambda i: spark.createDataFrame([(i, f"<p>page {i}</p>", datetime(2024, 1, 1))], schema)
+    for ids in ((1, 2), (2, 3), (3, 3)):
+        for i in ids:
+            page(i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        live.stream_convert(stream, f"{tmp_path}/out", f"{tmp_path}/state", arrived=arrived).awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i, f"page {i}") for i in (1, 2, 3)]
