@@ -13,7 +13,7 @@ from inkshard.operators import conversion_log as L
 from inkshard.plans.registry import plan, table
 from inkshard.plans.views import CONV_LOG, REQUEST_LOG, WORKER_LOG, conv_log, request_log, worker_log
 from inkshard.sources.dims import formats_dim, lookup_dim, mime_type, output_name, paper_dim, unsupported_formats
-from inkshard.sources.metrics import exposition_lines, worker_exposition_lines
+from inkshard.sources.metrics import exposition_lines, gauge_lines, worker_exposition_lines
 
 LOG = f"WITH log AS ({CONV_LOG})"
 
@@ -303,6 +303,26 @@ def _(spark, sf):
     return worker_exposition_lines(worker_log(spark, sf))
 
 
+def _gauge(name: str, number: str) -> str:
+    return f"""SELECT '{name}{{worker="' || worker_id || '"}} ' || {number} AS value FROM g"""
+
+
+@plan(
+    "s10_gauge_lines",
+    f"""WITH w AS ({WORKER_LOG}), l AS (SELECT worker_id, max(ts_us) AS now_us, min(ts_us) AS from_us, max(ts_us) FILTER (event = 'start') AS start_us,
+      max(row(ts_us, event_id)) FILTER (ok) AS ok_at, arg_max(cpu_percent, row(ts_us, event_id)) AS cpu, arg_max(memory_mb, row(ts_us, event_id)) AS mb, arg_max(queue_size, row(ts_us, event_id)) AS queue FROM w GROUP BY worker_id),
+    g AS (SELECT l.*, n.failures, n.active FROM l JOIN (SELECT worker_id, count(*) FILTER (NOT ok AND (ok_at IS NULL OR row(ts_us, event_id) > ok_at)) AS failures, count(*) FILTER (ts_us + CAST(floor(duration_ms * 1000) AS BIGINT) > now_us) AS active
+      FROM w JOIN l USING (worker_id) GROUP BY worker_id) n USING (worker_id))
+    {_gauge('worker_uptime_seconds', "printf('%.3f', (now_us - coalesce(start_us, from_us)) / 1000000)")} UNION ALL {_gauge('worker_consecutive_failures', 'failures')}
+    UNION ALL {_gauge('worker_cpu_percent', "printf('%.3f', cpu)")} UNION ALL {_gauge('worker_memory_bytes', 'CAST(floor(mb * 1048576) AS BIGINT)')}
+    UNION ALL {_gauge('worker_queue_size', 'queue')} UNION ALL {_gauge('worker_active_conversions', 'active')}
+    UNION ALL SELECT 'active_conversions ' || CAST(sum(active) AS BIGINT) FROM g UNION ALL SELECT 'uptime_seconds ' || printf('%.3f', (max(now_us) - min(from_us)) / 1000000) FROM g
+    UNION ALL SELECT 'service_info{{version="1"}} 1'""",
+)
+def _(spark, sf):
+    return gauge_lines(worker_log(spark, sf), {"version": "1"})
+
+
 def _family_plan(name: str, columns: list[str], value: str, buckets, keys: list[str]):
     """A histogram over successes, per family and bucket layout."""
     k = ", ".join(keys)

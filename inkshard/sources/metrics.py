@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,5 +91,44 @@ def worker_exposition_lines(log: DataFrame) -> DataFrame:
     return _families(log.withColumn("worker", F.col("worker_id").cast("string")), ["worker"], counters, histograms, gauges)
 
 
+def gauge_lines(log: DataFrame, info: Mapping[str, str] = {}) -> DataFrame:
+    """One row ``value`` for each gauge of the present state, read at the end of a worker log.
+
+    Per worker, at its last row: seconds since its last start (else its first row), failures since its last success,
+    load and waiting requests as that row states them, and conversions in flight: begun and not yet over at that
+    time.  For all: seconds from the first row to the last, conversions in flight over all workers, and ``info`` as
+    labels of a constant line.  A load that is null gives no line, and rows without a worker count nowhere.  An empty log gives the ``info`` line only.
+
+    The last rows are one row for each worker, combined map-side; the log meets them once more to be counted.
+    """
+    at = F.struct("ts_us", "event_id")
+    ok_at = F.max(F.when(F.col("ok"), at)).alias("ok_at")
+    latest = [F.max_by(c, at).alias(c) for c in ("cpu_percent", "memory_mb", "queue_size")]
+    last = log.groupBy("worker_id").agg(F.max("ts_us").alias("now_us"), F.min("ts_us").alias("from_us"), F.max(F.when(F.col("event") == "start", F.col("ts_us"))).alias("start_us"), ok_at, *latest)
+    rows = log.select("worker_id", "ts_us", at.alias("at"), "ok", "duration_ms").join(last, "worker_id")
+    over = F.col("ts_us") + F.floor(F.col("duration_ms") * 1000).cast("bigint")
+    counted = rows.groupBy(*last.columns).agg(
+        F.count_if(~F.col("ok") & F.coalesce(F.col("at") > F.col("ok_at"), F.lit(True))).alias("failures"), F.count_if(over > F.col("now_us")).alias("active")
+    )
+    worker = F.concat(F.lit('{worker="'), F.col("worker_id").cast("string"), F.lit('"}'))
+    seconds = lambda us: F.format_string("%.3f", us / 1_000_000)
+    line = lambda name, labels, number: F.concat(F.lit(name), labels, F.lit(" "), number)
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    mine = [
+        line("worker_uptime_seconds", worker, seconds(F.col("now_us") - F.coalesce("start_us", "from_us"))),
+        line("worker_consecutive_failures", worker, whole("failures")),
+        line("worker_cpu_percent", worker, F.format_string("%.3f", F.when(F.col("cpu_percent").isNotNull(), F.col("cpu_percent")))),
+        line("worker_memory_bytes", worker, F.floor(F.col("memory_mb") * 1048576).cast("bigint").cast("string")),
+        line("worker_queue_size", worker, whole("queue_size")),
+        line("worker_active_conversions", worker, whole("active")),
+    ]
+    mine[2] = F.when(F.col("cpu_percent").isNotNull(), mine[2])
+    total = counted.agg(F.sum("active").alias("active"), F.max("now_us").alias("now_us"), F.min("from_us").alias("from_us")).filter("now_us IS NOT NULL")
+    ours = [line("active_conversions", F.lit(""), whole("active")), line("uptime_seconds", F.lit(""), seconds(F.col("now_us") - F.col("from_us")))]
+    lines = [df.select(F.explode(F.array_compact(F.array(*parts))).alias("value")) for df, parts in ((counted, mine), (total, ours))]
+    labels = ",".join(f'{k}="{v}"' for k, v in sorted(info.items()))
+    return lines[0].unionByName(lines[1]).unionByName(log.sparkSession.createDataFrame([(f"service_info{{{labels}}} 1",)] if info else [], "value string"))
+
+
 def write_exposition(log: DataFrame, path: str) -> None:
     exposition_lines(log).write.mode("overwrite").text(path)
