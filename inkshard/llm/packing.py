@@ -236,7 +236,10 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = SEQUE
 
 
 def sequences(placed: DataFrame) -> DataFrame:
-    """``(sequence_id, n_ids, ids)`` from pieces packed with ``keep_ids``; a sequence is a bounded number of ids."""
+    """``(sequence_id, n_ids, ids)`` from pieces packed with ``keep_ids``; a sequence is a bounded number of ids.
+
+    Other columns are ignored; no pieces give no sequences.  Every piece has its own place, so there are no ties.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_ids"), joined.alias("ids"))

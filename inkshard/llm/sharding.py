@@ -80,6 +80,10 @@ def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = 24) -> None:
-    """Write the documents, all columns, one folder for each shard (``shard=0`` ...)."""
+    """Write the documents, all columns, one folder for each shard (``shard=0`` ...).
+
+    A column called shard gives way to the number of the shard.  Null doc_ids share a shard, repeated rows are written as often as they stand
+    there, and an empty table writes no shard.
+    """
     place = jump_shards(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), shards)
     documents.withColumn("shard", place["shard"]).write.mode("overwrite").partitionBy("shard").parquet(path)

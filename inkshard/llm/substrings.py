@@ -1,4 +1,4 @@
-"""Passages that rendered documents repeat, by prefix-partitioned suffix trees."""
+"""Passages that rendered documents repeat, by suffix trees over groups of windows that share their least 16-word hash."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from inkshard.llm.common import fresh, larger, saved, shuffle_parts, small_batches, text_key
 
 WINDOW = 50
-#: Words of the shortest prefix that suffixes are grouped by.
+#: Words of the sequences whose least hash in a window groups it.
 PREFIX = 16
-#: Different suffix runs in one subtree; a prefix with more is lengthened to the whole window.
+#: Different runs of suffixes in one subtree; a group with more goes by hashes of whole windows.
 SUBTREE = 2000
 #: Words whose hashes a worker remembers; words of a text worked on at a time.
 REMEMBERED, BLOCK = 300_000, 1 << 19
@@ -274,12 +274,12 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW, subtree: int = SUBT
     document and do not repeat each other; rows with a null doc_id lose nothing and are no one's
     example.  Columns that bear the names of new ones are replaced, all others kept.
 
-    Suffixes are partitioned by prefixes of 16 words and more (``suffix_runs``).  Only prefixes that
-    two documents share are followed up.  Runs of suffixes with the same words are one leaf, so a
+    A window belongs to the group of its least 16-word hash, wherever in it that stands (``suffix_runs``).
+    Only groups that two documents share are followed up.  Runs of suffixes with the same 64-bit leaf hash are one leaf, so a
     passage that a third of all documents hold shrinks to a row for each task, and all but its smallest
-    document are settled.  Different leaves of a prefix meet in a subtree of at most ``subtree`` leaves,
-    whose internal nodes of depth ``window`` are the repeats.  Prefixes with more leaves are
-    lengthened to whole windows, where a node needs no more than its smallest document, again
+    document are settled.  Different leaves of a group meet in a subtree of at most ``subtree`` leaves,
+    whose internal nodes of depth ``window`` are the repeats.  Groups with more leaves go by 128-bit
+    hashes of whole windows, where a node needs no more than its smallest document, again
     combined map-side.  Whole texts are shuffled by document and meet their runs and spans there.
     """
     key, start = fresh(documents, "_text_key", "_spans")
