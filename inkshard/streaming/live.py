@@ -7,13 +7,14 @@ show in the query progress as dropped by watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from inkshard.functions import constants as K
 from inkshard.operators.conversion_log import ROUTE, bucket_counts, bucket_quantile
@@ -21,6 +22,9 @@ from inkshard.operators.render import render_pages
 
 LATENESS = "10 minutes"
 
+# Seconds of event time that wait together under one key.
+SLOT_S = 600
+
 
 def _windowed(stream: DataFrame, keys: Sequence[str], length: str, slide: str | None, lateness: str):
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", length, slide), *keys)
@@ -48,73 +52,148 @@ def stream_histogram(stream: DataFrame, value: str, buckets: Sequence[float] = K
     return _flat(wide.select("window", F.element_at("c", -1).alias("n"), bucket_quantile(0.95, "c", buckets).alias("p95")))
 
 
-def _in_order(rows: DataFrame, key: str, at: str, order: Sequence[str], step: Callable, start: int, result: str, lateness: str) -> DataFrame:
-    """Fold the rows of each key in event-time order and emit what ``step`` makes of each.
+class _Slot(StatefulProcessor):
+    """First step: the rows of one (key, slot) of time wait in a list that is only appended to.
 
-    Rows wait in the state until the watermark has passed them, so neither the order of files nor the
-    cut into micro-batches shows in the result.  ``step(value, row)`` gives the next value and the output row
-    or None; ``order`` are bigint columns, the first in microseconds.  A key whose value is back at ``start``
-    and which has nothing waiting is forgotten; nothing else is.  Rows with a null in ``order`` are
-    ignored, see ``closing``.
+    When the watermark has passed the slot they are sorted once and handed to ``close``, which
+    makes the output rows, columns in the order of ``names``; then the list goes.
     """
-    columns = list(order)
-
-    def follow(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, *held = state.get if state.exists else (start, *([] for _ in columns))
-        waiting = [np.array([int(x) for x in h], dtype=np.int64) for h in held]
-        for pdf in batches:
-            pdf = pdf.dropna(subset=columns)
-            waiting = [np.concatenate([w, pdf[c].to_numpy(np.int64)]) for w, c in zip(waiting, columns, strict=True)]
-        passed = state.getCurrentWatermarkMs() * 1000
-        ripe = waiting[0] <= passed
-        ready = [w[ripe] for w in waiting]
-        out = []
-        for row in np.lexsort(ready[::-1]):
-            value, made = step(value, tuple(int(c[row]) for c in ready))
-            if made is not None:
-                out.append((k[0], *made))
-        rest = [w[~ripe] for w in waiting]
-        if value == start and not len(rest[0]):
-            if state.exists:
-                state.remove()
+
+    def __init__(self, columns: Sequence[str], order: Sequence[str], names: Sequence[str], width_us: int, close: Callable[[np.ndarray], Iterator[tuple]]):
+        self.columns, self.order, self.names, self.width_us, self.close_slot = list(columns), list(order), list(names), width_us, close
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} bigint" for c in self.columns))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.waiting.exists()
+        for pdf in rows:
+            pdf = pdf[self.columns].dropna()
+            if len(pdf):
+                self.waiting.appendList([tuple(int(x) for x in row) for row in pdf.itertuples(index=False)])
+                if not known:
+                    self.handle.registerTimer((int(key[1]) + 1) * self.width_us // 1000)
+                    known = True
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = np.array([list(r) for r in self.waiting.get()], dtype=np.int64).reshape(-1, len(self.columns))
+        self.waiting.clear()
+        held = held[np.lexsort([held[:, self.columns.index(c)] for c in reversed(self.order)])]
+        until = pd.Timestamp((int(key[1]) + 1) * self.width_us, unit="us", tz="UTC")
+        yield pd.DataFrame([(key[0], key[1], until, *made) for made in self.close_slot(held)], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+class _Compose(StatefulProcessor):
+    """Second step: one number of state for each key; ``step(value, row)`` takes the slots' summaries in order of time."""
+
+    def __init__(self, key: str, names: Sequence[str], step: Callable[[int, tuple], tuple[int, list[tuple]]]):
+        self.key, self.names, self.step = key, list(names), step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "value bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A micro-batch brings all slots that its watermark has passed, later ones than any before.
+        value, out = (int(self.value.get()[0]) if self.value.exists() else 0), []
+        for row in pd.concat(list(rows)).sort_values("slot").itertuples():
+            value, made = self.step(value, row)
+            out.extend((key[0], *m) for m in made)
+        if value:
+            self.value.update((value,))
         else:
-            state.update((value, *(r.tolist() for r in rest)))
-            if len(rest[0]):
-                state.setTimeoutTimestamp(max(int(rest[0].min()) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=[key, *[c.split()[0] for c in result.split(", ")]])
+            self.value.clear()
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _slots(rows: DataFrame, key: str, at: str, columns: Sequence[str], order: Sequence[str], result: str, close: Callable, slot_s: int, lateness: str) -> DataFrame:
+    """``close`` over each (key, slot): a key's rows are in as many tasks as it has open slots.
+
+    ``columns`` are bigint; the first of ``order``, in microseconds and no earlier than ``at``, names the slot.
+    Rows with a null in ``columns`` are ignored, see ``closing``.
+    """
+    width = slot_s * 1_000_000
+    out = f"{key} bigint, slot bigint, until timestamp, {result}"
+    rows = rows.withWatermark(at, lateness).withColumn("slot", F.floor(F.col(order[0]) / width).cast("bigint"))
+    return rows.groupBy(key, "slot").transformWithStateInPandas(_Slot(columns, order, _names(out), width, close), out, "append", "EventTime", eventTimeColumnName="until")
 
-    held = ", ".join(f"{c} array<bigint>" for c in columns)
-    rows = rows.withWatermark(at, lateness)
-    return rows.groupBy(key).applyInPandasWithState(follow, f"{key} bigint, {result}", f"value bigint, {held}", "append", GroupStateTimeout.EventTimeTimeout)
 
+def _composed(slots: DataFrame, key: str, result: str, step: Callable, timed: bool) -> DataFrame:
+    out = f"{key} bigint, {result}"
+    return slots.groupBy(key).transformWithStateInPandas(_Compose(key, _names(out), step), out, "append", "EventTime", eventTimeColumnName="until" if timed else "")
 
-def stream_failure_streak(stream: DataFrame, key: str = "worker_id", alarm_at: int = 3, lateness: str = LATENESS) -> DataFrame:
-    """An alarm row whenever a worker's streak of failures reaches ``alarm_at``."""
 
-    def step(streak: int, row: tuple) -> tuple[int, tuple | None]:
-        ts_us, event_id, ok = row
-        streak = 0 if ok else streak + 1
-        return streak, (event_id, ts_us) if streak == alarm_at else None
+def stream_failure_streak(stream: DataFrame, key: str = "worker_id", alarm_at: int = 3, lateness: str = LATENESS, slot_s: int = SLOT_S) -> DataFrame:
+    """An alarm row whenever a worker's streak of failures reaches ``alarm_at``.
+
+    Rows wait in slots of ``slot_s`` seconds of event time until the watermark has passed the slot, so neither
+    the order of files nor the cut into micro-batches shows in the result, nor does the slot.  What a slot says about
+    its worker is one row: the failures before its first success, of which only the first ``alarm_at``
+    can be an alarm of a streak from earlier slots, those after its last, and the alarms in between, which are its own.
+    """
+
+    def close(held: np.ndarray) -> Iterator[tuple]:
+        ok = held[:, 2] != 0
+        n, first = len(ok), int(ok.argmax()) if ok.any() else len(ok)
+        at = np.arange(n)
+        streak = at - np.maximum.accumulate(np.where(ok, at, -1))
+        alarms = held[(streak == alarm_at) & ~ok & (at > first)]
+        opening = held[:min(first, alarm_at)]
+        tail = int(streak[-1]) if first < n else n
+        yield first, tail, first < n, opening[:, 1].tolist(), opening[:, 0].tolist(), alarms[:, 1].tolist(), alarms[:, 0].tolist()
+
+    def step(streak: int, slot) -> tuple[int, list[tuple]]:
+        need, made = alarm_at - streak, []
+        if 0 < need <= slot.opening:
+            made.append((int(slot.opening_ids[need - 1]), int(slot.opening_us[need - 1])))
+        made.extend((int(i), int(t)) for i, t in zip(slot.alarm_ids, slot.alarm_us, strict=True))
+        return (int(slot.tail) if slot.reset else streak + int(slot.tail)), made
 
     rows = stream.select(key, "event_id", "ts_us", F.col("ok").cast("bigint").alias("ok"), "ts")
-    return _in_order(rows, key, "ts", ["ts_us", "event_id", "ok"], step, 0, "event_id bigint, ts_us bigint", lateness)
+    said = "opening bigint, tail bigint, reset boolean, opening_ids array<bigint>, opening_us array<bigint>, alarm_ids array<bigint>, alarm_us array<bigint>"
+    slots = _slots(rows, key, "ts", ["ts_us", "event_id", "ok"], ["ts_us", "event_id"], said, close, slot_s, lateness)
+    return _composed(slots, key, "event_id bigint, ts_us bigint", step, False)
 
 
-def stream_active(edges: DataFrame, key: str = "worker_id", lateness: str = LATENESS) -> DataFrame:
+def stream_active(edges: DataFrame, key: str = "worker_id", lateness: str = LATENESS, slot_s: int = SLOT_S) -> DataFrame:
     """Conversions in flight per worker after each edge ``(key, event_id, t_us, delta, seen)``, never below zero.
 
     ``seen`` is when the stream learns of an edge, which for an end is the start of its conversion;
-    edges count at ``t_us`` all the same.
+    edges count at ``t_us`` all the same.  Edges wait in slots of ``slot_s`` seconds; a slot tells its worker
+    only its sum and its lowest prefix, gets the level it starts from, and its edges are joined with that.  So a
+    worker's edges stay in as many tasks as it has slots, and one number for each slot meets in the worker's task.
     """
 
-    def step(level: int, row: tuple) -> tuple[int, tuple]:
-        t_us, delta, event_id = row
-        level = max(0, level + delta)
-        return level, (event_id, t_us, delta, level)
+    def close(held: np.ndarray) -> Iterator[tuple]:
+        sums = held[:, 1].cumsum()
+        lows = np.minimum.accumulate(sums)
+        yield from zip(held[:, 2].tolist(), held[:, 0].tolist(), held[:, 1].tolist(), sums.tolist(), lows.tolist(), strict=True)
+
+    def summed(held: np.ndarray) -> Iterator[tuple]:
+        sums = held[:, 1].cumsum()
+        yield int(sums[-1]), int(sums.min())
+
+    def step(level: int, slot) -> tuple[int, list[tuple]]:
+        return level + int(slot.total) - min(0, level + int(slot.lowest)), [(slot.slot, slot.until, level)]
 
     rows = edges.select(key, "event_id", "t_us", F.col("delta").cast("bigint").alias("delta"), "seen")
-    out = _in_order(rows, key, "seen", ["t_us", "delta", "event_id"], step, 0, "event_id bigint, t_us bigint, delta bigint, active bigint", lateness)
-    return out.withColumn("delta", F.col("delta").cast("int"))
+    slots = lambda result, how: _slots(rows, key, "seen", ["t_us", "delta", "event_id"], ["t_us", "delta", "event_id"], result, how, slot_s, lateness)
+    each = slots("event_id bigint, t_us bigint, delta bigint, total bigint, low bigint", close)
+    starts = _composed(slots("total bigint, lowest bigint", summed), key, "slot bigint, until timestamp, level bigint", step, True)
+    active = F.col("level") + F.col("total") - F.least(F.lit(0), F.col("level") + F.col("low"))
+    same = F.col("e.slot").eqNullSafe(F.col("s.slot")) & F.col(f"e.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("e.until") == F.col("s.until"))
+    return each.alias("e").join(starts.alias("s"), same).select(f"e.{key}", "event_id", "t_us", F.col("delta").cast("int").alias("delta"), active.alias("active"))
 
 
 def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str = "plain", arrived: str | None = None, within: str = "1 day"):
@@ -133,10 +212,27 @@ def stream_convert(pages: DataFrame, out_dir: str, checkpoint: str, dialect: str
     return once.writeStream.foreachBatch(render).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Lists and timers in state need the RocksDB store; a query keeps what the session named when it started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drain(df: DataFrame, out_dir: str, checkpoint: str) -> None:
     """Process what is there, append it to a folder and stop."""
     query = df.writeStream.format("parquet").outputMode("append").option("path", out_dir).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
+    with _state_store(df.sparkSession):
+        running = query.trigger(availableNow=True).start()
+    running.awaitTermination()
 
 
 def closable(stream: DataFrame, folder: str) -> DataFrame:
