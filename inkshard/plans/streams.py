@@ -64,7 +64,7 @@ def _(spark, sf):
     p AS (SELECT *, row_number() OVER (PARTITION BY worker_id, streak ORDER BY ts_us, event_id) AS p FROM s WHERE NOT ok) SELECT worker_id, event_id, ts_us FROM p WHERE p = 3""",
 )
 def _(spark, sf):
-    return _drained(spark, sf, live.stream_failure_streak)
+    return _drained(spark, sf, lambda log: live.stream_failure_streak(log, slot_s=6 * 3600))
 
 
 @plan("r5_stream_convert", _render_sql("plain"))
@@ -81,7 +81,7 @@ _BY_WORKER = """e AS (SELECT worker_id, event_id, ts_us AS t_us, 1 AS delta FROM
 
 @plan("r6_stream_active", f"{LOG}, {_BY_WORKER} SELECT worker_id, event_id, t_us, delta, CAST(s - least(0, min(s) OVER (PARTITION BY worker_id ORDER BY t_us, delta, event_id)) AS BIGINT) AS active FROM s")
 def _(spark, sf):
-    return _drained(spark, sf, lambda log: live.stream_active(live.edges_of(log, F.col("busy_s"))))
+    return _drained(spark, sf, lambda log: live.stream_active(live.edges_of(log, F.col("busy_s")), slot_s=6 * 3600))
 
 
 @plan("r6_active_by_worker", f"{LOG}, {_BY_WORKER} SELECT worker_id, event_id, t_us, delta, CAST(s - least(0, min(s) OVER (PARTITION BY worker_id ORDER BY t_us, delta, event_id)) AS BIGINT) AS active FROM s")

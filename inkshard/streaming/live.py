@@ -1,11 +1,12 @@
 """The log operators over streams.
 
-Streams need ``ts TIMESTAMP``.  Rows that come later than the watermark are dropped and
-show in the query progress as dropped by watermark.
+Streams need ``ts TIMESTAMP``.  Rows that come later than the watermark are dropped and counted:
+``drain`` writes their number to a table if it is given a folder, ``late_rows`` reads it back.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from inkshard.functions import constants as K
 from inkshard.operators.conversion_log import ROUTE, bucket_counts, bucket_quantile
@@ -23,7 +24,7 @@ from inkshard.operators.render import render_pages
 LATENESS = "10 minutes"
 
 # Seconds of event time that wait together under one key.
-SLOT_S = 600
+SLOT_S = 3600
 
 
 def _windowed(stream: DataFrame, keys: Sequence[str], length: str, slide: str | None, lateness: str):
@@ -227,12 +228,61 @@ def _state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def drain(df: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """Process what is there, append it to a folder and stop."""
+LATE = "query string, batch bigint, operator string, n_late bigint"
+
+
+class _LateRows(StreamingQueryListener):
+    """Writes what each micro-batch of one query dropped as late, a folder for each, so that a replay overwrites itself."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.run, self.done = spark, folder, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = [(str(p.id), int(p.batchId), o.operatorName, int(o.numRowsDroppedByWatermark)) for o in p.stateOperators if o.numRowsDroppedByWatermark]
+        if late and (self.run is None or str(p.runId) == self.run):
+            self.spark.createDataFrame(late, LATE).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{p.id}-{p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run is None or str(event.runId) == self.run:
+            self.done.set()
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(query, batch, operator, n_late)`` as written by ``drain``: a row for each operator and micro-batch that dropped any.
+
+    Stateful steps count rows; windowed counters count what reaches their state, rows of one task and window that
+    were combined before being one.
+    """
+    return spark.read.schema(LATE).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def drain(df: DataFrame, out_dir: str, checkpoint: str, late_dir: str | None = None) -> None:
+    """Process what is there, append it to a folder and stop; ``late_dir`` takes the counts of late rows."""
+    spark = df.sparkSession
     query = df.writeStream.format("parquet").outputMode("append").option("path", out_dir).option("checkpointLocation", checkpoint)
-    with _state_store(df.sparkSession):
-        running = query.trigger(availableNow=True).start()
-    running.awaitTermination()
+    late = None
+    if late_dir is not None:
+        spark.createDataFrame([], LATE).write.mode("ignore").parquet(late_dir)
+        late = _LateRows(spark, late_dir)
+        spark.streams.addListener(late)
+    try:
+        with _state_store(spark):
+            running = query.trigger(availableNow=True).start()
+        if late is not None:
+            late.run = str(running.runId)
+        running.awaitTermination()
+        if late is not None:
+            late.done.wait(60)
+    finally:
+        if late is not None:
+            spark.streams.removeListener(late)
 
 
 def closable(stream: DataFrame, folder: str) -> DataFrame:

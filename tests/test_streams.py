@@ -38,14 +38,14 @@ OPERATORS = {
     "counters": lambda log: live.stream_route_counters(log, "10 minutes", "3 hours"),
     "rate": lambda log: live.stream_rate(log, "20 minutes", "10 minutes", 1200, "3 hours"),
     "histogram": lambda log: live.stream_histogram(log, "busy_s", every="15 minutes", lateness="3 hours"),
-    "streak": lambda log: live.stream_failure_streak(log, lateness="3 hours"),
-    "active": lambda log: live.stream_active(live.edges_of(log, F.col("busy_s")), lateness="3 hours"),
+    "streak": lambda log: live.stream_failure_streak(log, lateness="3 hours", slot_s=1200),
+    "active": lambda log: live.stream_active(live.edges_of(log, F.col("busy_s")), lateness="3 hours", slot_s=1200),
 }
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_micro_batches_do_not_show(spark, events, tmp_path, name):
-    one, all_ = (drained(spark, events, str(tmp_path / str(n)), OPERATORS[name], n) for n in (1, 100))
+    one, all_ = (drained(spark, events, str(tmp_path / str(n)), OPERATORS[name], n) for n in (2, 100))
     assert one == all_ and one
 
 
@@ -77,3 +77,28 @@ def test_a_page_that_comes_again_is_rendered_once(spark, tmp_path, arrived):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         live.stream_convert(stream, f"{tmp_path}/out", f"{tmp_path}/state", arrived=arrived).awaitTermination()
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i, f"page {i}") for i in (1, 2, 3)]
+
+
+def test_one_worker_of_a_stream_spreads_over_tasks(spark, tmp_path):
+    rows = [(i, T0 + i * 60_000_000, 1, 90.0) for i in range(120)]
+    log = spark.createDataFrame(rows, "event_id long, ts_us long, worker_id long, busy_s double").withColumn("ts", F.timestamp_micros("ts_us"))
+    log.write.parquet(f"{tmp_path}/log")
+    make = lambda s: live.stream_active(live.edges_of(s, F.col("busy_s")), slot_s=600).withColumn("task", F.spark_partition_id())
+    drained(spark, f"{tmp_path}/log", f"{tmp_path}/x", make, 100)
+    out = spark.read.parquet(f"{tmp_path}/x/out")
+    assert out.count() == 240 and out.select("task").distinct().count() > 2
+    assert out.filter("delta = 1").agg(F.max("active")).first()[0] == 2
+
+
+def test_late_rows_are_counted_in_a_table(spark, tmp_path):
+    schema = "event_id long, ts_us long, worker_id long, ok boolean"
+    minutes = [[0, 1, 2, 60], [61, 120], [3, 4, 121]]
+    for i, batch in enumerate(minutes):
+        rows = [(10 * i + j, T0 + m * 60_000_000, 1, False) for j, m in enumerate(batch)]
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("ts_us")).coalesce(1)
+        df.write.parquet(f"{tmp_path}/log{i}")
+        stream = live.read_table_stream(spark, f"{tmp_path}/log*")
+        live.drain(live.stream_failure_streak(stream, lateness="10 minutes"), f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/late")
+        late = live.late_rows(spark, f"{tmp_path}/late").collect()
+        assert sum(r.n_late for r in late) == (2 if i == 2 else 0)
+    assert {r.operator for r in late} == {"transformWithStateInPandasExec"}
