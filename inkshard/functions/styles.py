@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from inkshard.functions import constants as K
 from inkshard.functions.text import col, escape_xml, let, lookup
@@ -211,74 +207,96 @@ def normalize_first_paragraph(style: Column | str) -> Column:
 
 # Marks around coloured math in page source.
 _MARK_OPEN, _MARK_CLOSE, _MARK_END = "@@PMC:", "@@", "@@PMCEND@@"
-_TEX_TOKEN = re.compile(r"\\[A-Za-z]+|\\.|[{}]|[^\\{}]+|\\$", re.DOTALL)
-_MODEL = re.compile(r"\s*(?:\[([^\]]*)\]\s*)?")
-
-
-def _resolved(model: str | None, value: str) -> str | None:
-    digits = value.removeprefix("#")
-    if (model or "").lower() not in ("", "html"):
-        return None
-    if re.fullmatch(r"[0-9A-Fa-f]{6}", digits):
-        return digits.upper()
-    if re.fullmatch(r"[0-9A-Fa-f]{3}", digits):
-        return "".join(d * 2 for d in digits).upper()
-    return None if model else K.MATH_COLORS.get(value.lower())
-
-
-def _mark_colors(tex: str) -> str:
-    tokens, closes, stack = _TEX_TOKEN.findall(tex), {}, []
-    for i, t in enumerate(tokens):
-        if t == "{":
-            stack.append(i)
-        elif t == "}" and stack:
-            closes[stack.pop()] = i
-
-    def gap(i: int, allow_model: bool) -> tuple[int, str | None] | None:
-        """Step over white space, and a model in brackets, in front of a brace."""
-        if i < len(tokens) and tokens[i][0] not in "\\{}":
-            m = _MODEL.fullmatch(tokens[i])
-            if m is None or (m[1] is not None and not allow_model):
-                return None
-            return i + 1, m[1]
-        return i, None
-
-    def render(lo: int, hi: int) -> str:
-        out, i = [], lo
-        while i < hi:
-            step = colored(i) if tokens[i] in ("\\color", "\\textcolor") else None
-            text, i = step if step else (tokens[i], i + 1)
-            out.append(text)
-        return "".join(out)
-
-    def colored(i: int) -> tuple[str, int] | None:
-        before = gap(i + 1, True)
-        if before is None or before[0] not in closes:
-            return None
-        color_end = closes[before[0]]
-        between = gap(color_end + 1, False)
-        if between is None or between[0] not in closes:
-            return None
-        end = closes[between[0]]
-        color = _resolved((before[1] or "").strip(), "".join(tokens[before[0] + 1 : color_end]).strip())
-        inner = render(between[0] + 1, end)
-        if color:
-            inner = f"\\text{{{_MARK_OPEN}{color}{_MARK_CLOSE}}}{inner}\\text{{{_MARK_END}}}"
-        return inner, end + 1
-
-    return render(0, len(tokens))
-
-
-@F.pandas_udf(StringType())
-def _math_colors(tex: pd.Series) -> pd.Series:
-    return tex.map(_mark_colors, na_action="ignore")
+# A command, an escaped character, a brace, or a run of anything else.
+_TEX_TOKEN = r"(?s)\\[A-Za-z]+|\\.|[{}]|[^\\{}]+|\\$"
+_BLANK, _MODEL = r"(?U)^\s*$", r"(?U)^\s*\[([^\]]*)\]\s*$"
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _resolved(model: Column, value: Column) -> Column:
+    """Six upper-case digits: of a hex value, doubled if short, or of a name where no model is given."""
+    digits = F.regexp_replace(value, "^#", "")
+    hexes = F.when(digits.rlike("^[0-9A-Fa-f]{6}$"), F.upper(digits)).when(digits.rlike("^[0-9A-Fa-f]{3}$"), F.upper(F.regexp_replace(digits, "(.)", "$1$1")))
+    named = F.when(model == "", lookup(F.lower(value), K.MATH_COLORS))
+    return F.when(F.lower(model).isin("", "html"), F.coalesce(hexes, named))
+
+
+def _brace_ends(tokens: Column) -> Column:
+    """For each token the index of the brace that closes it, -1 where none does; a stack of open braces runs along."""
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<at:int,end:int>>").alias("pairs"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.size(s["open"])
+        top = F.when(depth > 0, F.element_at(s["open"], F.greatest(depth, F.lit(1))))
+        closing = (t["t"] == "}") & (depth > 0)
+        opened = F.when(t["t"] == "{", F.concat(s["open"], F.array(t["i"]))).when(closing, F.slice(s["open"], 1, depth - 1)).otherwise(s["open"])
+        pairs = F.when(closing, F.concat(s["pairs"], F.array(F.struct(top.alias("at"), t["i"].alias("end"))))).otherwise(s["pairs"])
+        return F.struct(opened.alias("open"), pairs.alias("pairs"))
+
+    braces = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda t: t["t"].isin("{", "}"))
+    pairs = F.aggregate(braces, start, step)["pairs"]
+    return let(F.map_from_entries(pairs), lambda ends: F.transform(tokens, lambda _, i: F.coalesce(F.try_element_at(ends, i), F.lit(-1))))
+
+
+def _color_commands(tokens: Column, ends: Column) -> Column:
+    """For each token null, or, if a command with both arguments starts there: where its text begins and ends, and its colour."""
+    token, end = (lambda i: F.get(tokens, i)), (lambda i: F.coalesce(F.get(ends, i), F.lit(-1)))
+    plain = lambda i: ~F.substring(token(i), 1, 1).isin("\\", "{", "}")
+
+    def at(t: Column, i: Column) -> Column:
+        # Between command and brace: nothing, white space, or a model in brackets.
+        model = F.when(plain(i + 1) & token(i + 1).rlike(_MODEL), _trimmed(F.regexp_extract(token(i + 1), _MODEL, 1))).otherwise("")
+        first = F.when(plain(i + 1), F.when(token(i + 1).rlike(_BLANK) | token(i + 1).rlike(_MODEL), i + 2)).otherwise(i + 1)
+
+        def behind(arg: Column) -> Column:
+            past = end(arg["from"]) + 1
+            second = F.when(plain(past), F.when(token(past).rlike(_BLANK), past + 1)).otherwise(past)
+            named = _trimmed(F.array_join(F.slice(tokens, arg["from"] + 2, past - arg["from"] - 2), ""))
+            made = lambda two: F.when(end(two) >= 0, F.struct((two + 1).alias("from"), end(two).alias("until"), _resolved(arg["model"], named).alias("color")))
+            return F.when(end(arg["from"]) >= 0, let(second, made))
+
+        return F.when(t.isin("\\color", "\\textcolor"), let(F.struct(first.alias("from"), model.alias("model")), behind))
+
+    return F.transform(tokens, at)
+
+
+def _marked(tokens: Column, commands: Column) -> Column:
+    """Tokens with commands replaced: arguments skipped, a mark where a coloured text begins and one where it ends."""
+    state = "struct<out:array<string>,skip:int,open:array<struct<until:int,color:string>>>"
+    start = F.struct(F.array().alias("out"), F.lit(0).alias("skip"), F.array().alias("open")).cast(state)
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.size(s["open"])
+        top = F.when(depth > 0, F.element_at(s["open"], F.greatest(depth, F.lit(1))))
+        i, c = t["i"], t["c"]
+        start_mark = F.concat(F.lit(f"\\text{{{_MARK_OPEN}"), c["color"], F.lit(f"{_MARK_CLOSE}}}"))
+        end_mark = F.when(top["color"].isNotNull(), f"\\text{{{_MARK_END}}}").otherwise("")
+        closes = (depth > 0) & (i == top["until"])
+        made = lambda out, skip, open_: F.struct(F.concat(s["out"], F.array(out)).alias("out"), skip.alias("skip"), open_.alias("open")).cast(state)
+        return (
+            F.when(i < s["skip"], s)
+            .when(closes, made(end_mark, s["skip"], F.slice(s["open"], 1, depth - 1)))
+            .when(c.isNotNull(), made(F.coalesce(start_mark, F.lit("")), c["from"], F.concat(s["open"], F.array(F.struct(c["until"], c["color"]).cast("struct<until:int,color:string>")))))
+            .otherwise(made(t["t"], s["skip"], s["open"]))
+        )
+
+    numbered = F.transform(F.arrays_zip(tokens.alias("t"), commands.alias("c")), lambda t, i: F.struct(t["t"].alias("t"), t["c"].alias("c"), i.alias("i")))
+    return F.array_join(F.aggregate(numbered, start, step)["out"], "")
+
+
+def _tokens_marked(tex: Column) -> Column:
+    parsed = lambda tokens: let(_brace_ends(tokens), lambda ends: let(_color_commands(tokens, ends), lambda commands: _marked(tokens, commands)))
+    return let(F.regexp_extract_all(tex, F.lit(_TEX_TOKEN), 0), parsed)
 
 
 def math_color_tokens(tex: Column | str) -> Column:
     """Two-argument colour commands as start and end marks; other forms stay as they are.
 
-    Braces nest, which regular expressions cannot follow, so formulas that name a colour
-    command go through Python; all others stay in the JVM.
+    Braces nest, which regular expressions cannot follow: folds over the formula's tokens with a
+    stack array match them, however deep, in the JVM.  Formulas that name no colour command skip that.
     """
     t = col(tex)
-    return F.when(t.contains("\\color") | t.contains("\\textcolor"), _math_colors(t)).otherwise(t)
+    return F.when(t.contains("\\color") | t.contains("\\textcolor"), _tokens_marked(t)).otherwise(t)
