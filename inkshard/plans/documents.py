@@ -17,6 +17,7 @@ from inkshard.plans.views import MATH_SPANS, math_spans, pages
 from inkshard.session import shared_dir
 from inkshard.sources.ast_json import read_ast_json, write_ast_json
 from inkshard.sources.corpus import decode_body, read_pages, write_rendered
+from inkshard.sources.files import read_documents, write_documents
 from inkshard.sources.html import html_nodes, html_tokens, register_html_nodes
 
 # Tokens told apart on their own terms: no possessive parts, whole elements first, quoted values by alternation.
@@ -157,6 +158,20 @@ def _(spark, sf):
     return spark.read.parquet(folder).select("doc_id", F.col("target_format").cast("string").alias("target_format"), "file_name", "mime_type", "text")
 
 
+@plan(
+    "s7_document_files",
+    f"""WITH p AS (FROM ({_render_sql("plain")})), m AS (FROM ({_render_sql("markdown")})), r AS (SELECT *, 'plain' AS target_format, 'txt' AS e FROM p UNION ALL SELECT *, 'markdown', 'md' FROM m)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, target_format, 'converted-document.' || e AS file_name, text FROM r WHERE text <> ''""",
+)
+def _(spark, sf):
+    """Rendered, one file written for each page and target, and read back from the files."""
+    docs = pages(spark, sf)
+    plain, markdown = (render_pages(docs, d).withColumn("target_format", F.lit(d)) for d in ("plain", "markdown"))
+    folder = f"{shared_dir(spark)}/{uuid4().hex}"
+    write_documents(plain.unionByName(markdown), folder)
+    return read_documents(spark, folder)
+
+
 @plan(
     "s11_write_ast_json",
     """WITH b AS (SELECT conv_id, turn, role, text FROM conversations)

@@ -11,7 +11,7 @@ from inkshard.sources.dims import mime_type, output_name
 
 
 def read_corpus(spark: SparkSession, path: str, source_format: str) -> DataFrame:
-    """``(doc_id, body)``: text for text formats, bytes for everything else; one row per file."""
+    """``(doc_id, body)``: text for text formats, bytes for everything else; one row per file, none for files without bytes."""
     if source_format in K.TEXT_SOURCES:
         files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     else:
