@@ -146,6 +146,62 @@ def _(spark, sf):
     return N.rewrite_down(nodes, {"above": F.col("path"), "v": F.col("value")}, {"path": path, "value": value}).select("doc_id", "pos", "path", "value")
 
 
+# Pages with markup of their own kind put on elements they have: every plain <p> gets a style and a caption span, every
+# <br> an image and a drawing in mixed case, every navigation list a list around it.
+_STYLED_P = "<p style=\"margin-left: 40px; text-align: right\"><span class=\"x rte-caption\">c</span>"
+_DRAWN = f"<br><img src=\"{GIF}\"><SVG width=\"10\" height=\"20\"><g><svg></svg></g></SVG>"
+_RICH = f"replace(replace(replace(html, '<p>', '{_STYLED_P}'), '<br>', '{_DRAWN}'), '<nav><ul>', '<nav><ul><ul>')"
+# What of a page the parser reads as markup.
+_READ = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+
+
+def _rich_pages(spark, sf):
+    return pages(spark, sf).selectExpr("doc_id", f"{_RICH} AS html")
+
+
+def _rich_nodes(spark, sf):
+    return html_nodes(_rich_pages(spark, sf))
+
+
+def _count_of(markup):
+    """Rows of a page with that markup, as many as it has."""
+    return f"(SELECT page_id AS doc_id, unnest(range(len(regexp_extract_all({_READ}, '{markup}')))) FROM pages)"
+
+
+@plan("p11_is_caption_of_pages", f"SELECT doc_id, 'p' AS tag FROM {_count_of('<p>')}")
+def _(spark, sf):
+    nodes = _rich_nodes(spark, sf)
+    return N.is_caption(nodes.filter("tag = 'p'"), nodes).select("doc_id", "tag")
+
+
+@plan("p12_formatted_paragraphs_of_pages", f"SELECT doc_id, 600 AS twips, 'right' AS align FROM {_count_of('<p>')}")
+def _(spark, sf):
+    return N.formatted_paragraphs(_rich_nodes(spark, sf)).select("doc_id", "twips", "align")
+
+
+@plan("p13_sizeable_images_of_pages", f"SELECT doc_id, 300 AS width_px, 150 AS height_px FROM {_count_of('<br>')}")
+def _(spark, sf):
+    return N.sizeable_images(_rich_nodes(spark, sf)).select("doc_id", "width_px", "height_px")
+
+
+@plan("p16_markup_passthrough_of_pages", f"SELECT page_id AS doc_id, contains({_READ}, '<br>') AS changed FROM pages")
+def _(spark, sf):
+    return N.markup_passthrough(pages(spark, sf), N.sizeable_images(_rich_nodes(spark, sf)))
+
+
+@plan("w4_orphan_lists_of_pages", f"SELECT doc_id, 'ul' AS tag, 'ul' AS parent_tag FROM {_count_of('<nav><ul>')}")
+def _(spark, sf):
+    return N.orphan_lists(_rich_nodes(spark, sf)).select("doc_id", "tag", "parent_tag")
+
+
+_DRAWING = '<SVG width="10" height="20"><g><svg></svg></g></SVG>'
+
+
+@plan("f10_inline_svg_to_img_of_pages", f"SELECT doc_id, 'data:image/svg+xml;base64,' || base64(encode('{_DRAWING}')) AS src, '10' AS width, '20' AS height FROM {_count_of('<br>')}")
+def _(spark, sf):
+    return N.top_level_svgs(_rich_pages(spark, sf)).drop("pos")
+
+
 @plan("f7_raster_size", "SELECT p_partkey AS doc_id, p_size + 1 AS width, p_partkey % 65536 AS height FROM part")
 def _(spark, sf):
     le = lambda c: F.unhex(F.concat(F.substring(F.lpad(F.hex(c), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(c), 4, "0"), 1, 2)))
