@@ -5,46 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkshard.functions.css import css_cascade, paragraph_format
 from inkshard.functions.media import sized_image, svg_data_uri
-from inkshard.operators.ordered import over_groups
+from inkshard.operators.ordered import CHUNK, over_groups
 from inkshard.session import written
 from inkshard.sources.html import html_chains, html_drawings
 
-# Positions per bin of a containment join.  Both sides meet in bins, so the work is about
-# rows times the nesting depth, whatever the size of a document.
-BIN = 64
+# Events of a structural merge at one position: intervals end, rows ask, intervals begin.
+_CLOSE, _ASK, _OPEN = 0, 1, 2
 
 
-def _within_reach(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Outer intervals with ``_reach``: where they end, or where the inner rows of their document do; none without inner rows."""
+def _merged(inner: DataFrame, outer: DataFrame, span: Column, tie: Column, chunk: int) -> DataFrame:
+    """Both sides as one stream of events with ``_level``, the number of intervals open at each.
+
+    Positions are cut into chunks.  A chunk starts from the stack of intervals that earlier ones left open:
+    they begin in it once more, in front of everything.  So each chunk is a merge of its own, and what
+    is listed again is one stack for each ``chunk`` positions, up to the last inner row of a document.
+    """
     last = inner.groupBy("doc_id").agg(F.max("pos").alias("_last"))
-    return outer.join(last, "doc_id").withColumn("_reach", F.least("close_pos", "_last")).filter("_reach > pos").drop("_last")
+    held = outer.filter("close_pos > pos").join(last, "doc_id").filter("_last > pos")
+    place = lambda c: F.floor(F.col(c) / F.lit(chunk)).cast("bigint")
+    null = F.lit(None).cast("bigint")
+
+    def event(at: Column, kind: int, step: int, wide: Column, tied: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("_at"), F.lit(kind).alias("_event"), wide.cast("bigint").alias("_wide"), tied.alias("_tie"), F.lit(step).alias("_step"))
+
+    spans = held.select("doc_id", "pos", "close_pos", span.alias("_span"), tie.alias("_t"), F.explode(F.sequence(place("pos"), F.least(place("close_pos"), place("_last")))).alias("_chunk"))
+    begins = event(F.col("pos"), _OPEN, 1, -F.col("close_pos"), F.col("_t"))
+    ends = F.when(F.col("_chunk") == place("close_pos"), event(F.col("close_pos"), _CLOSE, -1, null, null))
+    spans = spans.select("doc_id", "_chunk", "_span", F.explode(F.array_compact(F.array(begins, ends))).alias("_e")).select("doc_id", "_chunk", "_e.*", "_span")
+    asks = inner.select("doc_id", F.coalesce(place("pos"), F.lit(0)).alias("_chunk"), event(F.col("pos"), _ASK, 0, null, null).alias("_e"), F.struct(*inner.columns).alias("_row"))
+    events = spans.unionByName(asks.select("doc_id", "_chunk", "_e.*", "_row"), allowMissingColumns=True)
+    return events.withColumn("_level", F.sum("_step").over(_so_far("doc_id", "_chunk")))
 
 
-def contained_in(inner: DataFrame, outer: DataFrame, outer_columns: Sequence[str] = (), bin_size: int = BIN) -> DataFrame:
-    """Pairs of an inner row and every outer interval around it.
+def _so_far(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("_at", "_event", "_wide", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    An outer interval is listed in each bin it touches up to the last inner row of its document,
-    an inner row in the one it lies in, and only rows of the same document and bin are compared.
+
+def contained_in(inner: DataFrame, outer: DataFrame, outer_columns: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """Pairs of an inner row and every outer interval around it: a structural merge along the positions of a document.
+
+    Beginnings and ends of intervals and inner rows pass in order.  The stack of open intervals has one place
+    for each level: the interval last begun on it.  A running sum tells how high the stack is, and an inner row takes what
+    lies on each level up to that.  So work is that of the input and of the pairs.
+
+    Outer intervals lie inside or beside each other, as those of a tree do; repeated ones count each.  Intervals
+    that cross have no stack, and an inner row for which that matters fails the query.  Empty intervals, null documents
+    and null positions are in no pair; an empty side gives no rows.
+    """
+    span = F.struct(F.col("pos").alias("outer_pos"), F.col("close_pos").alias("outer_close"), *[F.col(c).alias(f"outer_{c}" if c in inner.columns else c) for c in outer_columns])
+    # Equal intervals differ, if at all, in what they carry; their order must be the same whenever a lost task runs again.
+    tie = F.xxhash64(F.to_json(F.struct(*outer_columns))) if outer_columns else F.lit(None).cast("bigint")
+    events = _merged(inner.filter("doc_id IS NOT NULL AND pos IS NOT NULL"), outer, span, tie, chunk)
+    places = F.when(F.col("_event") == _OPEN, F.array("_level")).when((F.col("_event") == _ASK) & (F.col("_level") > 0), F.sequence(F.lit(1).cast("bigint"), "_level"))
+    placed = events.withColumn("_level", F.explode(places))
+    pairs = placed.withColumn("_around", F.last("_span", ignorenulls=True).over(_so_far("doc_id", "_chunk", "_level"))).filter(F.col("_event") == _ASK)
+    # As many intervals as are open, all different: if each is around the row, they are those that are.
+    around = (F.col("_around.outer_pos") < F.col("_at")) & (F.col("_around.outer_close") > F.col("_at"))
+    pairs = pairs.filter(F.when(around, True).otherwise(F.raise_error(F.lit("outer intervals cross")).cast("boolean")))
+    return pairs.select("_row.*", "_around.*")
+
+
+def inside_any(inner: DataFrame, outer: DataFrame, negate: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Inner rows that lie (or, with ``negate``, do not lie) inside some outer interval: those with an open one at their position.
+
+    Intervals may cross.  A row without document or position lies in none.
     """
-    spans = _within_reach(outer, inner).select("doc_id", F.col("pos").alias("outer_pos"), F.col("close_pos").alias("outer_close"), "_reach", *[F.col(c).alias(f"outer_{c}" if c in inner.columns else c) for c in outer_columns])
-    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("outer_pos") / bin_size), F.floor(F.col("_reach") / bin_size)))).drop("_reach")
-    rows = inner.withColumn("_bin", F.floor(F.col("pos") / bin_size))
-    inside = (F.col("pos") > F.col("outer_pos")) & (F.col("pos") < F.col("outer_close"))
-    return rows.join(spans, ["doc_id", "_bin"]).filter(inside).drop("_bin")
-
-
-def inside_any(inner: DataFrame, outer: DataFrame, negate: bool = False, bin_size: int = BIN) -> DataFrame:
-    """Inner rows that lie (or, with ``negate``, do not lie) inside some outer interval."""
-    spans = _within_reach(outer, inner).select("doc_id", F.col("pos").alias("_from"), F.col("close_pos").alias("_to"), "_reach")
-    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / bin_size), F.floor(F.col("_reach") / bin_size)))).drop("_reach")
-    rows = inner.withColumn("_bin", F.floor(F.col("pos") / bin_size)).alias("i")
-    cond = [F.col("i.doc_id") == F.col("o.doc_id"), F.col("i._bin") == F.col("o._bin"), F.col("i.pos") > F.col("o._from"), F.col("i.pos") < F.col("o._to")]
-    return rows.join(spans.alias("o"), cond, "left_anti" if negate else "left_semi").drop("_bin")
+    events = _merged(inner, outer, F.lit(True), F.lit(None).cast("bigint"), chunk)
+    inside = F.col("_at").isNotNull() & (F.col("_level") > 0)
+    return events.filter((F.col("_event") == _ASK) & (~inside if negate else inside)).select("_row.*")
 
 
 def parent_of(nodes: DataFrame, **limits) -> DataFrame:
