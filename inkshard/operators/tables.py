@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from inkshard.functions import constants as K
 from inkshard.functions.css import css_map
 from inkshard.functions.text import half_even
-from inkshard.operators.ordered import Scan, over_groups
-from inkshard.session import saved
+from inkshard.operators.ordered import CHUNK, Scan, over_groups
+from inkshard.session import saved, written
 
 
 def table_ordinals(tables: DataFrame, order: Sequence[str], **limits) -> DataFrame:
@@ -77,13 +79,14 @@ def tables_with_cell_styles(cells: DataFrame, keys: Sequence[str] = ("doc_id", "
     return cells.groupBy(*keys).agg(F.bool_or(F.col(style).isNotNull()).alias("_s")).filter(F.col("_s") & F.lit(enabled)).drop("_s")
 
 
-def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: str = "n_cols", **limits) -> DataFrame:
+def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: str = "n_cols", chunk: int = CHUNK) -> DataFrame:
     """Logical grid of tables: cells pushed right by row spans, continuation cells included.
 
     Input rows are ``(keys, row, ord, row_span, col_span, style, n_cols)``.  A row that no
     span from above reaches starts afresh, so tables are first cut into such bands.
-    Bands without row spans need no memory and stay in the JVM; only the others go to
-    Python, one band at a time.
+    Bands without row spans need no memory and stay in the JVM; only the others are walked in
+    Python, in pieces of ``chunk`` rows.  What a piece of a band leaves to the next is the coverage of columns by
+    spans that reach further down, see ``_coverage``.  A null key is a key like any other; no cells give no grid.
     """
     keys = list(keys)
     reach = F.col("row") + F.greatest(F.col("row_span"), F.lit(1)) - 1
@@ -97,50 +100,117 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
         memory = ~F.bool_or("_fresh").over(in_row) | (F.max("row_span").over(in_row) > 1)
         return df.withColumns({"_tall": memory, "_end": F.sum("col_span").over(in_row.orderBy("ord"))}).drop("_fresh")
 
-    rows = over_groups(cells, keys, ["row", "ord"], bands, **limits)
+    # A struct of keys equals another where both have nulls, which plain keys of a join do not.
+    rows = over_groups(cells.withColumn("_group", F.struct(F.lit(0), *keys)), ["_group"], ["row", "ord"], bands, chunk)
     flat = rows.filter(~F.coalesce("_tall", F.lit(False)))
     flat = flat.withColumns({"grid_col": (F.col("_end") - F.col("col_span") + 1).cast("int"), "is_continuation": F.lit(False)}).filter(F.col("grid_col") <= F.col(n_cols))
     out = [*keys, "row", "grid_col", "col_span", "row_span", "is_continuation", "style"]
-    types = {f.name: f.dataType.simpleString() for f in flat.schema}
-    ddl = ", ".join(f"{c} {types[c]}" for c in out)
-    tall = rows.filter("_tall").select(*keys, "band", "row", "ord", "row_span", "col_span", "style", n_cols)
-
+    flat = flat.select(*out)
     band = [*keys, "band"]
+    piece = F.coalesce(F.floor(F.col("row") / F.lit(chunk)).cast("bigint"), F.lit(-1).cast("bigint"))
+    tall = written(rows.filter("_tall").select(*band, piece.alias("_piece"), "row", "ord", "row_span", "col_span", "style", n_cols))
+    walk = _Walk(band, n_cols)
+    return flat.unionByName(walk.run(tall, _coverage(tall, walk, chunk), flat.schema, grid=True))
 
-    def place(batches):
-        """Rows arrive band by band in order; kept is the last span in each column, whatever the height of a band."""
-        grid, covered, at, now, here, width = [], {}, 1, None, None, 0
-
-        def continuations():
-            nonlocal at
-            while at <= width and at in covered and covered[at][0] >= here:
-                _, span, style = covered[at]
-                grid.append((*now[:-1], here, at, span, 1, True, style))
-                at += span
-
-        for pdf in batches:
-            for c in pdf.to_dict("records"):
-                key = tuple(c[k] for k in band)
-                if key != now or c["row"] != here:
-                    if now is not None:
-                        continuations()
-                    if key != now:
-                        now, covered, width = key, {}, c[n_cols]
-                    here, at = c["row"], 1
+
+class _Walk:
+    """Cells of a piece of a band in order, from the coverage it starts with to its grid, or to the spans of its own that reach beyond its last row.
+
+    Memory is one entry for each column, whatever the height of a piece.
+    """
+
+    def __init__(self, band: list[str], n_cols: str):
+        self.band, self.pieces, self.n_cols = band, [*band, "_piece"], n_cols
+
+    def none(self, tall: DataFrame) -> DataFrame:
+        """Coverage ``(pieces, _cover)`` of no piece."""
+        style = tall.schema["style"].dataType.simpleString()
+        return tall.select(*self.pieces, F.lit(None).cast(f"array<struct<col: bigint, until: bigint, span: bigint, style: {style}>>").alias("_cover")).limit(0)
+
+    def run(self, cells: DataFrame, starts: DataFrame, schema: StructType, grid: bool) -> DataFrame:
+        """Walk all pieces; a start comes in front of its piece's cells."""
+        ordered = cells.unionByName(starts, allowMissingColumns=True).repartition(*self.pieces)
+        ordered = ordered.sortWithinPartitions(*self.pieces, F.asc_nulls_first("row"), F.desc_nulls_last("_cover"), "ord")
+        pieces, n_cols, arrow = self.pieces, self.n_cols, to_arrow_schema(schema)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, covered, own, at, now, here, width = [], {}, {}, 1, None, None, 0
+
+            def cell(col, span, tall, repeated, style):
+                if grid:
+                    found.append(dict(zip(pieces, now)) | {"row": here, "grid_col": col, "col_span": span, "row_span": tall, "is_continuation": repeated, "style": style})
+
+            def continuations():
+                nonlocal at
+                while here is not None and at <= width and at in covered and covered[at][0] >= here:
+                    _, span, style = covered[at]
+                    cell(at, span, 1, True, style)
+                    at += span
+
+            def finish():
                 continuations()
-                if at <= width:
-                    grid.append((*now[:-1], here, at, c["col_span"], c["row_span"], False, c["style"]))
-                    if c["row_span"] > 1:
-                        covered[at] = here + c["row_span"] - 1, c["col_span"], c["style"]
-                    at += c["col_span"]
-            yield pd.DataFrame(grid, columns=out)
-            grid = []
-        if now is not None:
-            continuations()
-            yield pd.DataFrame(grid, columns=out)
-
-    ordered = tall.repartition(*band).sortWithinPartitions(*band, "row", "ord")
-    return flat.select(*out).unionByName(ordered.mapInPandas(place, ddl))
+                if here is not None and not grid:
+                    live = [{"col": c, "until": u, "span": n, "style": s} for c, (u, n, s) in sorted(own.items()) if u > here]
+                    found.append(dict(zip(pieces, now)) | {"_cover": live})
+
+            for batch in batches:
+                for c in batch.to_pylist():
+                    key = tuple(c[k] for k in pieces)
+                    if key != now:
+                        finish()
+                        now, covered, own, here, at = key, {}, {}, None, 1
+                    if c["_cover"] is not None:
+                        covered = {s["col"]: (s["until"], s["span"], s["style"]) for s in c["_cover"]}
+                        continue
+                    if c["row"] != here:
+                        continuations()
+                        here, at, width = c["row"], 1, c[n_cols] or 0
+                    continuations()
+                    if at <= width:
+                        cell(at, c["col_span"], c["row_span"], False, c["style"])
+                        if (c["row_span"] or 1) > 1:
+                            covered[at] = own[at] = here + c["row_span"] - 1, c["col_span"] or 1, c["style"]
+                        at += c["col_span"] or 1
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                found.clear()
+            finish()
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+        return ordered.mapInArrow(place, schema)
+
+
+def _coverage(tall: DataFrame, walk: _Walk, chunk: int) -> DataFrame:
+    """``(pieces, _cover)``: the coverage each piece of a band starts with, where it is not empty.
+
+    All pieces are walked at once from no coverage; the spans of each that reach beyond it go to every piece they
+    reach, and pieces whose start is another than before are walked again, until none is.  A long span is known to all
+    below it after one round, so two or three rounds are the rule; a piece is right after as many rounds as there are pieces above it at
+    the latest.  Bands that lie in one piece take no part.
+    """
+    same = lambda *names: F.struct(F.lit(0), *names)  # noqa: E731  structs of nulls are equal, nulls are not
+    starts = walk.none(tall)
+    ends_schema = starts.schema
+    cut = tall.groupBy(*walk.band).agg(F.min("_piece").alias("_lo"), F.max("_piece").alias("_hi")).filter("_lo < _hi")
+    cut = written(cut.select(same(*walk.band).alias("_b"), "_hi"))
+    cells = written(tall.withColumn("_b", same(*walk.band)).join(cut, "_b", "left_semi").drop("_b"))
+    again, ends = cells, None
+    while not again.isEmpty():
+        walked = walk.run(again, starts, ends_schema, grid=False)
+        if ends is not None:
+            redone = again.select(same(*walk.pieces).alias("_p")).distinct()
+            walked = walked.unionByName(ends.withColumn("_p", same(*walk.pieces)).join(redone, "_p", "left_anti").drop("_p"))
+        ends = written(walked)
+        spans = ends.select(same(*walk.band).alias("_b"), *walk.pieces, F.explode("_cover").alias("_s")).join(cut, "_b")
+        last = F.least(F.floor(F.col("_s.until") / F.lit(chunk)).cast("bigint"), F.col("_hi"))
+        spans = spans.withColumn("_to", last).filter("_to > _piece").withColumn("_to", F.explode(F.sequence(F.col("_piece") + 1, "_to")))
+        spans = spans.groupBy(*walk.band, F.col("_to").alias("_piece"), "_s.col").agg(F.max_by("_s", spans["_piece"]).alias("_s"))
+        handed = written(spans.groupBy(*walk.pieces).agg(F.sort_array(F.collect_list("_s")).alias("_cover")))
+        # A piece is walked again where its start has come, gone or changed.
+        old, new = (df.select(same(*walk.pieces).alias("_p"), F.col("_cover").alias(n)) for df, n in ((starts, "_old"), (handed, "_new")))
+        changed = old.join(new, "_p", "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("_p")
+        again = written(cells.withColumn("_p", same(*walk.pieces)).join(changed, "_p", "left_semi").drop("_p"))
+        starts = handed
+    return starts
 
 
 def cell_css(cells: DataFrame, style: str = "style") -> DataFrame:

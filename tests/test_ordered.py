@@ -138,6 +138,33 @@ def test_table_grid(spark, chunk):
         assert mine == brute_grid(cs, 5)
 
 
+CELLS = "table_id int, row int, ord int, row_span int, col_span int, style string, n_cols int"
+
+
+@pytest.mark.parametrize("chunk", [4])
+def test_band_handed_from_piece_to_piece(spark, chunk):
+    """Spans over many pieces, over pieces without cells, and of one table without a name."""
+    rng = random.Random(3)
+    cells = {t: [(r, o, rng.choice([1, 1, 4, 9]), rng.choice([1, 2])) for r in range(20) if rng.random() < 0.8 for o in range(rng.randint(1, 3))] for t in (None, 1, 2)}
+    cells[3] = [(0, 0, 100, 1), (0, 1, 1, 1), (50, 0, 1, 1), (99, 0, 1, 1), (100, 0, 1, 1)]
+    df = spark.createDataFrame([(t, *c, "s", 5) for t, cs in cells.items() for c in cs], CELLS)
+    got = T.table_grid(df, chunk=chunk).collect()
+    for t, cs in cells.items():
+        assert sorted((r.row, r.grid_col, r.col_span, r.is_continuation) for r in got if r.table_id == t) == brute_grid(cs, 5)
+    assert T.table_grid(df.filter("false"), chunk=chunk).collect() == []
+
+
+def test_huge_band_spreads(spark):
+    """One band of 1,000,000 rows under one span: several tasks, and the last row still knows the span."""
+    n = 1_000_000
+    rows = spark.range(n).select((F.col("id") % 1).cast("int").alias("table_id"), F.col("id").cast("int").alias("row"), F.lit(1).alias("ord"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit("s").alias("style"), F.lit(2).alias("n_cols"))
+    top = spark.createDataFrame([(0, 0, 0, n, 1, "top", 2)], CELLS)
+    grid = T.table_grid(top.unionByName(rows)).withColumn("task", F.spark_partition_id())
+    found = grid.groupBy("is_continuation", "grid_col").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("row"), F.min("style").alias("style")).collect()
+    assert sorted((r.is_continuation, r.grid_col, r.n, r.row, r.style) for r in found) == [(False, 1, 1, 0, "top"), (False, 2, n, n - 1, "s"), (True, 1, n - 1, n - 1, "top")]
+    assert grid.select("task").distinct().count() > 3
+
+
 def test_trailing_rate_over_bucket_borders(spark):
     times = [0, 100, 3500, 3599, 3600, 3700, 7199, 7200, 7201, 9000]
     df = spark.createDataFrame([("a", "b", i, t * 1_000_000) for i, t in enumerate(times)], "source_format string, target_format string, event_id bigint, ts_us bigint")
