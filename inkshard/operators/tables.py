@@ -14,7 +14,7 @@ from inkshard.functions import constants as K
 from inkshard.functions.css import css_map
 from inkshard.functions.text import half_even
 from inkshard.operators.ordered import CHUNK, Scan, over_groups
-from inkshard.session import saved, written
+from inkshard.session import written
 
 
 def table_ordinals(tables: DataFrame, order: Sequence[str], **limits) -> DataFrame:
@@ -94,7 +94,7 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
     def bands(df: DataFrame, scan: Scan) -> DataFrame:
         df = scan.running(df, include_current=False, _reach=("max", reach))
         fresh = F.coalesce(F.col("row") > F.col("_reach"), F.lit(True))
-        df = scan.running(saved(df.withColumn("_fresh", fresh)), band=("sum", F.col("_fresh").cast("int"))).drop("_reach")
+        df = scan.running(written(df.withColumn("_fresh", fresh).drop("_reach")), band=("sum", F.col("_fresh").cast("int")))
         # A row lies in one chunk.  It is a band without memory if it starts one and spans no other row.
         in_row = Window.partitionBy(*scan.pieces, "row")
         memory = ~F.bool_or("_fresh").over(in_row) | (F.max("row_span").over(in_row) > 1)
@@ -102,13 +102,14 @@ def table_grid(cells: DataFrame, keys: Sequence[str] = ("table_id",), n_cols: st
 
     # A struct of keys equals another where both have nulls, which plain keys of a join do not.
     rows = over_groups(cells.withColumn("_group", F.struct(F.lit(0), *keys)), ["_group"], ["row", "ord"], bands, chunk)
+    rows = written(rows.select(*keys, "band", "row", "ord", "row_span", "col_span", "style", n_cols, "_tall", "_end"))
     flat = rows.filter(~F.coalesce("_tall", F.lit(False)))
     flat = flat.withColumns({"grid_col": (F.col("_end") - F.col("col_span") + 1).cast("int"), "is_continuation": F.lit(False)}).filter(F.col("grid_col") <= F.col(n_cols))
     out = [*keys, "row", "grid_col", "col_span", "row_span", "is_continuation", "style"]
     flat = flat.select(*out)
     band = [*keys, "band"]
     piece = F.coalesce(F.floor(F.col("row") / F.lit(chunk)).cast("bigint"), F.lit(-1).cast("bigint"))
-    tall = written(rows.filter("_tall").select(*band, piece.alias("_piece"), "row", "ord", "row_span", "col_span", "style", n_cols))
+    tall = rows.filter("_tall").withColumn("_piece", piece).drop("_tall", "_end")
     walk = _Walk(band, n_cols)
     return flat.unionByName(walk.run(tall, _coverage(tall, walk, chunk), flat.schema, grid=True))
 
