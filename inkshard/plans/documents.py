@@ -16,7 +16,7 @@ from inkshard.plans.registry import plan, table
 from inkshard.plans.views import MATH_SPANS, math_spans, pages
 from inkshard.session import shared_dir
 from inkshard.sources.ast_json import read_ast_json, write_ast_json
-from inkshard.sources.corpus import decode_body, read_pages, write_rendered
+from inkshard.sources.corpus import decode_body, read_corpus, read_pages, write_rendered
 from inkshard.sources.files import read_documents, write_documents
 from inkshard.sources.html import html_nodes, html_tokens, register_html_nodes
 
@@ -32,6 +32,17 @@ def _(spark, sf):
     return read_pages(spark, f"{sf}/pages.parquet")
 
 
+@plan("s1_read_corpus_files", "SELECT page_id AS doc_id, html, md5(html) AS md5, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages WHERE html <> ''")
+def _(spark, sf):
+    """Pages written as files, one each, and read back twice: as text, and as bytes as packages are."""
+    folder = f"{shared_dir(spark)}/{uuid4().hex}"
+    write_documents(pages(spark, sf).select("doc_id", F.lit(0).alias("part"), F.col("html").alias("text"), F.lit("html").alias("target_format")), folder)
+    doc_id = F.url_decode(F.url_decode(F.element_at(F.split("path", "/"), -3))).cast("bigint").alias("doc_id")
+    texts, blobs = (read_corpus(spark, f"{folder}/*/*/html/*", f).select(doc_id, "body") for f in ("html", "docx"))
+    sizes = blobs.select("doc_id", F.md5("body").alias("md5"), F.octet_length("body").cast("bigint").alias("n_bytes"))
+    return texts.withColumnRenamed("body", "html").join(sizes, "doc_id")
+
+
 @plan("s2_decode_body", "SELECT doc_id, text AS strict, text AS guarded, text AS lenient FROM documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
